@@ -5,17 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import near_duplicates
-from foliant.llm.tables import read
+from foliant.llm import leakage, near_duplicates, site_lines
+from foliant.llm.tables import read, shard_sites, shard_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _sites(s: SparkSession, d: str) -> DataFrame:
+    return shard_sites(read(s, d, "shard_meta"))
+
+
+def _splits(s: SparkSession, d: str) -> DataFrame:
+    return shard_splits(read(s, d, "provenance"))
+
+
+def _overlaps(s: SparkSession, d: str) -> DataFrame:
+    pairs = leakage.across_splits(read(s, d, "shards_1913"), _splits(s, d))
+    return pairs.select(F.least("eval_id", "train_id").alias("rec_id_a"), F.greatest("eval_id", "train_id").alias("rec_id_b"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: near_duplicates.found_pairs(read(s, d, "shards_1913")),
         "p1_groups": lambda s, d: near_duplicates.groups(read(s, d, "shards_1913")),
+        "p4_found": lambda s, d: site_lines.found_lines(read(s, d, "shards_1913"), _sites(s, d)),
+        "p4_lines": lambda s, d: site_lines.line_report(read(s, d, "shards_1913"), _sites(s, d)),
+        "p4_clean": lambda s, d: site_lines.clean_texts(read(s, d, "shards_1913"), _sites(s, d)),
+        "p5_found": _overlaps,
+        "p5_report": lambda s, d: leakage.split_report(read(s, d, "shards_1913"), _splits(s, d), _sites(s, d)),
+        "p6_found": lambda s, d: leakage.leaked_items(read(s, d, "documents"), read(s, d, "eval_items")).select("doc_id", "item_id"),
+        "p6_report": lambda s, d: leakage.item_report(read(s, d, "documents"), read(s, d, "eval_items")),
     }
 
 

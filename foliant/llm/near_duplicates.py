@@ -192,7 +192,7 @@ def hot_triples(hot: Column, slots: int) -> Column:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, run: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose run sets have at least the given Jaccard similarity. ``texts``: rec_id, text."""
+    """(a, b, similarity) of the pairs whose run sets have at least the given Jaccard similarity. ``texts``: id, text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,13 +207,19 @@ def verify(pairs: DataFrame, texts: DataFrame, run: int, threshold: float) -> Da
     return held.mapInArrow(scan, "a long, b long, similarity double")
 
 
-def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their texts ta and tb. Only the texts of paired records are moved."""
-    ids = cut(pairs.select(F.col("a").alias("rec_id")).union(pairs.select("b")).distinct())
-    needed = cut(texts.join(small(ids), "rec_id", "left_semi"))
-    a = needed.select(F.col("rec_id").alias("a"), F.col("text").alias("ta"))
-    b = needed.select(F.col("rec_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
+def with_texts(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) with their texts ta and tb, by the columns id and text. Only the texts of paired records are moved."""
+
+    def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+        return cut(texts.join(small(cut(ids.distinct())), "id", "left_semi").select("id", "text"))
+
+    a = pairs.select(F.col("a").alias("id"))
+    b = pairs.select(F.col("b").alias("id"))
+    if texts_b is None:
+        left = right = needed(texts_a, a.union(b))
+    else:
+        left, right = needed(texts_a, a), needed(texts_b, b)
+    return pairs.join(left.toDF("a", "ta"), "a").join(right.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
 
 def links(
@@ -228,7 +234,7 @@ def links(
     signed = cut(signatures(df, id_col, text_col, run, lanes, segment, reach))
     reps = cut(classes(signed))
     pairs = cut(candidates(reps, threshold, bucket, 2 * lanes))
-    texts = df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).alias("text"))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = cut(verify(pairs, texts, run, threshold))
     copied = reps.where("copies > 1").select("klass", "size", "rep")
     members = signed.select("rec_id", "klass", "size").join(copied, ["klass", "size"], "left")
