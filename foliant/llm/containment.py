@@ -172,7 +172,7 @@ def contained(queries: DataFrame, corpus: DataFrame, run: int, share: float) ->
     part = round(share * 1_000_000)
     counted = (
         q.join(d, "run")
-        .where(F.col("m") * 1_000_000 >= F.col("n") * part)
+        .where(F.col("m").cast("long") * 1_000_000 >= F.col("n").cast("long") * part)
         .groupBy("a", "b")
         .agg(F.count("*").alias("n_hits"), F.first("n").alias("n"))
         .where(F.col("n_hits") >= F.greatest(F.lit(1), F.floor(F.col("n") * EXTRA)))
