@@ -9,6 +9,7 @@ with either side is broadcast, and copies are collapsed before the join.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,19 +29,29 @@ EXTRA = 0.1
 Array = np.ndarray
 
 
-def _merged(blobs: DataFrame, join: Callable[[Array, Array], Array], dtype: type, size: int) -> Array:
-    """Arrays of a fixed size, one a row, joined into one: within tasks first, then in one task that streams them."""
+def merged(blobs: DataFrame, join: Callable[[Array, Array], Array], dtype: type, size: int) -> Array:
+    """Arrays of a fixed size, packed one a row, joined into one: in some tasks first, then in one, which streams them."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype)
+        total, any_ = np.zeros(size, dtype), False
         for batch in batches:
             for blob in batch.column(0):
-                total = join(total, np.frombuffer(blob.as_buffer(), dtype))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
+                total, any_ = join(total, unpacked(blob.as_py(), dtype)), True
+        if any_:
+            yield packed(total)
 
-    first = blobs.select("blob").mapInArrow(fold, "blob binary")
-    row = first.coalesce(1).mapInArrow(fold, "blob binary").first()
-    return np.frombuffer(row.blob, dtype) if row else np.zeros(size, dtype)
+    spread = blobs.select("blob").repartition(8).mapInArrow(fold, "blob binary")
+    row = spread.repartition(1).mapInArrow(fold, "blob binary").first()
+    return unpacked(bytes(row.blob), dtype) if row else np.zeros(size, dtype)
+
+
+def packed(total: Array) -> pa.RecordBatch:
+    """One row that holds the array, compressed."""
+    return pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["blob"])
+
+
+def unpacked(blob: bytes, dtype: type) -> Array:
+    return np.frombuffer(zlib.decompress(blob), dtype)
 
 
 def frequencies(texts: DataFrame, run: int) -> Array:
@@ -52,10 +63,14 @@ def frequencies(texts: DataFrame, run: int) -> Array:
             for _, part in slices(batch.column("text")):
                 _, h = words(part).run_sets(run)
                 total += np.bincount((h % U(CELLS)).astype(np.int64), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["blob"])
+        yield packed(np.minimum(total, 2**31 - 1).astype(np.int32))
+
+    return merged(texts.select("text").mapInArrow(scan, "blob binary"), add, np.int32, CELLS)
+
 
-    add = lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32)
-    return _merged(texts.select("text").mapInArrow(scan, "blob binary"), add, np.int32, CELLS)
+def add(a: Array, b: Array) -> Array:
+    """Sum of 32-bit counts, which stay at the largest number instead of running over."""
+    return np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32)
 
 
 def least_hits(n: Array, share: float) -> Array:
@@ -117,9 +132,9 @@ def run_filter(postings: DataFrame) -> Array:
             h = batch.column("runs").flatten().to_numpy().view(U)
             for at in _filter_places(h):
                 bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["blob"])
+        yield packed(np.packbits(bits, bitorder="little"))
 
-    return _merged(postings.select("runs").mapInArrow(scan, "blob binary"), np.bitwise_or, np.uint8, FILTER_BITS // 8)
+    return merged(postings.select("runs").mapInArrow(scan, "blob binary"), np.bitwise_or, np.uint8, FILTER_BITS // 8)
 
 
 def hits(corpus: DataFrame, run: int, bits: Array) -> DataFrame:

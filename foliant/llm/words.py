@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n).bit_length())
     if size not in _powers:
         inverse = pow(_BASE, -1, 1 << 64)
@@ -48,13 +48,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of a slice: ``h`` their hashes, ``doc`` the row of each, ``first`` the index of each row's first word."""
+    """Words of a slice: ``h`` their hashes, ``doc`` the row of each, ``first`` the index of each row's first word, ``sizes`` their letters."""
 
     h: np.ndarray
     doc: np.ndarray
     first: np.ndarray
     count: np.ndarray
     rows: int
+    sizes: np.ndarray
 
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and word positions of all k-runs, repeated ones included."""
@@ -110,14 +111,14 @@ def words(texts: pa.Array) -> Words:
     stops = inside.copy()
     stops[:-1] &= ~inside[1:] | edge[1:-1]
     start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    power, inverse = _power_tables(len(data))
+    power, inverse = power_tables(len(data))
     total = np.zeros(len(data) + 1, U)
     np.cumsum(data * power[: len(data)], out=total[1:])
     h = mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(U))
     doc = np.searchsorted(ends, start, "right") - 1
     first = np.searchsorted(start, ends[:-1], "left")
     count = np.diff(np.append(first, len(start)))
-    return Words(h, doc, first, count, rows)
+    return Words(h, doc, first, count, rows, stop - start)
 
 
 def hash_word(word: str) -> int:
