@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import leakage, near_duplicates, site_lines
+from foliant.llm import leakage, mixing, near_duplicates, quality, reading_level, scans, site_lines
 from foliant.llm.tables import read, shard_sites, shard_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: near_duplicates.found_pairs(read(s, d, "shards_1913")),
         "p1_groups": lambda s, d: near_duplicates.groups(read(s, d, "shards_1913")),
+        "p2_found": lambda s, d: scans.found_lines(read(s, d, "shards_1913"), _sites(s, d), read(s, d, "source_registry"), read(s, d, "quality_labels")),
+        "p2_text": lambda s, d: scans.repaired(read(s, d, "shards_1913"), _sites(s, d), read(s, d, "source_registry"), read(s, d, "quality_labels")),
+        "p3_found": lambda s, d: quality.not_prose(read(s, d, "shards_1913"), _sites(s, d), read(s, d, "quality_labels")),
+        "p3_statistics": lambda s, d: quality.text_statistics(read(s, d, "shards_1913"), _sites(s, d), read(s, d, "quality_labels")),
         "p4_found": lambda s, d: site_lines.found_lines(read(s, d, "shards_1913"), _sites(s, d)),
         "p4_lines": lambda s, d: site_lines.line_report(read(s, d, "shards_1913"), _sites(s, d)),
         "p4_clean": lambda s, d: site_lines.clean_texts(read(s, d, "shards_1913"), _sites(s, d)),
@@ -37,6 +41,11 @@ def queries() -> dict[str, Query]:
         "p5_report": lambda s, d: leakage.split_report(read(s, d, "shards_1913"), _splits(s, d), _sites(s, d)),
         "p6_found": lambda s, d: leakage.leaked_items(read(s, d, "documents"), read(s, d, "eval_items")).select("doc_id", "item_id"),
         "p6_report": lambda s, d: leakage.item_report(read(s, d, "documents"), read(s, d, "eval_items")),
+        "p7_mix": lambda s, d: mixing.mixture(read(s, d, "documents"), read(s, d, "mix_targets")),
+        "p7_shares": lambda s, d: mixing.shares(read(s, d, "documents"), read(s, d, "mix_targets")),
+        "p8_found": lambda s, d: reading_level.levels(read(s, d, "documents"), read(s, d, "reading_labels")).where("level >= 4").select("doc_id"),
+        "p8_levels": lambda s, d: reading_level.levels(read(s, d, "documents"), read(s, d, "reading_labels")),
+        "p8_profile": lambda s, d: reading_level.profile(read(s, d, "documents"), read(s, d, "reading_labels")),
     }
 
 

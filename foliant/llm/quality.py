@@ -19,11 +19,14 @@ Profiles = tuple[np.ndarray, np.ndarray]
 
 
 def bare(records: DataFrame, sites: DataFrame, *keep: str) -> DataFrame:
-    """(rec_id, text, keys, kept, ...): all records with the lines that their site repeats, and the text without them."""
+    """(rec_id, text, keys, kept, ...): all records with the lines that their site repeats, and the text without them.
+
+    Columns of ``sites`` besides the shard and the site come along.
+    """
     found = site_lines.repeated(site_lines.with_site(records, sites))
     held = (
         records.select("rec_id", "shard_index", "text", *keep)
-        .join(sites.select("shard_index", "site"), "shard_index", "left")
+        .join(sites, "shard_index", "left")
         .join(site_lines.site_sets(found), "site", "left")
         .withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
     )

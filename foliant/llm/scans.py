@@ -9,7 +9,7 @@ word. The vocabulary is a table of word counts of a fixed size, gathered over al
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -17,7 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from foliant.llm import structure
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foliant.llm import quality, site_lines, structure
+from foliant.llm.containment import add, merged, packed
 from foliant.llm.words import U, mix, power_tables, slices
 
 #: Cells of each of the two rows of the table of word counts; 16 MB in all, whatever the corpus.
@@ -461,10 +465,10 @@ SCANNED = ("source_ocr",)
 
 def placed_texts(records: DataFrame, sites: DataFrame, registry: DataFrame) -> DataFrame:
     """(rec_id, title, text, keys, kept, scanned) of all records; sites that the registry lacks count as scanned."""
-    source = registry.select(F.concat_ws("_", "family", "source_id").alias("site"), "source_quality").dropDuplicates(["site"])
-    known = sites.join(source, "site", "left").withColumn("scanned", F.coalesce(F.col("source_quality").isin(*SCANNED), F.lit(True)))
-    held = quality.bare(records, sites, "title", "shard_index")
-    return held
+    source = registry.select(F.concat_ws("_", "family", "source_id").alias("site"), F.col("source_quality").isin(*SCANNED).alias("scanned"))
+    known = sites.select("shard_index", "site").join(source.groupBy("site").agg(F.max("scanned").alias("scanned")), "site", "left")
+    held = quality.bare(records, known, "title").withColumn("scanned", F.coalesce("scanned", F.lit(True)))
+    return held.where("rec_id is not null").select("rec_id", "title", "text", "keys", "kept", "scanned")
 
 
 def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -481,3 +485,91 @@ def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     total = merged(texts.select("scanned", "kept").mapInArrow(scan, "blob binary"), add, np.int32, 2 * ROWS * CELLS)
     return total[: ROWS * CELLS], total[ROWS * CELLS :]
+
+
+def _pages(texts: DataFrame, labels: DataFrame, make: Callable[[pa.RecordBatch, list[Page]], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``make`` gives for each slice of the texts, once the vocabulary and the structural profiles are known."""
+    context = texts.sparkSession.sparkContext
+    counts = context.broadcast(vocabulary(texts))
+    profiles = context.broadcast(quality.fit_profiles(texts, labels))
+    key_at = F.transform(site_lines.line_keys(F.col("text")), lambda k, i: F.when(F.array_contains(F.col("keys"), k), i))
+    at = F.when(F.col("scanned") & (F.size("keys") > 0), F.filter(key_at, lambda i: i.isNotNull()))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(*counts.value)
+        for batch in batches:
+            for start, part in slices(batch.column("text")):
+                rows = batch.slice(start, len(part))
+                site = [set(x or ()) for x in rows.column("site_at").to_pylist()]
+                pages = inspect(part, rows.column("title").to_pylist(), rows.column("scanned").to_pylist(), site, known, *profiles.value)
+                yield make(rows, pages)
+
+    return texts.select("rec_id", "title", "text", "scanned", at.alias("site_at")).where("text is not null").mapInArrow(scan, schema)
+
+
+def found_lines(records: DataFrame, sites: DataFrame, registry: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rec_id, line_no, kind) of the lines to be repaired: furniture, hyphen, misread.
+
+    Only records of scanned sources have any; lines of verse, lists, tables and junk, and lines added by the site, have
+    none. Null and blank texts give no rows. Without labelled texts all lines count as running text.
+    """
+
+    def make(rows: pa.RecordBatch, pages: list[Page]) -> pa.RecordBatch:
+        ids = rows.column("rec_id").to_pylist()
+        out = [(i, n + 1, kind) for i, p in zip(ids, pages, strict=True) for kind, at in (("furniture", p.furniture), ("hyphen", p.breaks), ("misread", p.misread)) for n in sorted(at)]
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.string()), strict=True)], ["rec_id", "line_no", "kind"])
+
+    scanned = placed_texts(records, sites, registry)
+    return _pages(scanned, labels, make, "rec_id long, line_no int, kind string")
+
+
+_ABBREVIATED = re.compile(r"\b(?:[A-Z]|Mr|Mrs|Dr|No|Messrs|&c|St|v|Hon)\.$")
+
+
+def mended(page: Page) -> str:
+    """The page as readable paragraphs, one a line: no furniture and site lines, broken words joined, readings put right.
+
+    A paragraph ends where a sentence does and a blank line follows or the next word would still have fitted the line;
+    page breaks end none.
+    """
+    drop = page.furniture | page.site
+    held = [i for i, x in enumerate(page.lines) if i not in drop and x.strip()]
+    width = max((len(page.lines[i].strip()) for i in held), default=0)
+    out: list[str] = []
+    for k, i in enumerate(held):
+        line = page.lines[i]
+        text = " ".join(line.split()) if page.scanned else line
+        for wrong, right in page.right.get(i, ()):
+            text = re.sub(rf"(?<!\w){re.escape(wrong)}(?!\w)", lambda m, r=right: r.capitalize() if m.group()[0].isupper() else r, text, flags=re.I)
+        if not k or not page.scanned:
+            out.append(text)
+            continue
+        last = held[k - 1]
+        before = page.lines[last].strip()
+        if last in page.breaks:
+            out[-1] = out[-1].rstrip().rstrip(BREAKS) + text
+            continue
+        ended = (before[-1] in ".!?\"'" or before.endswith(":")) and not _ABBREVIATED.search(before)
+        parted = any(not page.lines[j].strip() for j in range(last + 1, i)) and not any(j in page.furniture for j in range(last + 1, i))
+        fitted = len(before) + 1 + len(text.split(" ", 1)[0]) <= width - 2 or width > 100
+        if parted or (ended and fitted):
+            out.append(text)
+        else:
+            out[-1] += text if before.endswith("-") else " " + text
+    return "\n".join(out)
+
+
+def repaired(records: DataFrame, sites: DataFrame, registry: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rec_id, text, n_furniture, n_hyphens, n_misread) of all records with a text.
+
+    Scanned running text becomes one paragraph a line; verse, and texts of sources that weren't scanned, keep their
+    lines and lose only what their site added.
+    """
+
+    def make(rows: pa.RecordBatch, pages: list[Page]) -> pa.RecordBatch:
+        numbers = [[len(x) for x in kind] for kind in ([p.furniture for p in pages], [p.breaks for p in pages], [p.misread for p in pages])]
+        columns = [rows.column("rec_id"), pa.array([mended(p) for p in pages], pa.string()), *(pa.array(n, pa.int32()) for n in numbers)]
+        return pa.RecordBatch.from_arrays(columns, ["rec_id", "text", "n_furniture", "n_hyphens", "n_misread"])
+
+    return _pages(placed_texts(records, sites, registry), labels, make, "rec_id long, text string, n_furniture int, n_hyphens int, n_misread int")
