@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("corpus_queries", "scan_queries")
+
+
+def _every(name: str) -> dict:
+    out: dict = {}
+    for module in MODULES:
+        out |= getattr(importlib.import_module(f"foliant.plans.{module}"), name)
+    return out
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return _every("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _every("SQL")
