@@ -42,9 +42,11 @@ def share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def runs(text: Column, k: int) -> Column:
-    """Distinct runs of k words, joined by blanks; none where the text is shorter."""
-    w = words(text)
+def runs(w: Column, k: int) -> Column:
+    """Distinct runs of k of the words in an array column, joined by blanks; none where there are fewer.
+
+    ``w`` should be a column, not an expression: the lambda reads it for each run.
+    """
     starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " ")))
 

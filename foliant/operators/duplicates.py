@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.columns import fingerprint, hash60, runs
+from foliant.functions.columns import fingerprint, runs, words
 from foliant.operators.graphs import components
 from foliant.plans.storage import cut
 
@@ -51,14 +51,13 @@ def unseen(candidates: DataFrame, preferred: DataFrame, key: str) -> DataFrame:
 
 
 def minhash(df: DataFrame, k: int, bands: int, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, band, signature): MinHash bands of the k-word runs, from one seeded hash of 60 bits a row."""
-    shingled = df.where(F.col(text).isNotNull()).select(key, runs(F.col(text), k).alias("runs")).where(F.size("runs") > 0)
-    base = shingled.select(key, F.transform("runs", lambda r: hash60(r)).alias("h"))
-    # each row of a signature reorders the base hash by an odd multiplier modulo a prime
+    """(key, band, signature): MinHash bands of the k-word runs."""
     prime = (1 << 31) - 1
-    low = base.select(key, F.transform("h", lambda x: F.pmod(x, F.lit(prime))).alias("h"))
-    least = [F.array_min(F.transform("h", lambda x, m=m: F.pmod(x * F.lit(m) + F.lit(m * 7 + 3), F.lit(prime)))) for m in _multipliers(bands * rows)]
-    signed = low.select(key, F.array(*(F.concat_ws("-", *(x.cast("string") for x in least[b * rows : (b + 1) * rows])) for b in range(bands))).alias("s"))
+    base = df.where(F.col(text).isNotNull()).select(key, words(F.col(text)).alias("_w")).select(key, F.explode(runs(F.col("_w"), k)).alias("run"))
+    base = base.select(key, F.pmod(F.xxhash64("run"), F.lit(prime)).alias("h"))
+    # each row of a signature reorders the base hash by an odd multiplier modulo a prime; minima are combined before the shuffle
+    least = base.groupBy(key).agg(*(F.min(F.pmod(F.col("h") * m + (m * 7 + 3), F.lit(prime))).alias(f"m{i}") for i, m in enumerate(_multipliers(bands * rows))))
+    signed = least.select(key, F.array(*(F.xxhash64(*(f"m{i}" for i in range(b * rows, (b + 1) * rows))) for b in range(bands))).alias("s"))
     return signed.select(key, F.posexplode("s").alias("band", "signature"))
 
 
@@ -90,7 +89,7 @@ def minhash_pairs(df: DataFrame, k: int = 5, bands: int = 16, rows: int = 4, thr
     twice = cut(second.select("_id", pair_key.alias("key")).distinct())
     warm = twice.alias("x").join(twice.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x._id") < F.col("y._id"))).select(F.col("x._id").alias("a"), F.col("y._id").alias("b"))
     pairs = cold.unionByName(warm).distinct()
-    sets = once.select(key, runs(F.col(text), k).alias("runs"))
+    sets = once.select(key, words(F.col(text)).alias("_w")).select(key, runs(F.col("_w"), k).alias("runs"))
     both = pairs.join(sets.toDF("a", "ra"), "a").join(sets.toDF("b", "rb"), "b")
     n = F.size(F.array_intersect("ra", "rb"))
     scored = both.select("a", "b", (n / (F.size("ra") + F.size("rb") - n)).alias("similarity"))

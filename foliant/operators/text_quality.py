@@ -151,8 +151,8 @@ def shared_runs(documents: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     Items' runs are the small side of the join; documents are expanded to runs once and aggregated by pair.
     """
-    a = documents.where("text is not null").select("doc_id", F.explode(runs(F.col("text"), k)).alias("run"))
-    b = items.where("text is not null").select("item_id", F.explode(runs(F.col("text"), k)).alias("run"))
+    a = documents.where("text is not null").select("doc_id", words(F.col("text")).alias("_w")).select("doc_id", F.explode(runs(F.col("_w"), k)).alias("run"))
+    b = items.where("text is not null").select("item_id", words(F.col("text")).alias("_w")).select("item_id", F.explode(runs(F.col("_w"), k)).alias("run"))
     return a.join(b, "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
 
 
