@@ -35,3 +35,15 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     ``df`` should come from ``cut`` or a scan, so that counting is cheap.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def scan(spark: SparkSession, path: str, least_bytes: int = 1 << 20) -> DataFrame:
+    """A Parquet table, spread over the cores where it has fewer pieces than there are cores and isn't tiny.
+
+    Large tables have more pieces than cores, and are read as they lie.
+    """
+    df = spark.read.parquet(path)
+    cores, pieces = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if pieces >= cores or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < least_bytes:
+        return df
+    return df.repartition(cores)
