@@ -44,6 +44,5 @@ def scan(spark: SparkSession, path: str, least_bytes: int = 1 << 20) -> DataFram
     """
     df = spark.read.parquet(path)
     cores, pieces = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    if pieces >= cores or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < least_bytes:
-        return df
-    return df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if pieces >= cores or size < least_bytes else df.repartition(cores)
