@@ -49,5 +49,36 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _runs(rows: str, key: str, k: int, text: str = "text", where: str = "true") -> str:
+    """SQL for the distinct k-runs of each row."""
+    held = f"select {key}, regexp_extract_all(lower({text}), '[a-z0-9]+') as w from {rows} where text is not null and {where}"
+    return f"select distinct {key}, hash(w[p:p + {k - 1}]) as run from (select {key}, w, unnest(range(1, len(w) - {k - 2})) as p from ({held}) where len(w) >= {k})"
+
+
+_SITES = """select shard_index, regexp_replace(regexp_replace(arg_max(source_file, (generated_at, source_file)), '^.*/', ''), '^shard_|(_[0-9]+)?\.parquet$', '', 'g') as site
+    from shard_meta where source_file is not null group by 1"""
+_SPLITS = "select shard_index, arg_max(split, written_at) as split from provenance group by 1"
+_LINES = f"""select rec_id, site, line_no, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as line from (select rec_id, site, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line
+    from (select rec_id, site, string_split(text, chr(10)) as l from shards_1913 join ({_SITES}) using (shard_index) where regexp_matches(text, '\S')))"""
+
+
+_JOINED = r"regexp_replace(text, '(\pL)[-\x{AD}\x{AC}\x{2010}][ \t]*\r?\n[ \t]*(\pL)', '\1\2', 'g')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Brute force in SQL, for the queries whose result is fixed by a definition that SQL can state."""
+    placed = f"(select rec_id, text, split from shards_1913 join ({_SPLITS}) using (shard_index))"
+    return {
+        "p1_found": f"""with r as ({_runs("shards_1913", "rec_id", 3)}), n as (select rec_id, count(*) as n from r group by 1),
+            c as (select x.rec_id as a, y.rec_id as b, count(*) as c from r x join r y on x.run = y.run and x.rec_id < y.rec_id group by 1, 2)
+            select a as rec_id_a, b as rec_id_b from c join n m on m.rec_id = a join n o on o.rec_id = b where c * 10 >= 6 * (m.n + o.n - c)""",
+        "p4_found": f"""with l as ({_LINES}), n as (select site, count(distinct rec_id) as n from l group by 1),
+            c as (select site, line, count(distinct rec_id) as c from l where line <> '' group by 1, 2)
+            select rec_id, line_no::int as line_no from l join c using (site, line) join n using (site) where c >= 5 and c * 100 >= n * 2""",
+        "p5_found": f"""with e as ({_runs(placed, "rec_id", 3, where="split in ('val', 'test')")}), t as ({_runs(placed, "rec_id", 3, where="split = 'train'")}),
+            n as (select rec_id, count(*) as n from e group by 1), c as (select e.rec_id as a, t.rec_id as b, count(*) as c from e join t using (run) group by 1, 2)
+            select least(a, b) as rec_id_a, greatest(a, b) as rec_id_b from c join n on n.rec_id = a where c * 10 >= 8 * n""",
+        "p6_found": f"""with d as ({_runs("documents", "doc_id", 5, _JOINED)}), i as ({_runs("eval_items", "item_id", 5)}),
+            n as (select item_id, count(*) as n from i group by 1), c as (select doc_id, item_id, count(*) as c from d join i using (run) group by 1, 2)
+            select doc_id, item_id from c join n using (item_id) where c * 4 >= n""",
+    }

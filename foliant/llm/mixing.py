@@ -56,8 +56,8 @@ def apportioned(seats: int, weights: list[float], caps: list[int]) -> list[int]:
     left = min(seats, sum(caps[i] for i in open_))
     while open_ and left > 0:
         total = sum(weights[i] for i in open_)
-        pace = (left + sum(held[i] for i in open_)) / total
-        low = {i: min(caps[i], max(held[i], int(weights[i] * pace) - 2)) for i in open_}
+        pace = min((left + sum(held[i] for i in open_)) / total, 1e300)
+        low = {i: min(caps[i], max(held[i], int(weights[i] * pace) - len(open_))) for i in open_}
         full = [i for i in open_ if low[i] >= caps[i]]
         if full and sum(low[i] for i in full) > sum(held[i] for i in full):
             for i in full:

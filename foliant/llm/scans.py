@@ -290,7 +290,7 @@ def furniture(lines: list[str], title: str | None, site: set[int]) -> set[int]:
         bare, cut = core(line)
         if cut and _DATE.search(line) and ("]" in line or bare.isupper()):
             headers.append((i, bare, cut))
-        elif (cut or line.rstrip().endswith(".")) and not _TABLE.search(bare) and is_title(bare, 1 if cut else 0):
+        elif (cut or line.rstrip().endswith(".")) and not _TABLE.search(bare) and ("," not in bare or bare.isupper()) and is_title(bare, 1 if cut else 0):
             headers.append((i, bare, cut))
     if not headers:
         return set(numbers)
