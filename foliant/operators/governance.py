@@ -198,3 +198,17 @@ def registry_problems(registry: DataFrame, qualities: tuple[str, ...]) -> DataFr
         )
     )
     return counted.withColumn("problem", F.explode(problems)).select("source_id", "problem")
+
+# Every decision there is.
+DECISIONS = ("include_train", "include_licensed", "include_by_source", "exclude_paid_or_no_access", "exclude_needs_item_evidence", "exclude_restricted", "exclude_unknown_rights")
+
+
+def rights_problems(decided: DataFrame) -> DataFrame:
+    """Rows whose decision isn't one of the known ones; there should be none."""
+    return decided.where(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)))
+
+
+def settings_differ(saved: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, saved, wanted) of the settings that a run can't be resumed with; full outer, nulls are equal."""
+    both = saved.withColumnRenamed("value", "saved").join(wanted.withColumnRenamed("value", "wanted"), "name", "full_outer")
+    return both.where(~F.col("saved").eqNullSafe(F.col("wanted"))).select("name", "saved", "wanted")

@@ -257,3 +257,14 @@ def scores_by_family(results: DataFrame) -> DataFrame:
     """(family, n, accuracy, failures) by family and over all (null family marks the total)."""
     held = results.withColumn("family", F.coalesce("family", F.lit("(none)")))
     return held.rollup("family").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.count_if(~F.col("correct")).alias("failures"))
+
+
+def best_config(runs: DataFrame, config: str, value: str) -> DataFrame:
+    """(config, median) of the configuration with the greatest upper median, ties to the first name."""
+    return upper_quantile(runs, config, value, 0.5, "median").orderBy(F.col("median").desc(), config).limit(1)
+
+
+def step_change(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """Adds ``change``, the value less the one before; null for the first."""
+    before = F.lag(value).over(Window.partitionBy(by).orderBy(order))
+    return df.withColumn("change", F.round(F.col(value) - before, 6))

@@ -12,13 +12,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session without one gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
+    return _own[context.applicationId]
 
 
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:

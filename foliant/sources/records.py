@@ -166,3 +166,23 @@ def latest_of(df: DataFrame, key: str, order: str) -> DataFrame:
     """The row of each key with the greatest order value."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last()))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def marked_up_text(pages: DataFrame, path: str = "//p/text()") -> DataFrame:
+    """(id, text): paragraphs of XML texts, a line each; texts that are no XML give null."""
+    safe = F.when(F.col("xml").rlike(r"^\s*<"), F.col("xml"))
+    return pages.select("id", F.array_join(F.xpath(safe, F.lit(path)), "\n").alias("text"))
+
+
+def without_state(batches: DataFrame, state: tuple[str, ...] = ("file_no", "group_no", "cursor")) -> DataFrame:
+    """A reader's batches without the columns that only resuming needs."""
+    return batches.drop(*state)
+
+
+def reader_kind(cache: str | None, strategy: str | None, separate_validation: bool) -> str:
+    """Which reader a run uses: family-balanced cache, sequential cache (all of it if validation lies elsewhere), or text shards."""
+    if cache and strategy:
+        return "families"
+    if cache:
+        return "cache-all" if separate_validation else "cache-train"
+    return "shards"

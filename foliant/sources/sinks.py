@@ -80,3 +80,22 @@ def output_tree(documents: DataFrame) -> DataFrame:
     from foliant.operators.sampling import held_out
 
     return held_out(documents, "doc_id", 0.05, seed=3).groupBy("split").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+LABEL = "Sampled text of a model; not a historical source."
+
+
+def sample_files(samples: DataFrame) -> DataFrame:
+    """(name, content) of each sample under its mandatory label. Columns: category, id, text."""
+    name = F.concat_ws("-", F.regexp_replace(F.lower("category"), "[^a-z0-9]+", "-"), F.col("id").cast("string"))
+    return samples.select(F.concat(name, F.lit(".txt")).alias("name"), F.concat_ws("\n\n", F.lit(LABEL), F.coalesce("text", F.lit(""))).alias("content"))
+
+
+def sweep_summary(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """The fields in their order; what a row lacks is null, what it has besides is left out."""
+    return rows.select(*(F.col(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields))
+
+
+def metadata_lines(rows: DataFrame) -> DataFrame:
+    """(line): each row as JSON, keys in the order of the columns, as a metadata file holds it."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
