@@ -18,26 +18,35 @@ SAMPLE = 2_000
 Profiles = tuple[np.ndarray, np.ndarray]
 
 
-def bare(records: DataFrame, sites: DataFrame, *keep: str) -> DataFrame:
+def line_sets(records: DataFrame, sites: DataFrame) -> DataFrame:
+    """(site, keys): the lines that each site repeats."""
+    return site_lines.site_sets(site_lines.repeated(site_lines.with_site(records, sites)))
+
+
+def bare(records: DataFrame, sites: DataFrame, sets: DataFrame, *keep: str) -> DataFrame:
     """(rec_id, text, keys, kept, ...): all records with the lines that their site repeats, and the text without them.
 
     Columns of ``sites`` besides the shard and the site come along.
     """
-    found = site_lines.repeated(site_lines.with_site(records, sites))
     held = (
         records.select("rec_id", "shard_index", "text", *keep)
         .join(sites, "shard_index", "left")
-        .join(site_lines.site_sets(found), "site", "left")
+        .join(sets, "site", "left")
         .withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
     )
     return site_lines.without(held).drop("shard_index", "removed")
 
 
-def fit_profiles(texts: DataFrame, labels: DataFrame) -> Profiles:
-    """Structural profiles from at most ``SAMPLE`` labelled texts. ``texts``: rec_id, kept; ``labels``: rec_id, kind."""
-    known = labels.where(F.col("kind").isin(*structure.KINDS)).select("rec_id", "kind").orderBy("rec_id").limit(SAMPLE)
-    rows = texts.where("kept is not null").select("rec_id", "kept").join(F.broadcast(known), "rec_id").orderBy("rec_id").collect()
-    return structure.fit([r.kept for r in rows], [r.kind for r in rows])
+def fit_profiles(records: DataFrame, sites: DataFrame, sets: DataFrame, labels: DataFrame) -> Profiles:
+    """Structural profiles from at most ``SAMPLE`` labelled records, taken without their sites' lines.
+
+    Records are reduced to the labelled ones before their lines are looked at.
+    """
+    known = {r.rec_id: r.kind for r in labels.where(F.col("kind").isin(*structure.KINDS)).select("rec_id", "kind").orderBy("rec_id", "kind").limit(SAMPLE).collect() if r.rec_id is not None}
+    ids = F.broadcast(records.sparkSession.createDataFrame([(i,) for i in known], "rec_id long"))
+    rows = bare(records.join(ids, "rec_id", "left_semi"), sites, sets).where("kept is not null").select("rec_id", "kept").collect()
+    rows.sort(key=lambda r: r.rec_id)
+    return structure.fit([r.kept for r in rows], [known[r.rec_id] for r in rows])
 
 
 STATISTICS = (
@@ -89,8 +98,8 @@ def text_statistics(records: DataFrame, sites: DataFrame, labels: DataFrame) ->
 
     Null texts have a row of zeros and no kind, and so have blank texts. Other columns of ``records`` aren't looked at.
     """
-    texts = bare(records, sites)
-    figures = statistics(texts, fit_profiles(texts, labels))
+    sets = line_sets(records, sites)
+    figures = statistics(bare(records, sites, sets), fit_profiles(records, sites, sets, labels))
     kinds = F.array_max(F.array(*(F.struct(F.col(f"{k}_chars").alias("n"), F.lit(len(structure.KINDS) - i).alias("i"), F.lit(k).alias("kind")) for i, k in enumerate(structure.KINDS))))
     figures = figures.withColumn("kind", F.when(F.col("n_chars") > 0, kinds["kind"]))
     zero = {c: 0 for c, kind in figures.dtypes if kind in ("bigint", "double") and c != "rec_id"}
@@ -100,6 +109,6 @@ def text_statistics(records: DataFrame, sites: DataFrame, labels: DataFrame) ->
 
 def not_prose(records: DataFrame, sites: DataFrame, labels: DataFrame) -> DataFrame:
     """(rec_id) of records that are, in more than half of their characters, a list, a table or junk."""
-    texts = bare(records, sites)
-    figures = statistics(texts, fit_profiles(texts, labels))
+    sets = line_sets(records, sites)
+    figures = statistics(bare(records, sites, sets), fit_profiles(records, sites, sets, labels))
     return figures.where("(list_chars + table_chars + junk_chars) * 2 > n_chars").select("rec_id")

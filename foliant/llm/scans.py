@@ -463,11 +463,11 @@ def inspect(
 SCANNED = ("source_ocr",)
 
 
-def placed_texts(records: DataFrame, sites: DataFrame, registry: DataFrame) -> DataFrame:
+def placed_texts(records: DataFrame, sites: DataFrame, registry: DataFrame, sets: DataFrame) -> DataFrame:
     """(rec_id, title, text, keys, kept, scanned) of all records; sites that the registry lacks count as scanned."""
     source = registry.select(F.concat_ws("_", "family", "source_id").alias("site"), F.col("source_quality").isin(*SCANNED).alias("scanned"))
     known = sites.select("shard_index", "site").join(source.groupBy("site").agg(F.max("scanned").alias("scanned")), "site", "left")
-    held = quality.bare(records, known, "title").withColumn("scanned", F.coalesce("scanned", F.lit(True)))
+    held = quality.bare(records, known, sets, "title").withColumn("scanned", F.coalesce("scanned", F.lit(True)))
     return held.where("rec_id is not null").select("rec_id", "title", "text", "keys", "kept", "scanned")
 
 
@@ -487,11 +487,15 @@ def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return total[: ROWS * CELLS], total[ROWS * CELLS :]
 
 
-def _pages(texts: DataFrame, labels: DataFrame, make: Callable[[pa.RecordBatch, list[Page]], pa.RecordBatch], schema: str) -> DataFrame:
+def _pages(
+    records: DataFrame, sites: DataFrame, registry: DataFrame, labels: DataFrame, make: Callable[[pa.RecordBatch, list[Page]], pa.RecordBatch], schema: str
+) -> DataFrame:
     """What ``make`` gives for each slice of the texts, once the vocabulary and the structural profiles are known."""
-    context = texts.sparkSession.sparkContext
+    sites, sets = sites.select("shard_index", "site"), quality.line_sets(records, sites)
+    texts = placed_texts(records, sites, registry, sets)
+    context = records.sparkSession.sparkContext
     counts = context.broadcast(vocabulary(texts))
-    profiles = context.broadcast(quality.fit_profiles(texts, labels))
+    profiles = context.broadcast(quality.fit_profiles(records, sites, sets, labels))
     key_at = F.transform(site_lines.line_keys(F.col("text")), lambda k, i: F.when(F.array_contains(F.col("keys"), k), i))
     at = F.when(F.col("scanned") & (F.size("keys") > 0), F.filter(key_at, lambda i: i.isNotNull()))
 
@@ -520,8 +524,7 @@ def found_lines(records: DataFrame, sites: DataFrame, registry: DataFrame, label
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.string()), strict=True)], ["rec_id", "line_no", "kind"])
 
-    scanned = placed_texts(records, sites, registry)
-    return _pages(scanned, labels, make, "rec_id long, line_no int, kind string")
+    return _pages(records, sites, registry, labels, make, "rec_id long, line_no int, kind string")
 
 
 _ABBREVIATED = re.compile(r"\b(?:[A-Z]|Mr|Mrs|Dr|No|Messrs|&c|St|v|Hon)\.$")
@@ -531,7 +534,7 @@ def mended(page: Page) -> str:
     """The page as readable paragraphs, one a line: no furniture and site lines, broken words joined, readings put right.
 
     A paragraph ends where a sentence does and a blank line follows or the next word would still have fitted the line;
-    page breaks end none.
+    a page break alone ends none.
     """
     drop = page.furniture | page.site
     held = [i for i, x in enumerate(page.lines) if i not in drop and x.strip()]
@@ -572,4 +575,4 @@ def repaired(records: DataFrame, sites: DataFrame, registry: DataFrame, labels:
         columns = [rows.column("rec_id"), pa.array([mended(p) for p in pages], pa.string()), *(pa.array(n, pa.int32()) for n in numbers)]
         return pa.RecordBatch.from_arrays(columns, ["rec_id", "text", "n_furniture", "n_hyphens", "n_misread"])
 
-    return _pages(placed_texts(records, sites, registry), labels, make, "rec_id long, text string, n_furniture int, n_hyphens int, n_misread int")
+    return _pages(records, sites, registry, labels, make, "rec_id long, text string, n_furniture int, n_hyphens int, n_misread int")
