@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import leakage, mixing, near_duplicates, quality, reading_level, scans, site_lines
+from foliant.llm import leak_windows, leakage, mixing, near_duplicates, quality, reading_level, scans, site_lines
 from foliant.llm.tables import read, shard_sites, shard_splits
+from foliant.plans.storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,13 @@ def _overlaps(s: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("eval_id", "train_id").alias("rec_id_a"), F.greatest("eval_id", "train_id").alias("rec_id_b"))
 
 
+def _windows(s: SparkSession, d: str) -> DataFrame:
+    documents, items = read(s, d, "documents"), read(s, d, "eval_items")
+    found = cut(leakage.leaked_items(documents, items))
+    texts = documents.select(F.col("doc_id").alias("id"), leakage.joined(F.col("text")).alias("text"))
+    return leak_windows.windows(found, texts, items.select(F.col("item_id").alias("id"), "text"), leakage.ITEM_RUN)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: near_duplicates.found_pairs(read(s, d, "shards_1913")),
@@ -40,6 +48,7 @@ def queries() -> dict[str, Query]:
         "p5_found": _overlaps,
         "p5_report": lambda s, d: leakage.split_report(read(s, d, "shards_1913"), _splits(s, d), _sites(s, d)),
         "p6_found": lambda s, d: leakage.leaked_items(read(s, d, "documents"), read(s, d, "eval_items")).select("doc_id", "item_id"),
+        "p6_windows": _windows,
         "p6_report": lambda s, d: leakage.item_report(read(s, d, "documents"), read(s, d, "eval_items")),
         "p7_mix": lambda s, d: mixing.mixture(read(s, d, "documents"), read(s, d, "mix_targets")),
         "p7_shares": lambda s, d: mixing.shares(read(s, d, "documents"), read(s, d, "mix_targets")),
@@ -55,10 +64,10 @@ def _runs(rows: str, key: str, k: int, text: str = "text", where: str = "true")
     return f"select distinct {key}, hash(w[p:p + {k - 1}]) as run from (select {key}, w, unnest(range(1, len(w) - {k - 2})) as p from ({held}) where len(w) >= {k})"
 
 
-_SITES = """select shard_index, regexp_replace(regexp_replace(arg_max(source_file, (generated_at, source_file)), '^.*/', ''), '^shard_|(_[0-9]+)?\.parquet$', '', 'g') as site
+_SITES = r"""select shard_index, regexp_replace(regexp_replace(arg_max(source_file, (generated_at, source_file)), '^.*/', ''), '^shard_|(_[0-9]+)?\.parquet$', '', 'g') as site
     from shard_meta where source_file is not null group by 1"""
 _SPLITS = "select shard_index, arg_max(split, written_at) as split from provenance group by 1"
-_LINES = f"""select rec_id, site, line_no, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as line from (select rec_id, site, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line
+_LINES = rf"""select rec_id, site, line_no, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as line from (select rec_id, site, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line
     from (select rec_id, site, string_split(text, chr(10)) as l from shards_1913 join ({_SITES}) using (shard_index) where regexp_matches(text, '\S')))"""
 
 

@@ -1,0 +1,61 @@
+"""Where in a document a leaked item lies: the item-sized window that holds most of its runs."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foliant.llm.near_duplicates import with_texts
+from foliant.llm.words import SLICE_ROWS, distinct, words
+
+
+def best_windows(a: pa.Array, b: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per pair of an item and a text: the item's distinct runs, the most of them within as many words as the item has, and the first word of that window (from 0)."""
+    n = len(a)
+    size, most, first = (np.zeros(n, np.int64) for _ in range(3))
+    for i in range(n):
+        item, text = words(a.slice(i, 1)), words(b.slice(i, 1))
+        _, sought = distinct(*_rows(item.runs(k)))
+        h, at = text.runs(k)
+        size[i] = len(sought)
+        place = at[np.isin(h >> np.uint64(12), sought)]
+        which = h[np.isin(h >> np.uint64(12), sought)]
+        if not len(place):
+            continue
+        width = len(item.h) - k + 1
+        left, held, counts = 0, 0, {}
+        for right in range(len(place)):
+            key = int(which[right])
+            counts[key] = counts.get(key, 0) + 1
+            held += counts[key] == 1
+            while place[right] - place[left] >= width:
+                gone = int(which[left])
+                counts[gone] -= 1
+                held -= counts[gone] == 0
+                left += 1
+            if held > most[i]:
+                most[i], first[i] = held, place[left]
+    return size, most, first
+
+
+def _rows(runs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    h, at = runs
+    return np.zeros(len(at), np.int64) % SLICE_ROWS, h
+
+
+def windows(found: DataFrame, documents: DataFrame, items: DataFrame, run: int) -> DataFrame:
+    """(doc_id, item_id, window_hits, first_word, window_share) of leaked pairs. ``documents``, ``items``: id, text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, most, first = best_windows(batch.column("ta").cast(pa.large_string()), batch.column("tb").cast(pa.large_string()), run)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("b"), batch.column("a"), pa.array(most), pa.array(first), pa.array(most / np.maximum(size, 1))], ["doc_id", "item_id", "window_hits", "first_word", "window_share"]
+            )
+
+    pairs = found.select(F.col("item_id").alias("a"), F.col("doc_id").alias("b"))
+    return with_texts(pairs, items, documents).mapInArrow(scan, "doc_id long, item_id long, window_hits long, first_word long, window_share double")

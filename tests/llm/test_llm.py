@@ -130,7 +130,7 @@ def test_p2_marks_and_mends(spark):
     got = {(r.line_no, r.kind) for r in scans.found_lines(df, sites(spark), registry, none).collect() if r.rec_id == 1}
     assert got == {(1, "hyphen"), (3, "furniture"), (4, "furniture"), (5, "hyphen"), (5, "misread"), (7, "furniture"), (8, "furniture")}
     text = {r.rec_id: r.text for r in scans.repaired(df, sites(spark), registry, none).collect()}
-    assert text[1] == "The harbour was full of barrels and the sergeant counted them. The meadow was the best of all, said the sergeant of the harbour-master."
+    assert text[1] == "The harbour was full of barrels and the sergeant counted them.\nThe meadow was the best of all, said the sergeant of the harbour-master."
     assert scans.found_lines(df.limit(0), sites(spark), registry, none).count() == 0
 
 
@@ -241,6 +241,15 @@ def test_p6_awkward_rows(spark):
     assert leakage.item_report(docs, items).count() == len(AWKWARD) + 1
 
 
+def test_p6_windows():
+    from foliant.llm.leak_windows import best_windows
+
+    item = "one two three four five six seven eight"
+    text = "zero " * 10 + "one two three four five six x y z seven eight one two three four five six seven eight end"
+    size, most, first = best_windows(pa.array([item, item, ""], pa.large_string()), pa.array([text, "nothing of it here at all", text], pa.large_string()), 5)
+    assert size.tolist() == [4, 4, 0] and most.tolist() == [4, 0, 0] and first[0] == 21
+
+
 # 7 mixing
 
 
