@@ -26,3 +26,15 @@ def running_total(df: DataFrame, value: str, order: list[str], total: str, range
 def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds ``name``, the place of each row from 0 in the given total order."""
     return running_total(df.withColumn("_one", F.lit(1).cast("bigint")), "_one", order, name).drop("_one")
+
+
+def running_total_within(df: DataFrame, group: str, value: str, order: list[str], total: str) -> DataFrame:
+    """``running_total`` for each group by itself. A group of any size is spread over the ranges; a null group is a group."""
+    rows = cut(running_total(df, value, [group, *order], "_total"))
+    starts = rows.groupBy(F.col(group).alias("_group")).agg(F.min("_total").alias("_start"))
+    return rows.join(starts, F.col(group).eqNullSafe(F.col("_group"))).withColumn(total, F.col("_total") - F.col("_start")).drop("_total", "_start", "_group")
+
+
+def row_numbers_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``row_numbers`` for each group by itself."""
+    return running_total_within(df.withColumn("_one", F.lit(1).cast("bigint")), group, "_one", order, name).drop("_one")

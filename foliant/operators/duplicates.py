@@ -24,6 +24,12 @@ def exact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return out.select(key, "fp", (F.col(key) == F.coalesce("_first", key)).alias("is_kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
+def copy_links(df: DataFrame, key: str, by: str) -> DataFrame:
+    """(a, b): each record linked to the least one with the same value; single ones and null values have no link."""
+    first = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.min(key).alias("a"))
+    return df.join(first, by).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
+
+
 def kept(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``df`` whose text is the first of its copies."""
     return df.join(exact(df, key, text).where("is_kept").select(key), key, "left_semi")

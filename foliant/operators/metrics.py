@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.columns import share
+from foliant.functions.prefix_sums import running_total_within
 
 # Fixed value: hourly price of a device by a part of its name.
 PRICES = {"H100": 3.0, "A100": 1.79, "V100": 0.55}
@@ -105,9 +106,11 @@ def upper_quantile(df: DataFrame, by: str, value: str, q: float, name: str) -> D
     Equal values are counted first; running counts then find the place, so that a group is never gathered.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(by).orderBy(value)
-    placed = counts.withColumn("_until", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(by)))
-    return placed.where(F.col("_until") > F.floor(F.col("_all") * q)).groupBy(by).agg(F.min(value).alias(name))
+    placed = running_total_within(counts, by, "_n", [value], "_before")
+    all_ = counts.groupBy(F.col(by).alias("_by")).agg(F.sum("_n").alias("_all"))
+    at = F.floor(F.col("_all") * q)
+    held = placed.join(all_, F.col(by).eqNullSafe(F.col("_by"))).where((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n")))
+    return held.select(by, F.col(value).alias(name))
 
 
 def debiased_ema(df: DataFrame, by: str, order: str, value: str, beta: float = 0.9) -> DataFrame:

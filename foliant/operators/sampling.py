@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.columns import hash60, seeded
-from foliant.functions.prefix_sums import row_numbers
+from foliant.functions.prefix_sums import row_numbers, row_numbers_within
 from foliant.operators.selection import sliced, within_group_budget
 
 ONE = 1 << 60
@@ -29,7 +29,7 @@ def shuffled(df: DataFrame, key: str, seed: int, place: str = "place") -> DataFr
 
 def shuffled_within(df: DataFrame, group: str, key: str, seed: int, place: str = "place") -> DataFrame:
     """Adds ``place`` within each group, such as a shard: what a bounded shuffle buffer is for."""
-    return df.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(seeded(seed, key), key)) - 1)
+    return row_numbers_within(df.withColumn("_order", seeded(seed, key)), group, ["_order", key], place).drop("_order")
 
 
 def sequence(tasks: list[tuple[str, DataFrame]], key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.columns import share
-from foliant.functions.prefix_sums import row_numbers, running_total
+from foliant.functions.prefix_sums import row_numbers, running_total, running_total_within
 from foliant.plans.storage import cut
 
 
@@ -56,8 +56,7 @@ def within_budget(df: DataFrame, size: str, order: list[str], most: int) -> Data
 
 def within_group_budget(df: DataFrame, group: str, size: str, order: list[str], most: int) -> DataFrame:
     """``within_budget`` for each group by itself."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_before", before).where(F.col("_before") <= most).drop("_before")
+    return running_total_within(df, group, size, order, "_before").where(F.col("_before") <= most).drop("_before")
 
 
 def every_nth(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -90,7 +90,7 @@ QUERIES = {
     "c4_shared_runs": lambda s, d: tq.shared_runs(_docs(s, d), read(s, d, "eval_items"), 8),
     "d1_exact_duplicates": lambda s, d: dup.exact(_docs(s, d)),
     "d3_minhash_pairs": lambda s, d: dup.minhash_pairs(_docs(s, d)).withColumn("similarity", F.round("similarity", 6)),
-    "d4_clusters": lambda s, d: dup.clusters(dup.exact(read(s, d, "shards_1913").select("rec_id", "document_id").where("document_id is not null"), "rec_id", "document_id").where("n_copies between 2 and 100000").groupBy("fp").agg(F.min("rec_id").alias("a"), F.collect_list("rec_id").alias("all")).select("a", F.explode("all").alias("b"))),
+    "d4_clusters": lambda s, d: dup.clusters(dup.copy_links(read(s, d, "shards_1913").select("rec_id", "document_id"), "rec_id", "document_id")),
     "d5_keep_best": lambda s, d: dup.keep_best(read(s, d, "shards_1913").where("document_id is not null"), "document_id", "source_quality", "rec_id"),
     "d6_reprint_weights": lambda s, d: dup.reprint_weights(read(s, d, "shards_1913").where("content_hash is not null"), "content_hash", "rec_id"),
     "d7_unseen": lambda s, d: dup.unseen(_docs(s, d).select("doc_id", F.col("title")).where("title is not null"), read(s, d, "shards_1913").select("title"), "title").select("doc_id", "title"),
@@ -162,7 +162,7 @@ SQL = {
     "c4_shared_runs": f"select doc_id, item_id, count(*) as n from ({_RUNS('documents', 'doc_id', 8)}) join ({_RUNS('eval_items', 'item_id', 8)}) using (run) group by 1, 2",
     "d1_exact_duplicates": f"select doc_id, fp, case when fp is null then true else doc_id = min(doc_id) over (partition by fp) end as is_kept, case when fp is null then 1 else count(*) over (partition by fp) end as n_copies from (select doc_id, {_FP} as fp from documents)",
     "d3_minhash_pairs": f"with k as (select * from (select *, row_number() over (partition by {_FP} order by doc_id) as rn from documents where text is not null) where rn = 1), r as (select distinct doc_id, array_to_string(w[p:p + 4], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 3)) as p from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from k) where len(w) >= 5)), n as (select doc_id, count(*) as n from r group by 1), c as (select x.doc_id as a, y.doc_id as b, count(*) as c from r x join r y on x.run = y.run and x.doc_id < y.doc_id group by 1, 2) select a, b, round(c / (m.n + o.n - c), 6) as similarity from c join n m on m.doc_id = a join n o on o.doc_id = b where c / (m.n + o.n - c) >= 0.8",
-    "d4_clusters": "select rec_id as node, min(rec_id) over (partition by trim(regexp_replace(document_id, '\\s+', ' ', 'g'))) as label from shards_1913 where document_id in (select document_id from shards_1913 group by 1 having count(*) between 2 and 100000)",
+    "d4_clusters": "select rec_id as node, min(rec_id) over (partition by document_id) as label from shards_1913 where document_id in (select document_id from shards_1913 group by 1 having count(*) > 1)",
     "d5_keep_best": "select document_id, arg_min(rec_id, coalesce(list_position(['keyed_text', 'corrected_ocr', 'source_ocr', 'poor_ocr'], source_quality) - 1, 4)::bigint * 1000000000 + rec_id) as kept, count(*) as n from shards_1913 where document_id is not null group by 1",
     "d6_reprint_weights": "select rec_id, content_hash, n as cluster_size, round(1 / n, 6) as weight_hint from shards_1913 join (select content_hash, count(*) as n from shards_1913 where content_hash is not null group by 1) using (content_hash)",
     "d7_unseen": "select doc_id, title from documents where title is not null and title not in (select title from shards_1913 where title is not null)",

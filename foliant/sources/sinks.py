@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.columns import fingerprint
@@ -29,13 +29,14 @@ def write_metadata(df: DataFrame, path: str) -> None:
 
 def rejection(df: DataFrame, least: int, most: int, order: str = "doc_id") -> DataFrame:
     """Adds ``reason``: accepted, or the first rule that a record fails: empty, duplicate (all but the least id), short, long."""
-    copy = F.row_number().over(Window.partitionBy(fingerprint(F.col("text"))).orderBy(order))
     empty = F.col("text").isNull() | (F.trim("text") == "")
-    # empty texts all have one fingerprint: they are kept out of the window, so that they are no single task
-    full = df.where(~empty).withColumn("_copy", copy)
+    marked = df.where(~empty).withColumn("_fp", fingerprint(F.col("text")))
+    # the first of equal texts is found by aggregation, so that a text of very many copies is no single task
+    first = marked.groupBy("_fp").agg(F.min(order).alias("_first"))
     size = F.length("text")
-    reason = F.when(F.col("_copy") > 1, "rejected_duplicate").when(size < least, "rejected_short").when(size > most, "rejected_long").otherwise("accepted")
-    return full.withColumn("reason", reason).drop("_copy").unionByName(df.where(empty).withColumn("reason", F.lit("rejected_empty")))
+    reason = F.when(F.col(order) != F.col("_first"), "rejected_duplicate").when(size < least, "rejected_short").when(size > most, "rejected_long").otherwise("accepted")
+    full = marked.join(first, "_fp").withColumn("reason", reason).select(*df.columns, "reason")
+    return full.unionByName(df.where(empty).withColumn("reason", F.lit("rejected_empty")))
 
 
 def packager_report(df: DataFrame, by: str, least: int, most: int) -> DataFrame:
