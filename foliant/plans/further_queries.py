@@ -45,8 +45,8 @@ QUERIES = {
     "t10_byte_coverage": lambda s, d: tok.contiguity(tok.vocabulary_table(s, {bytes([i]): i for i in range(256)}, {})),
     "t12_special_leaks": lambda s, d: tok.encoded(read(s, d, "eval_items").select("item_id", F.concat(F.lit("<|bos|> "), "text").alias("text")), tok.learned_merges(tok.piece_counts(read(s, d, "eval_items")), 300), "item_id").where(F.exists("ids", lambda x: x >= 300)).select("item_id"),
     "t19_lookup": lambda s, d: tok.vocabulary_table(s, {bytes([i]): i for i in range(256)}, {"<|bos|>": 256}).where("id in (65, 255, 256)"),
-    "p03_wrapped": lambda s, d: read(s, d, "orders").select("o_orderkey", packing.wrapped(F.col("o_orderkey"), F.lit(997)).alias("cursor")),
-    "p09_moved_spans": lambda s, d: read(s, d, "part").select("p_partkey", packing.moved_span(F.col("p_partkey"), F.col("p_size") * 40, 1024).alias("start")),
+    "pk3_wrapped": lambda s, d: read(s, d, "orders").select("o_orderkey", packing.wrapped(F.col("o_orderkey"), F.lit(997)).alias("cursor")),
+    "pk9_moved_spans": lambda s, d: read(s, d, "part").select("p_partkey", packing.moved_span(F.col("p_partkey"), F.col("p_size") * 40, 1024).alias("start")),
     "a11_group_counts": lambda s, d: read(s, d, "shards_1913").groupBy("genre", "language").agg(F.count("*").alias("n")),
     "a12_token_shares": lambda s, d: sel.with_share(read(s, d, "shards_1913").groupBy("genre").agg(F.sum(F.coalesce("token_estimate", F.lit(0))).alias("tokens")), "tokens", "share").withColumn("share", F.round("share", 6)),
     "a18_best_config": lambda s, d: metrics.best_config(_tagged(s, d), "config", "l_quantity"),
@@ -86,8 +86,8 @@ SQL = {
     "t10_byte_coverage": "select 256 as n, 0 as least, 255 as most, 256 as different, true as contiguous",
     "t12_special_leaks": "select item_id from eval_items where false",
     "t19_lookup": "select * from (values (65, '41', 1, false), (255, 'ff', 1, false), (256, '<|bos|>', 0, true)) t(id, token, size, special)",
-    "p03_wrapped": "select o_orderkey, o_orderkey % 997 as cursor from orders",
-    "p09_moved_spans": "select p_partkey, greatest(p_partkey - greatest(p_size * 40 - 1024, 0), 0) as \"start\" from part",
+    "pk3_wrapped": "select o_orderkey, o_orderkey % 997 as cursor from orders",
+    "pk9_moved_spans": "select p_partkey, greatest(p_partkey - greatest(p_size * 40 - 1024, 0), 0) as \"start\" from part",
     "a11_group_counts": "select genre, language, count(*) as n from shards_1913 group by 1, 2",
     "a12_token_shares": "select genre, tokens, round(tokens / sum(tokens) over (), 6) as share from (select genre, sum(coalesce(token_estimate, 0))::bigint as tokens from shards_1913 group by 1)",
     "a18_best_config": "select config, median from (select 'depth-' || (l_partkey % 9) as config, list_sort(list(l_quantity))[floor(count(*) * 0.5)::int + 1] as median from lineitem group by 1) order by median desc, config limit 1",

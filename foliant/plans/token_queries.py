@@ -69,14 +69,14 @@ QUERIES = {
     "t15_estimates": lambda s, d: read(s, d, "documents").select("doc_id", tok.estimate(F.col("text")).alias("tokens")),
     "t16_token_width": lambda s, d: read(s, d, "shard_meta").select("shard_index", tok.token_width(F.col("tokens")).alias("width")),
     "t17_painted": lambda s, d: read(s, d, "eval_items").where("choices is not null").select("item_id", tok.painted(F.col("choices"), F.transform("choices", lambda x, i: (i == F.col("gold")).cast("int"))).alias("painted")),
-    "p01_spans": lambda s, d: pk.spans(_sizes(s, d), "tokens", ["doc_id"], 4_097),
-    "p02_shifted": lambda s, d: pk.shifted(pk.packed_rows(read(s, d, "eval_items").where("text is not null").select("item_id", F.concat(F.array(F.lit(256)), chat.byte_ids(F.col("text"))).alias("ids")), "ids", ["item_id"], 2 * 128 + 1), 2, 128).select("row", "sequence", F.array_join("inputs", " ").alias("inputs"), F.array_join("targets", " ").alias("targets")),
-    "p05_collated": lambda s, d: pk.collated(chat.rendered(_turns(s, d)).withColumn("place", F.col("conv_id") - 7001), 8, chat.ASSISTANT_END, ["conv_id"]).select("batch", "conv_id", F.size("inputs").alias("width"), F.aggregate("inputs", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("input_sum"), F.aggregate("targets", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("target_sum")),
-    "p06_family_draws": lambda s, d: pk.family_draws(s.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "c")], "slot long, family string"), s.createDataFrame([("a", 10_000), ("b", 3_333), ("c", 100_001)], "family string, tokens long"), 4_000, 257),
-    "p08_padded": lambda s, d: read(s, d, "eval_items").where("text is not null").select("item_id", F.array_join(pk.padded(pk.cropped_left(chat.byte_ids(F.col("text")), 300), F.lit(320), 256), " ").alias("ids"), pk.moved_span(F.lit(350), F.octet_length("text"), 300).alias("start")),
-    "p10_iterations": lambda s, d: read(s, d, "part").select("p_partkey", pk.iterations(F.when(F.pmod("p_partkey", F.lit(3)) == 0, F.col("p_size")), F.when(F.pmod("p_partkey", F.lit(3)) == 1, F.col("p_retailprice") * 1e6), F.lit(1000.0), F.lit(20.0), F.col("p_retailprice"), F.lit(512.0)).alias("steps"), pk.accumulation(F.lit(524_288), F.col("p_size"), F.lit(1024), F.lit(2)).alias("accumulation")),
-    "p12_rate_schedule": lambda s, d: pk.rate_schedule(s.range(1_001).withColumnRenamed("id", "step"), 1_000, 0.1, 0.2, 0.05),
-    "p12_late_decay": lambda s, d: pk.late_decay(s.range(501).withColumnRenamed("id", "step"), 500),
+    "pk1_spans": lambda s, d: pk.spans(_sizes(s, d), "tokens", ["doc_id"], 4_097),
+    "pk2_shifted": lambda s, d: pk.shifted(pk.packed_rows(read(s, d, "eval_items").where("text is not null").select("item_id", F.concat(F.array(F.lit(256)), chat.byte_ids(F.col("text"))).alias("ids")), "ids", ["item_id"], 2 * 128 + 1), 2, 128).select("row", "sequence", F.array_join("inputs", " ").alias("inputs"), F.array_join("targets", " ").alias("targets")),
+    "pk5_collated": lambda s, d: pk.collated(chat.rendered(_turns(s, d)).withColumn("place", F.col("conv_id") - 7001), 8, chat.ASSISTANT_END, ["conv_id"]).select("batch", "conv_id", F.size("inputs").alias("width"), F.aggregate("inputs", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("input_sum"), F.aggregate("targets", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("target_sum")),
+    "pk6_family_draws": lambda s, d: pk.family_draws(s.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "c")], "slot long, family string"), s.createDataFrame([("a", 10_000), ("b", 3_333), ("c", 100_001)], "family string, tokens long"), 4_000, 257),
+    "pk8_padded": lambda s, d: read(s, d, "eval_items").where("text is not null").select("item_id", F.array_join(pk.padded(pk.cropped_left(chat.byte_ids(F.col("text")), 300), F.lit(320), 256), " ").alias("ids"), pk.moved_span(F.lit(350), F.octet_length("text"), 300).alias("start")),
+    "pk10_iterations": lambda s, d: read(s, d, "part").select("p_partkey", pk.iterations(F.when(F.pmod("p_partkey", F.lit(3)) == 0, F.col("p_size")), F.when(F.pmod("p_partkey", F.lit(3)) == 1, F.col("p_retailprice") * 1e6), F.lit(1000.0), F.lit(20.0), F.col("p_retailprice"), F.lit(512.0)).alias("steps"), pk.accumulation(F.lit(524_288), F.col("p_size"), F.lit(1024), F.lit(2)).alias("accumulation")),
+    "pk12_rate_schedule": lambda s, d: pk.rate_schedule(s.range(1_001).withColumnRenamed("id", "step"), 1_000, 0.1, 0.2, 0.05),
+    "pk12_late_decay": lambda s, d: pk.late_decay(s.range(501).withColumnRenamed("id", "step"), 500),
     "v1_rendered": lambda s, d: chat.rendered(_turns(s, d)).select("conv_id", F.array_join("ids", " ").alias("ids"), F.array_join("mask", "").alias("mask")),
     "v2_for_completion": lambda s, d: chat.for_completion(_turns(s, d)).select("conv_id", F.size("ids").alias("n"), F.element_at("ids", -1).alias("last")),
     "v3_choice_prompts": lambda s, d: _choices(s, d).select("item_id", chat.choice_prompt(F.coalesce("question", F.lit("")), F.col("choices")).alias("prompt"), chat.choice_letter(F.col("gold")).alias("letter")),
@@ -125,14 +125,14 @@ SQL = {
     "t15_estimates": "select doc_id, length(text) // 4 as tokens from documents",
     "t16_token_width": "select shard_index, case when tokens < 65536 then 'uint16' else 'uint32' end as width from shard_meta",
     "t17_painted": "select item_id, array_to_string(list_transform(range(1, len(choices) + 1), lambda i: case when i = gold + 1 then chr(27) || '[32m' else chr(27) || '[31m' end || choices[i] || chr(27) || '[0m'), '') as painted from eval_items where choices is not null",
-    "p01_spans": "with p as (select doc_id, t, sum(t) over (order by doc_id) - t as b from (select doc_id, octet_length(encode(text)) + 1 as t from documents where text is not null and text <> '')), e as (select doc_id, t, b, unnest(range((b // 4097)::bigint, ((b + t - 1) // 4097)::bigint + 1)) as r from p) select doc_id, r as row, greatest(b, r * 4097)::bigint - b::bigint as from_token, (least(b + t, (r + 1) * 4097) - greatest(b, r * 4097))::bigint as n, (greatest(b, r * 4097) - r * 4097)::bigint as at from e",
-    "p02_shifted": f"with a as (select flatten(list(list_concat([256], {_BYTES('text')}) order by item_id)) as t from eval_items where text is not null), r as (select t, unnest(range(0, len(t) // 257)) as row from a), q as (select t[row * 257 + 1:row * 257 + 257] as t, row, unnest([0, 1]) as sequence from r) select row, sequence, array_to_string(t[sequence * 128 + 1:sequence * 128 + 128], ' ') as inputs, array_to_string(t[sequence * 128 + 2:sequence * 128 + 129], ' ') as targets from q",
-    "p05_collated": f"with r as (select conv_id, (conv_id - 7001) // 8 as batch, ids, mask, max(len(ids) - 1) over (partition by (conv_id - 7001) // 8) as width from ({_REN})) select batch, conv_id, width, list_sum(ids[1:len(ids) - 1])::bigint + 260 * (width - len(ids) + 1) as input_sum, list_sum(list_transform(range(2, len(ids) + 1), lambda i: case when mask[i] = 1 then ids[i] else -1 end))::bigint - (width - len(ids) + 1) as target_sum from r",
-    "p06_family_draws": "select m as microbatch, family, k as draw, k * 257 % t as from_token, (k + 1) * 257 % t as to_token, (k + 1) * 257 // t as wraps from (select m, f[m % 4 + 1] as family, n[m % 4 + 1] as t, m // 4 * e[m % 4 + 1] + i[m % 4 + 1] as k from (select m, ['a', 'a', 'b', 'c'] as f, [10000, 10000, 3333, 100001] as n, [2, 2, 1, 1] as e, [0, 1, 0, 0] as i from range(4000) t(m)))",
-    "p08_padded": f"select item_id, array_to_string(list_concat(b[greatest(len(b) - 299, 1):], list_transform(range(320 - least(len(b), 300)), lambda x: 256)), ' ') as ids, greatest(350 - greatest(len(b) - 300, 0), 0) as \"start\" from (select item_id, {_BYTES('text')} as b from eval_items where text is not null)",
-    "p10_iterations": "select p_partkey, case when p_partkey % 3 = 0 and p_size > 0 then p_size when p_partkey % 3 = 1 and p_retailprice > 0 then round(p_retailprice * 1e6 / (1000.0 * 512.0))::bigint else floor(20.0 * p_retailprice / 512.0)::bigint end as steps, case when 524288 % (p_size * 1024 * 2) = 0 then 524288 // (p_size * 1024 * 2) end as accumulation from part",
-    "p12_rate_schedule": "select s as step, round(case when s < 100 then (s + 1) / 100.0::double when s <= 800 then 1.0::double else (1000 - s) / 200.0::double + (1 - (1000 - s) / 200.0::double) * 0.05::double end, 6) as rate, round((1 - least(s / 300.0::double, 1)) * 0.85::double + least(s / 300.0::double, 1) * 0.95::double, 6) as momentum from range(1001) t(s)",
-    "p12_late_decay": "select s as step, round(case when s / 500 < 0.8::double then 1.0::double else (1 - s / 500) / (1 - 0.8::double) end, 6) as rate from range(501) t(s)",
+    "pk1_spans": "with p as (select doc_id, t, sum(t) over (order by doc_id) - t as b from (select doc_id, octet_length(encode(text)) + 1 as t from documents where text is not null and text <> '')), e as (select doc_id, t, b, unnest(range((b // 4097)::bigint, ((b + t - 1) // 4097)::bigint + 1)) as r from p) select doc_id, r as row, greatest(b, r * 4097)::bigint - b::bigint as from_token, (least(b + t, (r + 1) * 4097) - greatest(b, r * 4097))::bigint as n, (greatest(b, r * 4097) - r * 4097)::bigint as at from e",
+    "pk2_shifted": f"with a as (select flatten(list(list_concat([256], {_BYTES('text')}) order by item_id)) as t from eval_items where text is not null), r as (select t, unnest(range(0, len(t) // 257)) as row from a), q as (select t[row * 257 + 1:row * 257 + 257] as t, row, unnest([0, 1]) as sequence from r) select row, sequence, array_to_string(t[sequence * 128 + 1:sequence * 128 + 128], ' ') as inputs, array_to_string(t[sequence * 128 + 2:sequence * 128 + 129], ' ') as targets from q",
+    "pk5_collated": f"with r as (select conv_id, (conv_id - 7001) // 8 as batch, ids, mask, max(len(ids) - 1) over (partition by (conv_id - 7001) // 8) as width from ({_REN})) select batch, conv_id, width, list_sum(ids[1:len(ids) - 1])::bigint + 260 * (width - len(ids) + 1) as input_sum, list_sum(list_transform(range(2, len(ids) + 1), lambda i: case when mask[i] = 1 then ids[i] else -1 end))::bigint - (width - len(ids) + 1) as target_sum from r",
+    "pk6_family_draws": "select m as microbatch, family, k as draw, k * 257 % t as from_token, (k + 1) * 257 % t as to_token, (k + 1) * 257 // t as wraps from (select m, f[m % 4 + 1] as family, n[m % 4 + 1] as t, m // 4 * e[m % 4 + 1] + i[m % 4 + 1] as k from (select m, ['a', 'a', 'b', 'c'] as f, [10000, 10000, 3333, 100001] as n, [2, 2, 1, 1] as e, [0, 1, 0, 0] as i from range(4000) t(m)))",
+    "pk8_padded": f"select item_id, array_to_string(list_concat(b[greatest(len(b) - 299, 1):], list_transform(range(320 - least(len(b), 300)), lambda x: 256)), ' ') as ids, greatest(350 - greatest(len(b) - 300, 0), 0) as \"start\" from (select item_id, {_BYTES('text')} as b from eval_items where text is not null)",
+    "pk10_iterations": "select p_partkey, case when p_partkey % 3 = 0 and p_size > 0 then p_size when p_partkey % 3 = 1 and p_retailprice > 0 then round(p_retailprice * 1e6 / (1000.0 * 512.0))::bigint else floor(20.0 * p_retailprice / 512.0)::bigint end as steps, case when 524288 % (p_size * 1024 * 2) = 0 then 524288 // (p_size * 1024 * 2) end as accumulation from part",
+    "pk12_rate_schedule": "select s as step, round(case when s < 100 then (s + 1) / 100.0::double when s <= 800 then 1.0::double else (1000 - s) / 200.0::double + (1 - (1000 - s) / 200.0::double) * 0.05::double end, 6) as rate, round((1 - least(s / 300.0::double, 1)) * 0.85::double + least(s / 300.0::double, 1) * 0.95::double, 6) as momentum from range(1001) t(s)",
+    "pk12_late_decay": "select s as step, round(case when s / 500 < 0.8::double then 1.0::double else (1 - s / 500) / (1 - 0.8::double) end, 6) as rate from range(501) t(s)",
     "v1_rendered": f"select conv_id, array_to_string(ids, ' ') as ids, array_to_string(mask, '') as mask from ({_REN})",
     "v2_for_completion": f"select item_id as conv_id, least(3 + len({_BYTES('u')}), 2048) + 1 as n, 259 as last from ({_ITEMS})",
     "v3_choice_prompts": "select item_id, 'Multiple Choice question: ' || coalesce(question, '') || chr(10) || array_to_string(list_transform(range(1, len(choices) + 1), lambda i: '- ' || choices[i] || '=' || ['A', 'B', 'C', 'D', 'E', 'F', 'G', 'H'][i] || chr(10)), '') || chr(10) || 'Respond only with the letter of the correct answer.' as prompt, ['A', 'B', 'C', 'D', 'E', 'F', 'G', 'H'][gold + 1] as letter from eval_items where choices is not null",
