@@ -1,9 +1,9 @@
-"""Pre-tokens, byte-pair merges, encoding, vocabulary checks and token counts."""
+"""Pre-tokens, byte-pair counts, encoding with public vocabularies, vocabulary checks and token counts."""
 
 from __future__ import annotations
 
+import base64
 import json
-from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -16,6 +16,8 @@ from foliant.functions.columns import pieces, share
 # Fixed value: the pattern of pre-tokens.
 PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
 SPECIALS = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>")
+#: Path of a public vocabulary's rank file.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BEGINNINGS = ("<|bos|>", "<|endoftext|>", "[BOS]")
 
 
@@ -25,7 +27,7 @@ def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def byte_pairs(counts: DataFrame) -> DataFrame:
-    """(left, right, n): neighbouring bytes within pieces, as two hex digits each: what a first merge is chosen from."""
+    """(left, right, n): neighbouring bytes within pieces, as two hex digits each: what a merge would be chosen from."""
     hexed = counts.select(F.hex(F.encode("piece", "utf-8")).alias("x"), "n").withColumn("size", (F.length("x") / 2).cast("int"))
     at = F.when(F.col("size") > 1, F.sequence(F.lit(1), F.col("size") - 1)).otherwise(F.array().cast("array<int>"))
     each = hexed.select("x", "n", F.explode(at).alias("i"))
@@ -33,46 +35,10 @@ def byte_pairs(counts: DataFrame) -> DataFrame:
     return each.select(left.alias("left"), right.alias("right"), "n").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def learned_merges(counts: DataFrame, vocabulary: int, most_pieces: int = 200_000) -> dict[bytes, int]:
-    """Ranks of a byte-level vocabulary: 256 bytes, then merges by count, ties to the least pair.
-
-    Pieces are counted over all texts in Spark; the merges are then a loop over the ``most_pieces`` commonest pieces, a
-    documented bound on what reaches the driver.
-    """
-    if vocabulary < 256:
-        raise ValueError("a byte-level vocabulary has at least 256 entries")
-    rows = counts.orderBy(F.col("n").desc(), "piece").limit(most_pieces).collect()
-    held = [([bytes([b]) for b in r.piece.encode()], r.n) for r in rows]
-    ranks = {bytes([i]): i for i in range(256)}
-    where: dict[tuple[bytes, bytes], set[int]] = {}
-    total: Counter = Counter()
-    for i, (parts, n) in enumerate(held):
-        for pair in zip(parts, parts[1:], strict=False):
-            total[pair] += n
-            where.setdefault(pair, set()).add(i)
-    while len(ranks) < vocabulary and total:
-        best = max(total, key=lambda p: (total[p], [-x for x in p[0]], [-x for x in p[1]]))
-        if total[best] <= 0:
-            break
-        ranks[best[0] + best[1]] = len(ranks)
-        for i in where.pop(best, ()):
-            parts, n = held[i]
-            for pair in zip(parts, parts[1:], strict=False):
-                total[pair] -= n
-            merged, j = [], 0
-            while j < len(parts):
-                if j + 1 < len(parts) and (parts[j], parts[j + 1]) == best:
-                    merged.append(parts[j] + parts[j + 1])
-                    j += 2
-                else:
-                    merged.append(parts[j])
-                    j += 1
-            held[i] = (merged, n)
-            for pair in zip(merged, merged[1:], strict=False):
-                total[pair] += n
-                where.setdefault(pair, set()).add(i)
-        del total[best]
-    return ranks
+def public_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
+    """The ranks of a public byte-level vocabulary, from a file of base64 tokens and numbers. Vocabularies are read, never learned."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
 def encoding(ranks: dict[bytes, int], specials: dict[str, int] | None = None):  # noqa: ANN201

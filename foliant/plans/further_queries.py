@@ -43,7 +43,7 @@ QUERIES = {
     "r6_mid_mixture": lambda s, d: sampling.mixture(_parts(s, d, 50), "id", 42),
     "r7_tuning_mixture": lambda s, d: sampling.mixture(_parts(s, d, 500)[1:], "id", 7).groupBy("task_idx", "task").agg(F.count("*").alias("n"), F.min("place").alias("first")),
     "t10_byte_coverage": lambda s, d: tok.contiguity(tok.vocabulary_table(s, {bytes([i]): i for i in range(256)}, {})),
-    "t12_special_leaks": lambda s, d: tok.encoded(read(s, d, "eval_items").select("item_id", F.concat(F.lit("<|bos|> "), "text").alias("text")), tok.learned_merges(tok.piece_counts(read(s, d, "eval_items")), 300), "item_id").where(F.exists("ids", lambda x: x >= 300)).select("item_id"),
+    "t12_special_leaks": lambda s, d: tok.encoded(read(s, d, "eval_items").select("item_id", F.concat(F.lit("<|bos|> "), "text").alias("text")), tok.public_ranks(), "item_id").where(F.exists("ids", lambda x: x >= 50_256)).select("item_id"),
     "t19_lookup": lambda s, d: tok.vocabulary_table(s, {bytes([i]): i for i in range(256)}, {"<|bos|>": 256}).where("id in (65, 255, 256)"),
     "pk3_wrapped": lambda s, d: read(s, d, "orders").select("o_orderkey", packing.wrapped(F.col("o_orderkey"), F.lit(997)).alias("cursor")),
     "pk9_moved_spans": lambda s, d: read(s, d, "part").select("p_partkey", packing.moved_span(F.col("p_partkey"), F.col("p_size") * 40, 1024).alias("start")),

@@ -36,8 +36,7 @@ def _stream(s, d, table="events"):
 
 
 def _once(s, stream, mode):
-    name = f"s{uuid.uuid4().hex}"
-    return streams.run_once(stream, name, mode, f"{shared_folder(s)}/{name}")
+    return streams.run_once(stream, mode, f"{shared_folder(s)}/stream-{uuid.uuid4().hex}")
 
 
 R = lambda df, *cols: df.select(*(F.round(c, 4).alias(c) if c in cols else c for c in df.columns))

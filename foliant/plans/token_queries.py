@@ -35,10 +35,6 @@ def _vocabulary(s, d):
     return names.select((F.row_number().over(Window.orderBy("token")) - 1).alias("id"), "token", F.octet_length("token").alias("size"))
 
 
-def _trained(s, d):
-    return tok.learned_merges(tok.piece_counts(read(s, d, "eval_items")), 400)
-
-
 def _turns(s, d):
     """Two turns an item, the passage as a system message before the question."""
     e = read(s, d, "eval_items").where("text is not null")
@@ -55,8 +51,8 @@ def _choices(s, d):
 QUERIES = {
     "t1_piece_counts": lambda s, d: tok.piece_counts(_texts(s, d)),
     "t2_byte_pairs": lambda s, d: tok.byte_pairs(tok.piece_counts(_texts(s, d))),
-    "t2_merges": lambda s, d: tok.vocabulary_table(s, _trained(s, d), {t: 400 + i for i, t in enumerate(tok.SPECIALS)}),
-    "t3_round_trip_failures": lambda s, d: tok.round_trip_failures(read(s, d, "documents").select("doc_id", "text"), _trained(s, d), "doc_id"),
+    "t3_round_trip_failures": lambda s, d: tok.round_trip_failures(read(s, d, "documents").select("doc_id", "text"), tok.public_ranks(), "doc_id"),
+    "t4_token_counts": lambda s, d: tok.encoded(read(s, d, "documents").select("doc_id", "text"), tok.public_ranks(), "doc_id").select("doc_id", F.size("ids").alias("n")),
     "t5_begin_token": lambda s, d: tok.begin_token(tok.vocabulary_table(s, {bytes([i]): i for i in range(256)}, {"[BOS]": 256, "<|endoftext|>": 257})),
     "t6_token_sizes": lambda s, d: _vocabulary(s, d),
     "t7_shard_tokens": lambda s, d: tok.shard_tokens(_counted(s, d), "source", "n"),

@@ -64,8 +64,19 @@ def family_cursors(draws: DataFrame, totals: dict[str, int]) -> DataFrame:
     return draws.groupBy("family").applyInPandasWithState(step, CURSORS, "draws bigint, tokens bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Reads what there is, and returns the result as a table; the checkpoint lets a later call go on from there."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Reads what is new since the checkpoint under ``folder`` and returns what that gave, as a table there.
+
+    Each batch is written under its number, so that one which is run again replaces itself. In complete mode the
+    result is the last batch, else all of them.
+    """
+    spark, seen = stream.sparkSession, []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        seen.append(number)
+
+    query = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    wanted = seen[-1:] if mode == "complete" else seen
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/out/{n}" for n in wanted)) if wanted else spark.createDataFrame([], stream.schema)

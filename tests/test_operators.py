@@ -1,3 +1,4 @@
+import base64
 import random
 
 import pytest
@@ -137,16 +138,18 @@ def test_spans_cover_stream(spark):
     assert sorted((r["row"], r["at"]) for r in got)[0] == (0, 0) and max(r["at"] + r.n for r in got) <= 10
 
 
-def test_merges_round_trip(spark):
+def test_public_vocabulary_round_trip(spark, tmp_path):
     texts = [(1, "the theme of the thesis\n\n  is thin"), (2, "naïve café — ½ 漢字 🙂"), (3, ""), (4, None), (5, "<|bos|> spoof")]
     df = spark.createDataFrame(texts, "doc_id int, text string")
-    ranks = tokens.learned_merges(tokens.piece_counts(df), 270)
-    assert ranks[b"th"] == 256 and sorted(ranks.values()) == list(range(270))
+    path = tmp_path / "small.tiktoken"
+    parts = [bytes([i]) for i in range(256)] + [b"th", b"the"]
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(parts)))
+    ranks = tokens.public_ranks(str(path))
     assert tokens.round_trip_failures(df, ranks, "doc_id").count() == 0
     ids = {r.doc_id: r.ids for r in tokens.encoded(df, ranks, "doc_id", prepend=999).collect()}
-    assert ids[3] == [999] and 4 not in ids and max(ids[5][1:]) < 270
-    with pytest.raises(ValueError, match="256"):
-        tokens.learned_merges(tokens.piece_counts(df), 10)
+    assert ids[3] == [999] and 4 not in ids and max(ids[5][1:]) < 258 and ids[1][1] == 257
+    tokens.save_ranks(ranks, str(tmp_path / "vocabulary.json"))
+    assert tokens.load_ranks(str(tmp_path)) == ranks
 
 
 def test_calculator_is_no_eval():
