@@ -85,22 +85,27 @@ def source_name(column: str) -> Column:
     return F.lower(F.trim(F.col(column)))
 
 
-def blocks(documents: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK_TOKENS) -> DataFrame:
-    """(doc_id, source, tokens, shard, block): documents with tokens in a seeded order, cut into blocks of equal tokens."""
-    named = documents.where("doc_id is not null and source is not null and text is not null").select(F.col("doc_id").alias("id"), source_name("source").alias("source"), "text")
+def blocks(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK_TOKENS) -> tuple[DataFrame, int]:
+    """(doc_id, source, tokens, shard, block) of the sources that mixes name, and the tokens of all documents.
+
+    Documents with tokens lie in a seeded order within their shard, cut into blocks of equal token counts.
+    """
+    named = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), source_name("source").alias("source"), "text")
     counted = cut(token_counts(named, tokenizer).where("tokens > 0").join(named.select("id", "source"), "id"))
-    totals = counted.groupBy("source").agg(F.least(F.lit(SHARDS), F.ceil(F.sum("tokens") / SHARD_TOKENS)).alias("n_shards"))
-    held = counted.join(small(cut(totals), 100_000), "source")
+    every = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    names = small(cut(targets.select(source_name("source").alias("source")).where("source is not null").distinct()), 100_000)
+    used = counted.join(names, "source", "left_semi")
+    totals = used.groupBy("source").agg(F.least(F.lit(SHARDS), F.ceil(F.sum("tokens") / SHARD_TOKENS)).alias("n_shards"))
+    held = used.join(small(cut(totals), 100_000), "source")
     order = F.xxhash64("id", F.lit(SEED))
     held = held.withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), "n_shards").cast("int"))
     before = F.sum("tokens").over(Window.partitionBy("source", "shard").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1))
-    return cut(held.select(F.col("id").alias("doc_id"), "source", "tokens", "shard", F.floor(F.coalesce(before, F.lit(0)) / block).alias("block")))
+    return cut(held.select(F.col("id").alias("doc_id"), "source", "tokens", "shard", F.floor(F.coalesce(before, F.lit(0)) / block).alias("block"))), every
 
 
-def plan(held: DataFrame, targets: DataFrame, block: int) -> tuple[list[tuple], list[tuple]]:
+def plan(held: DataFrame, every: int, targets: DataFrame, block: int) -> tuple[list[tuple], list[tuple]]:
     """(quotas, shares): for each mix, source and shard the passes over all blocks and the blocks beyond; for each mix and source its sums."""
     shards = held.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens"), F.count_distinct("block").alias("blocks")).toPandas()
-    every = int(shards.tokens.sum())
     wanted = targets.where("mix_name is not null and source is not null").select("mix_name", source_name("source").alias("source"), "target_share", "max_repeats", "budget_ratio")
     wanted = wanted.groupBy("mix_name", "source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("cap"), F.max("budget_ratio").alias("ratio")).toPandas()
     quotas, sums = [], []
@@ -125,8 +130,8 @@ SUMS = "mix_name string, source string, target_share double, max_repeats int, to
 
 
 def _chosen(documents: DataFrame, targets: DataFrame, tokenizer: str, block: int) -> tuple[DataFrame, DataFrame]:
-    held = blocks(documents, tokenizer, block)
-    quotas, sums = plan(held, targets, block)
+    held, every = blocks(documents, targets, tokenizer, block)
+    quotas, sums = plan(held, every, targets, block)
     spark = documents.sparkSession
     # quotas: one row a mix, source and shard, of which there are SHARDS a source at most
     quota = F.broadcast(spark.createDataFrame(quotas, QUOTAS))
@@ -142,7 +147,7 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
     """(mix_name, doc_id, source, tokens, repeats): how often each document stands in each mix; those that don't have no row.
 
     Sources are compared in lower case without blanks around; a null source is in no mix. Target shares are scaled to
-    1; null or negative ones count as 0, and a source named twice in a mix counts its shares together under the lower
+    1; null or negative ones count as 0, the size of a mix is its ratio of the tokens of all documents, and a source named twice in a mix counts its shares together under the lower
     cap. A null cap is no cap. What a capped or missing source can't fill goes to the others by their quotients; a mix
     whose sources are all capped ends below its size. Documents without tokens are in no mix.
     """
