@@ -11,11 +11,9 @@ exactly on their run sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +27,10 @@ RUN, THRESHOLD = 3, 0.6
 LANES, SEGMENT_WORDS, REACH = 12, 8, 3
 #: Records of a bucket that are paired without a further key.
 BUCKET = 32
-SKETCH_LANES = 128
+#: Records of a hot bucket that are compared at once with as many.
+BLOCK = 1 << 14
+#: Sketch lanes; each gives a bit, and ``PLANES`` more bits that are looked at in hot buckets.
+SKETCH_LANES, PLANES = 128, 3
 
 
 def fingerprints(texts: pa.Array, run: int, lanes: int, segment: int, reach: int) -> dict[str, np.ndarray | list]:
@@ -41,6 +42,7 @@ def fingerprints(texts: pa.Array, run: int, lanes: int, segment: int, reach: int
     sets, hashes = w.run_sets(run)
     size = np.bincount(sets, minlength=rows)
     klass, low, high = np.zeros(rows, U), np.zeros(rows, U), np.zeros(rows, U)
+    planes = np.zeros((rows, 2 * PLANES), U)
     owner, key = [np.empty(0, np.int64)], [np.empty(0, U)]
     if len(h):
         heads = np.flatnonzero(np.r_[True, sets[1:] != sets[:-1]])
@@ -48,6 +50,8 @@ def fingerprints(texts: pa.Array, run: int, lanes: int, segment: int, reach: int
         for lane, (who, least, _) in enumerate(lane_minima(sets, hashes, SKETCH_LANES, seed=11)):
             word = low if lane < 64 else high
             word[who] |= (least & U(1)) << U(lane % 64)
+            for plane in range(PLANES):
+                planes[who, 2 * plane + lane // 64] |= (least >> U(plane + 1) & U(1)) << U(lane % 64)
         bit = np.left_shift(1, (mix(w.h) % U(golay.BITS)).astype(np.int64))
         total = np.concatenate([[0], np.bitwise_xor.accumulate(bit)])
         last = w.first + w.count
@@ -69,10 +73,10 @@ def fingerprints(texts: pa.Array, run: int, lanes: int, segment: int, reach: int
     owner, key = np.concatenate(owner), np.concatenate(key)
     order = np.argsort(owner, kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
-    return {"klass": klass, "size": size, "low": low, "high": high, "keys": key[order], "ends": ends}
+    return {"klass": klass, "size": size, "low": low, "high": high, "planes": planes, "keys": key[order], "ends": ends}
 
 
-SIGNATURE = "rec_id long, klass long, size int, low long, high long, keys array<long>"
+SIGNATURE = "rec_id long, klass long, size int, low long, high long, planes array<long>, keys array<long>"
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, run: int, lanes: int, segment: int, reach: int) -> DataFrame:
@@ -84,8 +88,10 @@ def signatures(df: DataFrame, id_col: str, text_col: str, run: int, lanes: int,
                 f = fingerprints(part, run, lanes, segment, reach)
                 keys = pa.ListArray.from_arrays(pa.array(f["ends"], pa.int32()), pa.array(f["keys"].view(np.int64)))
                 columns = [batch.column("rec_id").slice(start, len(part)), *(pa.array(f[c].view(np.int64)) for c in ("klass",))]
-                columns += [pa.array(f["size"], pa.int32()), pa.array(f["low"].view(np.int64)), pa.array(f["high"].view(np.int64)), keys]
-                out = pa.RecordBatch.from_arrays(columns, ["rec_id", "klass", "size", "low", "high", "keys"])
+                ends = np.arange(len(part) + 1, dtype=np.int32) * 2 * PLANES
+                planes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f["planes"].view(np.int64).ravel()))
+                columns += [pa.array(f["size"], pa.int32()), pa.array(f["low"].view(np.int64)), pa.array(f["high"].view(np.int64)), planes, keys]
+                out = pa.RecordBatch.from_arrays(columns, ["rec_id", "klass", "size", "low", "high", "planes", "keys"])
                 yield out.filter(pa.array(f["size"] > 0))
 
     ids = df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).alias("text"))
@@ -97,7 +103,7 @@ def classes(signed: DataFrame) -> DataFrame:
     return signed.groupBy("klass", "size").agg(
         F.min("rec_id").alias("rep"),
         F.count("*").alias("copies"),
-        *(F.first(c).alias(c) for c in ("low", "high", "keys")),
+        *(F.first(c).alias(c) for c in ("low", "high", "planes", "keys")),
     )
 
 
@@ -108,21 +114,21 @@ def _alike(a: str, b: str, threshold: float, least: int) -> Column:
     return (F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b)) & (differ <= SKETCH_LANES - least)
 
 
-def least_agreement(threshold: float) -> int:
-    """Sketch bits that records at the threshold have in common, less five standard deviations."""
-    p = (1 + threshold) / 2
+def least_agreement(threshold: float, planes: int = 1) -> int:
+    """Sketch lanes in which records at the threshold agree by all planes, less five standard deviations."""
+    p = threshold + (1 - threshold) / 2**planes
     return int(SKETCH_LANES * p - 5 * (SKETCH_LANES * p * (1 - p)) ** 0.5)
 
 
-def candidates(reps: DataFrame, threshold: float, bucket: int, slots: int) -> DataFrame:
+def candidates(reps: DataFrame, threshold: float, bucket: int, block: int) -> DataFrame:
     """Pairs (a, b) of class representatives that share a key and pass the sketch test.
 
     A bucket of up to ``bucket`` records gives its pairs at once. Only ``bucket`` + 1 records of a bucket are ever
-    gathered: that many show that its key is hot. Records that meet in hot keys alone, as those that have a site's
-    lines in common, meet again in keys made of three of their hot keys.
+    gathered there: that many show that its key is hot. The records of a hot key, as those that have a site's lines in
+    common, are dealt to blocks of about ``block``, and every block meets itself and every other one.
     """
     least = least_agreement(threshold)
-    rows = reps.select(F.posexplode("keys").alias("slot", "key"), "rep", "size", "low", "high")
+    rows = reps.select(F.explode("keys").alias("key"), "rep", "size", "low", "high")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
     buckets = (
         rows.withColumn("rank", rank)
@@ -142,53 +148,47 @@ def candidates(reps: DataFrame, threshold: float, bucket: int, slots: int) -> Da
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     )
     hot = small(found.where("hot").select("key"))
-    triples = (
-        rows.select("key", "slot", "rep")
-        .join(hot, "key")
-        .groupBy("rep")
-        .agg(F.array_sort(F.collect_list(F.struct("slot", "key"))).alias("hot"))
-        .where(F.size("hot") >= 3)
-        .select("rep", F.explode(hot_triples(F.col("hot"), slots)).alias("key"))
-        .distinct()
-        .join(reps.select("rep", "size", "low", "high"), "rep")
-    )
-    triples = cut(triples)
-    x, y = triples.alias("x"), triples.alias("y")
-    warm = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & _alike("x", "y", threshold, least))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    )
+    counted = cut(rows.select("key").join(hot, "key").groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks")))
+    members = reps.select(F.explode("keys").alias("key"), "rep", "size", "low", "high", "planes").join(small(counted), "key")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks"))).select("*", other)
+    met = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "size", "low", "high", "planes")
+    warm = met.groupBy("key", "i", "j").applyInArrow(_met(threshold), "a long, b long")
     return cold.unionByName(warm).distinct()
 
 
-def slot_triples(slots: int, many: int = 96) -> list[tuple[int, int, int]]:
-    """Fixed triples of key slots, drawn once; on average each slot is in as many."""
-    rng = np.random.default_rng(5)
-    return sorted({tuple(sorted(rng.choice(slots, 3, replace=False).tolist())) for _ in range(many)})
-
-
-def hot_triples(hot: Column, slots: int) -> Column:
-    """Keys of three hot keys: all triples of up to eight of them, and the fixed slot triples of any number."""
-
-    def of(pairs: list) -> list[int]:
-        keys = [int(p["key"]) for p in pairs]
-        chosen = set(combinations(keys, 3)) if len(keys) <= 8 else set()
-        by_slot = {}
-        for p in pairs:
-            by_slot.setdefault(int(p["slot"]), int(p["key"]))
-        for i, j, k in fixed:
-            if i in by_slot and j in by_slot and k in by_slot:
-                chosen.add((by_slot[i], by_slot[j], by_slot[k]))
-        if not chosen:
-            return []
-        t = np.array(sorted(chosen), np.int64).view(U)
-        return np.unique(mix(t[:, 0] + mix(t[:, 1] + mix(t[:, 2])))).view(np.int64).tolist()
-
-    def every(hot: pd.Series) -> pd.Series:
-        return hot.map(of)
-
-    fixed = slot_triples(slots)
-    return F.pandas_udf(every, "array<long>")(hot)
+def _met(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """The pairs of two blocks, or of one with itself, that may reach the threshold by their sizes and all sketch planes."""
+    least = least_agreement(threshold, 1 + PLANES)
+
+    def meet(table: pa.Table) -> pa.Table:
+        rep, size, block = (table.column(c).to_numpy() for c in ("rep", "size", "block"))
+        more = table.column("planes").combine_chunks().flatten().to_numpy().reshape(-1, 2 * PLANES)
+        sketch = np.column_stack([table.column("low").to_numpy(), table.column("high").to_numpy(), more]).view(U)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        by_place = np.ascontiguousarray(sketch[y].T)
+        at, to = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        step = max(1, (1 << 20) // max(1, len(y)))
+        for start in range(0, len(x), step):
+            part = x[start : start + step]
+            differ = 0
+            for side in (0, 1):
+                apart = sketch[part, side, None] ^ by_place[side]
+                for plane in range(1, 1 + PLANES):
+                    apart |= sketch[part, 2 * plane + side, None] ^ by_place[2 * plane + side]
+                differ = differ + np.bitwise_count(apart)
+            p, q = np.nonzero(differ <= SKETCH_LANES - least)
+            p, q = part[p], y[q]
+            keep = np.minimum(size[p], size[q]) >= threshold * np.maximum(size[p], size[q])
+            if i == j:
+                keep &= rep[p] < rep[q]
+            at.append(p[keep])
+            to.append(q[keep])
+        a, b = rep[np.concatenate(at)], rep[np.concatenate(to)]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return meet
 
 
 def verify(pairs: DataFrame, texts: DataFrame, run: int, threshold: float) -> DataFrame:
@@ -224,7 +224,7 @@ def with_texts(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame | None =
 
 def links(
     df: DataFrame, id_col: str = "rec_id", text_col: str = "text", run: int = RUN, threshold: float = THRESHOLD,
-    lanes: int = LANES, segment: int = SEGMENT_WORDS, reach: int = REACH, bucket: int = BUCKET,
+    lanes: int = LANES, segment: int = SEGMENT_WORDS, reach: int = REACH, bucket: int = BUCKET, block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (rec_id, rep) of all records with runs, links (a, b, similarity) between representatives.
 
@@ -233,7 +233,7 @@ def links(
     """
     signed = cut(signatures(df, id_col, text_col, run, lanes, segment, reach))
     reps = cut(classes(signed))
-    pairs = cut(candidates(reps, threshold, bucket, 2 * lanes))
+    pairs = cut(candidates(reps, threshold, bucket, block))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = cut(verify(pairs, texts, run, threshold))
     copied = reps.where("copies > 1").select("klass", "size", "rep")

@@ -109,6 +109,26 @@ def test_p1_awkward_rows_and_hot_buckets(spark, bucket):
     assert near_duplicates.found_pairs(df.limit(0)).count() == 0 and near_duplicates.groups(df.limit(0)).count() == 0
 
 
+def test_p1_pairs_hot_keys_whole(spark):
+    """Families of edited variants of which most keys are hot: as many of their pairs are found as with no key hot."""
+    rng = random.Random(8)
+    rows = []
+    for family in range(3):
+        base = prose(family, 90).split()
+        for i in range(150):
+            text = list(base)
+            for at in rng.sample(range(90), 4):
+                text[at] = f"edit{rng.randrange(10**6)}"
+            rows.append((family * 1000 + i, 0, " ".join(text)))
+    want = brute.alike([(i, t) for i, _, t in rows])
+    df = records(spark, rows)
+    whole = {tuple(r) for r in near_duplicates.found_pairs(df, bucket=10_000).collect()}
+    assert len(want) > 1000 and len(whole) >= 0.99 * len(want)
+    for options in ({}, {"block": 40}):
+        got = [tuple(r) for r in near_duplicates.found_pairs(df, **options).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want and len(whole - set(got)) <= 0.0001 * len(whole)
+
+
 # 2 scans
 
 
