@@ -278,9 +278,16 @@ _TABLE = re.compile(r"\||\. \. |\t|^\s*[-–§*•] |\d,? +\d")
 
 def furniture(lines: list[str], title: str | None, site: set[int]) -> set[int]:
     """Numbers (from 0) of the lines that are no part of the text: page numbers, marks and running headers."""
-    numbers, headers = [], []
+    numbers, headers, others = [], [], set()
     for i, line in enumerate(lines):
-        if len(line) > 140 or not _MAYBE.match(line) or i in site:
+        if len(line) > 140 or i in site:
+            continue
+        if not _MAYBE.match(line):
+            if line.rstrip().endswith("."):
+                bare, cut = core(line)
+                if len(bare.split()) >= 2 and not _TABLE.search(bare) and ("," not in bare or bare.isupper()) and is_title(bare, 0):
+                    headers.append((i, bare, cut))
+                    others.add(i)
             continue
         if _NUMBER.match(line):
             before = lines[i - 1].rstrip() if i else ""
@@ -303,7 +310,11 @@ def furniture(lines: list[str], title: str | None, site: set[int]) -> set[int]:
         near = any(j in edges for j in (i - 2, i - 1, i + 1, i + 2))
         known = title is not None and alike(bare, title)
         long = len(bare.split()) >= 2
-        if long and not (shouted and not cut) and (known or ((repeated or near or len(bare) >= 8) and (cut or capitals))):
+        if i in others:
+            # without the shape of a header only what is known of its text or place tells
+            if (known or (repeated and near)) and not (shouted and not cut):
+                found.add(i)
+        elif long and not (shouted and not cut) and (known or ((repeated or near or len(bare) >= 8) and (cut or capitals))):
             found.add(i)
     return found | edges
 

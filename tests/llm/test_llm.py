@@ -132,6 +132,16 @@ def test_p1_pairs_hot_keys_whole(spark):
 # 2 scans
 
 
+def test_p2_headers_misread_in_their_first_letters_and_repeated_in_title_case():
+    body = ["the harbour was full of barrels and the sergeant counted them all", "until the winter, when the meadow was sold with all its timber"]
+    for line in ("A HlSTORY OF SELRIBOURNE.", "T1E HlSTORY OF SELRIBOURNE.", "cHE HISTORY OF SELRIBOURNE."):
+        assert scans.furniture([*body, line, *body], "A History of Selribourne", set()) == {2}
+    assert scans.furniture([*body, "A HlSTORY OF SELRIBOURNE.", *body], "The Canal of Brinanness", set()) == set()
+    paged = [*body, "The Canal of Brinanness.", "34", *body, "The Canal of Brinannoss.", "35", *body]
+    assert scans.furniture(paged, None, set()) == {2, 3, 6, 7}
+    assert scans.furniture([*body, "The Canal of Brinanness.", *body], None, set()) == set()
+
+
 LABELS = "rec_id long, kind string"
 REGISTRY = "source_id string, family string, source_quality string"
 
