@@ -14,6 +14,7 @@ from foliant.operators import fits, graphs, metrics, packing, relational, sampli
 from foliant.operators import governance as gov
 from foliant.operators import selection as sel
 from foliant.operators import text_quality as tq
+from foliant.plans.metric_queries import QUERIES as METRICS
 from foliant.sources import records, sinks
 from foliant.streaming import streams
 
@@ -40,6 +41,19 @@ def test_components_equal_union_find(spark):
     assert {r.node: r.label for r in got} == want and len(got) == len(want)
 
 
+def test_w9_components_of_all_lines(spark, tmp_path):
+    rng = random.Random(9)
+    lines = [(i, rng.randrange(40), rng.randrange(60)) for i in range(35)] + [(7, None, 3), (8, 100, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = [(2 * p, 2 * q + 1) for _, p, q in lines if p is not None and q is not None]
+    want = {x: x for e in edges for x in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    got = METRICS["w9_components"](spark, str(tmp_path)).collect()
+    assert {r.node: r.label for r in got} == want and len(got) == len(want)
+
+
 @SLOW
 @given(values=st.lists(st.integers(0, 50), min_size=1, max_size=60))
 def test_running_total(spark, values):
