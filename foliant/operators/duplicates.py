@@ -76,11 +76,11 @@ def _multipliers(n: int) -> list[int]:
     return out
 
 
-def minhash_pairs(df: DataFrame, k: int = 5, bands: int = 16, rows: int = 4, threshold: float = 0.8, bucket: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+def minhash_pairs(df: DataFrame, k: int = 5, bands: int = 16, rows: int = 4, threshold: float = 0.8, bucket: int = 64, block: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b, similarity), a < b: distinct texts that share a band and reach the Jaccard similarity of their k-word runs.
 
     Exact copies are collapsed to their first record before. Buckets of up to ``bucket`` texts are paired at once; texts
-    of larger ones must share a second band too, so that what is paired there is alike already.
+    of larger ones are dealt to blocks of about ``block``, and every block is paired with itself and every other one.
     """
     once = cut(kept(df.select(key, text), key, text))
     signed = cut(minhash(once, k, bands, rows, key, text).withColumnRenamed(key, "_id"))
@@ -88,12 +88,12 @@ def minhash_pairs(df: DataFrame, k: int = 5, bands: int = 16, rows: int = 4, thr
     held = cut(signed.join(sizes, ["band", "signature"]))
     gathered = held.where(F.col("n") <= bucket).groupBy("band", "signature").agg(F.collect_list("_id").alias("ids"))
     cold = gathered.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).where("a < b")
-    hot = held.where(F.col("n") > bucket).select("_id", "band", "signature")
-    second = hot.join(signed.toDF("_id", "_band", "_signature"), "_id").where(F.col("band") != F.col("_band"))
-    first = F.col("band") < F.col("_band")
-    pair_key = F.when(first, F.concat_ws("|", "band", "signature", "_band", "_signature")).otherwise(F.concat_ws("|", "_band", "_signature", "band", "signature"))
-    twice = cut(second.select("_id", pair_key.alias("key")).distinct())
-    warm = twice.alias("x").join(twice.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x._id") < F.col("y._id"))).select(F.col("x._id").alias("a"), F.col("y._id").alias("b"))
+    hot = held.where(F.col("n") > bucket).withColumn("blocks", F.ceil(F.col("n") / block))
+    dealt = hot.withColumn("block", F.pmod(F.xxhash64("_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).groupBy("band", "signature", "i", "j")
+    sides = met.agg(*(F.collect_list(F.when(F.col("block") == F.col(x), F.col("_id"))).alias(f"ids_{x}") for x in ("i", "j")))
+    crossed = sides.select("i", "j", "ids_j", F.explode("ids_i").alias("x")).select("i", "j", "x", F.explode("ids_j").alias("y"))
+    warm = crossed.where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = cold.unionByName(warm).distinct()
     sets = once.select(key, words(F.col(text)).alias("_w")).select(key, runs(F.col("_w"), k).alias("runs"))
     both = pairs.join(sets.toDF("a", "ra"), "a").join(sets.toDF("b", "rb"), "b")

@@ -54,6 +54,16 @@ def test_w9_components_of_all_lines(spark, tmp_path):
     assert {r.node: r.label for r in got} == want and len(got) == len(want)
 
 
+def test_minhash_pairs_of_hot_bands_are_whole(spark):
+    """With one band no pair shares a second one: what a hot bucket holds must be paired all the same."""
+    rows = [(i, " ".join(f"w{j}" for j in range(40)) + f" end{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = lambda **options: sorted((r.a, r.b) for r in dup.minhash_pairs(df, bands=1, rows=1, **options).collect())
+    want = pairs(bucket=10_000)
+    assert len(want) > 300
+    assert pairs(bucket=2) == want and pairs(bucket=2, block=4) == want
+
+
 @SLOW
 @given(values=st.lists(st.integers(0, 50), min_size=1, max_size=60))
 def test_running_total(spark, values):
