@@ -1,16 +1,20 @@
 """Search for texts that contain a large share of a query text's word runs.
 
-A prefix-filtered set join. The runs of a query text are ordered by rarity. A text that has enough of the n runs can lack
-at most ``n - least(n)`` of them, so among the ``n - least(n) + extra`` rarest it has at least ``extra``. Only these
-prefixes are looked for. The corpus is scanned once against a filter of fixed size that holds the prefix runs; what passes is
-joined on the run, counted by pair, and pairs with enough hits are verified on the whole texts. Nothing that grows
-with either side is broadcast, and copies are collapsed before the join.
+A prefix-filtered set join. All runs are ordered by rarity over both sides. A text that has enough of a query's n runs
+can lack at most ``n - least(n)`` of them, so among the query's ``n - least(n) + extra`` rarest runs it has at least
+``extra``. Only these prefixes are looked for: the corpus is scanned against a filter of the prefix runs, sized by
+their number; what passes is joined on the run and counted by pair. A pair stays if its sizes allow it (length bound), it
+has enough hits, and the runs that both texts still have after their last common prefix run could make up what is
+missing (positional bound). Those pairs are verified on the whole texts. Copies are collapsed before the join,
+and the rows of a run that very many texts have are dealt to several parts.
+
+The filter is broadcast up to ``FILTER_BITS``. More prefix runs than it can tell apart are joined without one: every run of
+the corpus is then shuffled once, which is linear in the corpus, and the result is the same.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,59 +22,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.near_duplicates import with_texts
-from foliant.llm.words import U, jaccard, mix, slices, words
+from foliant.llm.tallies import merged, narrowed, packed
+from foliant.llm.words import U, jaccard, mix, pair_slices, slices, words
 from foliant.plans.storage import cut, small
 
-#: Cells of the table of run frequencies, and bits of the filter: fixed sizes of 4 MB each, whatever the input.
-CELLS, FILTER_BITS = 1 << 20, 1 << 25
+#: Cells of the table of run counts. Runs share cells; beyond some ten million runs only those far above a cell's mean are told from the rest, which are those that would make hot keys.
+CELLS = 1 << 22
+#: Bits a prefix run that the filter has, and bits from which there is none (64 MB).
+BITS_A_RUN, FILTER_BITS = 12, 1 << 29
 #: Share of a query's runs that the prefix holds beyond what may be lacking.
 EXTRA = 0.1
+#: Texts with a run that are joined in one part.
+PART = 10_000
 
 Array = np.ndarray
 
 
-def merged(blobs: DataFrame, join: Callable[[Array, Array], Array], dtype: type, size: int) -> Array:
-    """Arrays of a fixed size, packed one a row, joined into one: in some tasks first, then in one, which streams them."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_ = np.zeros(size, dtype), False
-        for batch in batches:
-            for blob in batch.column(0):
-                total, any_ = join(total, unpacked(blob.as_py(), dtype)), True
-        if any_:
-            yield packed(total)
-
-    spread = blobs.select("blob").repartition(8).mapInArrow(fold, "blob binary")
-    row = spread.repartition(1).mapInArrow(fold, "blob binary").first()
-    return unpacked(bytes(row.blob), dtype) if row else np.zeros(size, dtype)
-
-
-def packed(total: Array) -> pa.RecordBatch:
-    """One row that holds the array, compressed."""
-    return pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["blob"])
-
-
-def unpacked(blob: bytes, dtype: type) -> Array:
-    return np.frombuffer(zlib.decompress(blob), dtype)
-
-
 def frequencies(texts: DataFrame, run: int) -> Array:
-    """Number of texts by run, counted in ``CELLS`` cells that runs share by hash. ``texts``: a column text."""
+    """Number of runs by cell, repeated ones included. ``texts``: a column text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for _, part in slices(batch.column("text")):
-                _, h = words(part).run_sets(run)
-                total += np.bincount((h % U(CELLS)).astype(np.int64), minlength=CELLS)
-        yield packed(np.minimum(total, 2**31 - 1).astype(np.int32))
+                h, _ = words(part).runs(run)
+                np.add.at(total, _cell(h), 1)
+        yield packed(total)
 
-    return merged(texts.select("text").mapInArrow(scan, "blob binary"), add, np.int32, CELLS)
+    return narrowed(merged(texts.select("text").mapInArrow(scan, "blob binary"), np.add, np.int64, CELLS))
 
 
-def add(a: Array, b: Array) -> Array:
-    """Sum of 32-bit counts, which stay at the largest number instead of running over."""
-    return np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32)
+def _cell(h: Array) -> Array:
+    # of the upper bits, which are those that sets of runs keep
+    return (mix(h >> U(12)) % U(CELLS)).astype(np.int64)
 
 
 def least_hits(n: Array, share: float) -> Array:
@@ -83,31 +67,15 @@ def extra_hits(n: Array) -> Array:
     return np.maximum(1, (n * EXTRA).astype(np.int64))
 
 
-def prefixes(queries: DataFrame, run: int, share: float, counts: Array) -> DataFrame:
-    """(id, klass, size, runs): of each query with runs its class and the rarest runs that must be looked for."""
-    shared = queries.sparkSession.sparkContext.broadcast(counts)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, part in slices(batch.column("text")):
-                doc, h = words(part).run_sets(run)
-                n = np.bincount(doc, minlength=len(part))
-                rank = shared.value[(h % U(CELLS)).astype(np.int64)]
-                order = np.lexsort((h, rank, doc))
-                first = np.cumsum(n) - n
-                place = np.arange(len(h)) - first[doc]
-                most = np.minimum(n, n - least_hits(n, share) + extra_hits(n))
-                keep = place < most[doc]
-                held = h[order][keep].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.minimum(most, n))])
-                klass = _classes(doc, h, len(part))
-                out = pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(start, len(part)), pa.array(klass.view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(held))],
-                    ["id", "klass", "size", "runs"],
-                )
-                yield out.filter(pa.array(n > 0))
-
-    return queries.select("id", "text").mapInArrow(scan, "id long, klass long, size int, runs array<long>")
+def _by_rarity(part: pa.Array, run: int, counts: Array) -> tuple[Array, Array, Array, Array]:
+    """(row, run, place among the row's runs from the rarest, class of each row) of a slice; the order is the same in all texts."""
+    doc, h = words(part).run_sets(run)
+    n = np.bincount(doc, minlength=len(part))
+    klass = _classes(doc, h, len(part))
+    # run_sets cuts the lower bits off
+    order = np.lexsort((h, counts[_cell(h << U(12))], doc))
+    place = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
+    return doc, h[order], place, klass
 
 
 def _classes(doc: Array, h: Array, rows: int) -> Array:
@@ -118,95 +86,202 @@ def _classes(doc: Array, h: Array, rows: int) -> Array:
     return klass
 
 
-def _filter_places(h: Array) -> Iterator[Array]:
+HELD = "id long, klass long, size int, runs array<long>, places array<int>"
+
+
+def _row(ids: pa.Array, klass: Array, n: Array, doc: Array, h: Array, place: Array) -> pa.RecordBatch:
+    """One row a text with any runs left."""
+    held = np.bincount(doc, minlength=len(n))
+    ends = pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32())
+    columns = [
+        ids, pa.array(klass.view(np.int64)), pa.array(n.astype(np.int32)),
+        pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["id", "klass", "size", "runs", "places"]).filter(pa.array(held > 0))
+
+
+def prefixes(queries: DataFrame, run: int, share: float, counts: Array) -> DataFrame:
+    """(id, klass, size, runs, places): of each query with runs its class and the rarest runs that must be looked for."""
+    shared = queries.sparkSession.sparkContext.broadcast(counts)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, part in slices(batch.column("text")):
+                doc, h, place, klass = _by_rarity(part, run, shared.value)
+                n = np.bincount(doc, minlength=len(part))
+                keep = place < (n - least_hits(n, share) + extra_hits(n))[doc]
+                yield _row(batch.column("id").slice(start, len(part)), klass, n, doc[keep], h[keep], place[keep])
+
+    return queries.select("id", "text").mapInArrow(scan, HELD)
+
+
+def _filter_places(h: Array, bits: int) -> Iterator[Array]:
     for i in range(3):
-        yield (mix(h + U(i + 1)) % U(FILTER_BITS)).astype(np.int64)
+        yield (mix(h + U(i + 1)) % U(bits)).astype(np.int64)
+
+
+def filter_bits(n_runs: int) -> int | None:
+    """Bits of a filter of so many runs: a power of two, or None where it would be too large to broadcast."""
+    bits = 1 << max(16, (BITS_A_RUN * n_runs - 1).bit_length())
+    return bits if bits <= FILTER_BITS else None
 
 
-def run_filter(postings: DataFrame) -> Array:
-    """A Bloom filter of the runs in the column ``runs``, as one byte for eight bits."""
+def run_filter(prefixed: DataFrame, bits: int) -> Array:
+    """A Bloom filter of the runs in the column ``runs``, eight bits a byte."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        held = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             h = batch.column("runs").flatten().to_numpy().view(U)
-            for at in _filter_places(h):
-                bits[at] = True
-        yield packed(np.packbits(bits, bitorder="little"))
+            for at in _filter_places(h, bits):
+                np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield packed(held)
 
-    return merged(postings.select("runs").mapInArrow(scan, "blob binary"), np.bitwise_or, np.uint8, FILTER_BITS // 8)
+    return merged(prefixed.select("runs").mapInArrow(scan, "blob binary"), np.bitwise_or, np.uint8, bits // 8)
 
 
-def hits(corpus: DataFrame, run: int, bits: Array) -> DataFrame:
-    """(id, klass, size, runs): of each corpus text with any the runs that pass the filter."""
-    shared = corpus.sparkSession.sparkContext.broadcast(bits)
+def hits(corpus: DataFrame, run: int, counts: Array, held: Array | None) -> DataFrame:
+    """(id, klass, size, runs, places): of each corpus text the runs that pass the filter, all without one."""
+    shared = corpus.sparkSession.sparkContext.broadcast((counts, held))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        counts, held = shared.value
         for batch in batches:
             for start, part in slices(batch.column("text")):
-                doc, h = words(part).run_sets(run)
+                doc, h, place, klass = _by_rarity(part, run, counts)
                 n = np.bincount(doc, minlength=len(part))
-                klass = _classes(doc, h, len(part))
-                for i in range(3):
-                    at = (mix(h + U(i + 1)) % U(FILTER_BITS)).astype(np.int64)
-                    keep = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                    doc, h = doc[keep], h[keep]
-                held = np.bincount(doc, minlength=len(part))
-                ends = np.concatenate([[0], np.cumsum(held)])
-                out = pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(start, len(part)), pa.array(klass.view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))],
-                    ["id", "klass", "size", "runs"],
-                )
-                yield out.filter(pa.array(held > 0))
-
-    return corpus.select("id", "text").mapInArrow(scan, "id long, klass long, size int, runs array<long>")
+                for i in range(3 if held is not None else 0):
+                    at = (mix(h + U(i + 1)) % U(8 * len(held))).astype(np.int64)
+                    keep = (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                    doc, h, place = doc[keep], h[keep], place[keep]
+                yield _row(batch.column("id").slice(start, len(part)), klass, n, doc, h, place)
+
+    return corpus.select("id", "text").mapInArrow(scan, HELD)
 
 
 def _collapsed(side: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: id, rep of texts that have copies; one row a class under its least id)."""
-    reps = cut(side.groupBy("klass", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("runs").alias("runs")))
+    held = (F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("runs").alias("runs"), F.first("places").alias("places"))
+    reps = cut(side.groupBy("klass", "size").agg(*held))
     copied = small(cut(reps.where("copies > 1").select("klass", "size", "rep")))
     members = cut(side.select("id", "klass", "size").join(copied, ["klass", "size"]).select("id", "rep"))
     return members, reps
 
 
-def contained(queries: DataFrame, corpus: DataFrame, run: int, share: float) -> DataFrame:
+def candidates(asked: DataFrame, seen: DataFrame, share: float, most_in_part: int = PART) -> DataFrame:
+    """Pairs (a, b) that the length bound, the number of prefix hits and the positional bound allow."""
+
+    def rows(side: DataFrame, rep: str, size: str, place: str) -> DataFrame:
+        each = F.explode(F.arrays_zip("runs", "places")).alias("x")
+        return side.select(F.col("rep").alias(rep), F.col("size").alias(size), each).select(rep, size, F.col("x.runs").alias("run"), F.col("x.places").alias(place))
+
+    q, d = rows(asked, "a", "n", "i"), rows(seen, "b", "m", "j")
+    hot = d.groupBy("run").agg(F.ceil(F.count("*") / most_in_part).alias("parts")).where("parts > 1")
+    hot = small(cut(hot))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    q = q.join(hot, "run", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    d = d.join(hot, "run", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts))
+    least = F.ceil(F.col("n").cast("long") * round(share * 1_000_000) / F.lit(1_000_000))
+    n_hits = F.count("*").alias("n_hits")
+    met = (
+        q.drop("parts")
+        .join(d.drop("parts"), ["run", "part"])
+        .where(F.col("m") >= least)
+        .groupBy("a", "b")
+        .agg(n_hits, F.max("i").alias("i"), F.max("j").alias("j"), F.first("n").alias("n"), F.first("m").alias("m"))
+    )
+    still = F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
+    enough = (F.col("n_hits") >= F.greatest(F.lit(1), F.floor(F.col("n") * EXTRA))) & (F.col("n_hits") + still >= least)
+    return met.where(enough).select("a", "b")
+
+
+def contained(queries: DataFrame, corpus: DataFrame, run: int, share: float, windows: bool = False, most_in_part: int = PART) -> DataFrame:
     """(query, doc, hits, size, share): pairs where the corpus text has at least the share of the query's distinct runs.
 
-    Both sides have the columns id (long, unique on its side) and text; null ids and texts, and queries without runs, make no pair.
+    Both sides have the columns id (long, unique on its side) and text; null ids and texts, and queries without runs, make no
+    pair. With ``windows``, texts are verified over their query-sized windows, and there are two more columns:
+    the most runs that one window has (``window_hits``) and that window's first word (``first_word``, from 0).
     """
     queries = queries.where("id is not null and text is not null")
     corpus = corpus.where("id is not null and text is not null")
-    asked = cut(prefixes(queries, run, share, frequencies(queries, run)))
+    counts = frequencies(queries.select("text").unionByName(corpus.select("text")), run)
+    asked = cut(prefixes(queries, run, share, counts))
     query_members, query_reps = _collapsed(asked)
-    seen = cut(hits(corpus, run, run_filter(query_reps)))
+    bits = filter_bits(query_reps.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0])
+    seen = cut(hits(corpus, run, counts, run_filter(query_reps, bits) if bits else None))
     doc_members, doc_reps = _collapsed(seen)
-    q = query_reps.select(F.col("rep").alias("a"), F.col("size").alias("n"), F.explode("runs").alias("run"))
-    d = doc_reps.select(F.col("rep").alias("b"), F.col("size").alias("m"), F.explode("runs").alias("run"))
-    part = round(share * 1_000_000)
-    counted = (
-        q.join(d, "run")
-        .where(F.col("m").cast("long") * 1_000_000 >= F.col("n").cast("long") * part)
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n_hits"), F.first("n").alias("n"))
-        .where(F.col("n_hits") >= F.greatest(F.lit(1), F.floor(F.col("n") * EXTRA)))
-        .select("a", "b")
-    )
-    found = cut(_verified(cut(counted), queries, corpus, run, part))
+    pairs = cut(candidates(query_reps, doc_reps, share, most_in_part))
+    found = cut(_verified(with_texts(pairs, queries, corpus), run, round(share * 1_000_000), windows))
     return (
         found.join(query_members.toDF("query", "a"), "a", "left")
         .join(doc_members.toDF("doc", "b"), "b", "left")
-        .select(F.coalesce("query", "a").alias("query"), F.coalesce("doc", "b").alias("doc"), "hits", "size", (F.col("hits") / F.col("size")).alias("share"))
+        .select(F.coalesce("query", "a").alias("query"), F.coalesce("doc", "b").alias("doc"), "hits", "size", (F.col("hits") / F.col("size")).alias("share"), *found.columns[4:])
     )
 
 
-def _verified(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, run: int, part: int) -> DataFrame:
+def _verified(pairs: DataFrame, run: int, part: int, windows: bool) -> DataFrame:
+    """(a, b, hits, size, ...) of the pairs whose second text has enough of the first one's runs."""
+    names = ["a", "b", "hits", "size"] + ["window_hits", "first_word"] * windows
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both, n, _ = jaccard(batch.column("ta"), batch.column("tb"), run)
-            keep = both * 1_000_000 >= part * n
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both), pa.array(n)], ["a", "b", "hits", "size"])
-            yield out.filter(pa.array(keep & (n > 0)))
+            a, b = batch.column("ta"), batch.column("tb")
+            if windows:
+                both, n, *more = best_windows(a, b, run)
+            else:
+                both, n, _ = jaccard(a, b, run)
+                more = []
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *map(pa.array, (both, n, *more))], names)
+            yield out.filter(pa.array((both * 1_000_000 >= part * n) & (n > 0)))
+
+    return pairs.mapInArrow(scan, ", ".join(f"{name} long" for name in names))
+
 
-    return with_texts(pairs, queries, corpus).mapInArrow(scan, "a long, b long, hits long, size long")
+def best_windows(a: pa.Array, b: pa.Array, k: int) -> tuple[Array, Array, Array, Array]:
+    """For each pair of an item and a text: the item's distinct runs that the text has, the item's distinct runs, the most of them within as many words as the item has, and the first word of that window (from 0).
+
+    A hit covers every window end from its own place to the one before the window leaves it or the same run comes
+    again; a window's distinct runs are the hits that cover its end.
+    """
+    n = len(a)
+    both, size, most, first = (np.zeros(n, np.int64) for _ in range(4))
+    pairs = pa.array([x for ab in zip(a.to_pylist(), b.to_pylist(), strict=True) for x in ab], pa.large_string())
+    i = 0
+    for _, part in pair_slices(pairs):
+        w = words(part)
+        rows = len(part) // 2
+        h, at = w.runs(k)
+        doc = w.doc[at]
+        code = ((doc // 2).astype(U) << U(52)) | (h >> U(12))
+        item = doc % 2 == 0
+        sought = np.unique(code[item])
+        size[i : i + rows] = np.bincount((sought >> U(52)).astype(np.int64), minlength=rows)
+        if len(sought):
+            which = np.minimum(np.searchsorted(sought, code[~item]), len(sought) - 1)
+            hit = sought[which] == code[~item]
+            which, text = which[hit], doc[~item][hit]
+            place, pair = at[~item][hit] - w.first[text], text // 2
+            both[i : i + rows] = np.bincount((sought[np.unique(which)] >> U(52)).astype(np.int64), minlength=rows)
+            _windows_of(pair, place, which, w.count[0::2] - k + 1, most[i : i + rows], first[i : i + rows])
+        i += rows
+    return both, size, most, first
+
+
+def _windows_of(pair: Array, place: Array, which: Array, width: Array, most: Array, first: Array) -> None:
+    """Fills in the best window of each pair. Hits are ordered by pair and place."""
+    if not len(pair):
+        return
+    span = int(place.max() + width.max()) + 2
+    begin = pair * span + place
+    again = np.lexsort((begin, which))
+    following = np.full(len(pair), np.iinfo(np.int64).max)
+    same = which[again][1:] == which[again][:-1]
+    following[again[:-1][same]] = begin[again[1:][same]]
+    last = np.sort(np.minimum(begin + width[pair] - 1, following - 1))
+    cover = np.arange(1, len(pair) + 1) - np.searchsorted(last, begin, "left")
+    head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    best = np.maximum.reduceat(cover, head)
+    top = np.flatnonzero(cover == np.repeat(best, np.diff(np.append(head, len(pair)))))
+    top = top[np.r_[True, pair[top][1:] != pair[top][:-1]]]
+    most[pair[top]] = best
+    first[pair[top]] = place[np.searchsorted(begin, begin[top] - width[pair[top]] + 1, "left")]

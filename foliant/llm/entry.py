@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import leak_windows, leakage, mixing, near_duplicates, quality, reading_level, scans, site_lines
+from foliant.llm import leakage, mixing, near_duplicates, quality, reading_level, scans, site_lines
 from foliant.llm.tables import read, shard_sites, shard_splits
-from foliant.plans.storage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,13 +26,6 @@ def _overlaps(s: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("eval_id", "train_id").alias("rec_id_a"), F.greatest("eval_id", "train_id").alias("rec_id_b"))
 
 
-def _windows(s: SparkSession, d: str) -> DataFrame:
-    documents, items = read(s, d, "documents"), read(s, d, "eval_items")
-    found = cut(leakage.leaked_items(documents, items))
-    texts = documents.select(F.col("doc_id").alias("id"), leakage.joined(F.col("text")).alias("text"))
-    return leak_windows.windows(found, texts, items.select(F.col("item_id").alias("id"), "text"), leakage.ITEM_RUN)
-
-
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: near_duplicates.found_pairs(read(s, d, "shards_1913")),
@@ -48,7 +40,7 @@ def queries() -> dict[str, Query]:
         "p5_found": _overlaps,
         "p5_report": lambda s, d: leakage.split_report(read(s, d, "shards_1913"), _splits(s, d), _sites(s, d)),
         "p6_found": lambda s, d: leakage.leaked_items(read(s, d, "documents"), read(s, d, "eval_items")).select("doc_id", "item_id"),
-        "p6_windows": _windows,
+        "p6_windows": lambda s, d: leakage.item_windows(read(s, d, "documents"), read(s, d, "eval_items")),
         "p6_report": lambda s, d: leakage.item_report(read(s, d, "documents"), read(s, d, "eval_items")),
         "p7_mix": lambda s, d: mixing.mixture(read(s, d, "documents"), read(s, d, "mix_targets")),
         "p7_shares": lambda s, d: mixing.shares(read(s, d, "documents"), read(s, d, "mix_targets")),

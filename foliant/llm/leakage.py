@@ -52,14 +52,22 @@ def joined(text: Column) -> Column:
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = ITEM_RUN, share: float = ITEM_SHARE) -> DataFrame:
-    """(doc_id, item_id, hits, size, share): documents that have at least the given share of an item's runs.
+    """(doc_id, item_id, hits, size, share, window_hits, first_word): documents that have at least the given share of an item's runs.
 
-    Words broken at line ends are joined in the documents. Null or empty texts on either side, and items with fewer
-    than ``run`` words, make no pair; items that share a passage are all reported.
+    ``window_hits`` is the most of the item's runs within as many words as the item has, and ``first_word`` the first word
+    (from 0) of that window, in the document with its broken words joined. Words broken at line ends are joined in
+    the documents. Null or empty texts on either side, and items with fewer than ``run`` words, make no pair; items
+    that share a passage are all reported.
     """
     corpus = documents.select(F.col("doc_id").alias("id"), joined(F.col("text")).alias("text"))
     asked = items.select(F.col("item_id").alias("id"), "text")
-    return contained(asked, corpus, run, share).select(F.col("doc").alias("doc_id"), F.col("query").alias("item_id"), "hits", "size", "share")
+    found = contained(asked, corpus, run, share, windows=True)
+    return found.select(F.col("doc").alias("doc_id"), F.col("query").alias("item_id"), "hits", "size", "share", "window_hits", "first_word")
+
+
+def item_windows(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, window_hits, first_word, window_share): where in each document its leaked items lie."""
+    return leaked_items(documents, items).select("doc_id", "item_id", "window_hits", "first_word", (F.col("window_hits") / F.col("size")).alias("window_share"))
 
 
 def item_report(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.containment import add, merged, packed
 from foliant.llm.structure import FUNCTION_WORDS
+from foliant.llm.tallies import merged, packed
 from foliant.llm.words import U, hash_word, mix, slices, words
 from foliant.plans.storage import cut
 
@@ -45,7 +45,7 @@ def word_ranks(texts: DataFrame) -> np.ndarray:
     """log2 of each cell's place among all, by word count; a word's place is that of the rarer of its two cells."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * CELLS, np.int32)
+        total = np.zeros(2 * CELLS, np.int64)
         for batch in batches:
             for _, part in slices(batch.column("text")):
                 h = words(part).h
@@ -53,7 +53,7 @@ def word_ranks(texts: DataFrame) -> np.ndarray:
                     np.add.at(total, at, 1)
         yield packed(total)
 
-    counts = merged(texts.select("text").mapInArrow(scan, "blob binary"), add, np.int32, 2 * CELLS)
+    counts = merged(texts.select("text").mapInArrow(scan, "blob binary"), np.add, np.int64, 2 * CELLS)
     places = []
     for row in (counts[:CELLS], counts[CELLS:]):
         high = np.sort(row)[::-1]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import quality, site_lines, structure
-from foliant.llm.containment import add, merged, packed
+from foliant.llm.tallies import merged, narrowed, packed
 from foliant.llm.words import U, mix, power_tables, slices
 
 #: Cells of each of the two rows of the table of word counts; 16 MB in all, whatever the corpus.
@@ -162,12 +162,12 @@ class Vocabulary:
 
     def count(self, h: np.ndarray) -> np.ndarray:
         a, b = cells(h)
-        return np.minimum(self.scanned[a], self.scanned[b]).astype(np.int64) + np.minimum(self.other[a], self.other[b])
+        return np.minimum(self.scanned[a], self.scanned[b]).astype(np.int64) + np.minimum(self.other[a], self.other[b]).astype(np.int64)
 
     def suspect(self, h: np.ndarray) -> np.ndarray:
         """Rare, and not a word of texts that were never scanned."""
         a, b = cells(h)
-        one, two = np.minimum(self.scanned[a], self.scanned[b]).astype(np.int64), np.minimum(self.other[a], self.other[b])
+        one, two = np.minimum(self.scanned[a], self.scanned[b]).astype(np.int64), np.minimum(self.other[a], self.other[b]).astype(np.int64)
         return (one + two <= self.rare) & ~((two >= 2) & (two >= self.like * one))
 
 
@@ -486,7 +486,7 @@ def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Word counts of the scanned and of the other texts. ``texts``: scanned, kept."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * ROWS * CELLS, np.int32)
+        total = np.zeros(2 * ROWS * CELLS, np.int64)
         half = ROWS * CELLS
         for batch in batches:
             texts, flag = pc.fill_null(batch.column("kept"), ""), batch.column("scanned")
@@ -494,7 +494,7 @@ def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             tally(texts.filter(pc.invert(flag)), total[half:])
         yield packed(total)
 
-    total = merged(texts.select("scanned", "kept").mapInArrow(scan, "blob binary"), add, np.int32, 2 * ROWS * CELLS)
+    total = narrowed(merged(texts.select("scanned", "kept").mapInArrow(scan, "blob binary"), np.add, np.int64, 2 * ROWS * CELLS))
     return total[: ROWS * CELLS], total[ROWS * CELLS :]
 
 

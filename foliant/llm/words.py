@@ -145,7 +145,7 @@ def jaccard(a: pa.Array, b: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, n
     both, na, nb = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     pairs = pa.array([x for ab in zip(a.to_pylist(), b.to_pylist(), strict=True) for x in ab], pa.large_string())
     i = 0
-    for _, part in _pair_slices(pairs):
+    for _, part in pair_slices(pairs):
         doc, h = words(part).run_sets(k)
         sizes = np.bincount(doc, minlength=len(part))
         rows = len(part) // 2
@@ -158,7 +158,8 @@ def jaccard(a: pa.Array, b: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, n
     return both, na, nb
 
 
-def _pair_slices(pairs: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+def pair_slices(pairs: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """``slices`` that keep rows 2 n and 2 n + 1 together."""
     pairs = pc.fill_null(pairs, "")
     ends = np.frombuffer(pairs.buffers()[1], np.int64, len(pairs) + 1, 8 * pairs.offset)
     i = 0

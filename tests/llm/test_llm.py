@@ -271,12 +271,42 @@ def test_p6_awkward_rows(spark):
     assert leakage.item_report(docs, items).count() == len(AWKWARD) + 1
 
 
+@pytest.mark.parametrize(("bits", "part"), [(1 << 29, 10_000), (1, 10_000), (1 << 29, 2)])
+def test_containment_is_whole_without_filter_and_with_split_runs(spark, monkeypatch, bits, part):
+    from foliant.llm import containment
+
+    monkeypatch.setattr(containment, "FILTER_BITS", bits)
+    rng = random.Random(5)
+    base = [prose(i, 40) for i in range(6)]
+    corpus = [(i, base[i % 6] + " " + prose(100 + i, rng.randrange(5, 60))) for i in range(60)] + [(90 + i, t) for i, t in enumerate(AWKWARD)]
+    asked = [(i, " ".join(b.split()[: rng.randrange(20, 40)]) + " " + prose(300 + i, 4)) for i, b in enumerate(base)] + [(50 + i, t) for i, t in enumerate(AWKWARD)]
+    schema = "id long, text string"
+    for run, share in ((3, 0.8), (5, 0.25)):
+        found = containment.contained(spark.createDataFrame(asked, schema), spark.createDataFrame(corpus, schema), run, share, most_in_part=part)
+        assert {(r.query, r.doc) for r in found.collect()} == brute.contained(asked, corpus, run, share)
+
+
+def test_table_of_counts_is_gathered_in_levels(spark, monkeypatch):
+    from foliant.llm import tallies
+
+    monkeypatch.setattr(tallies, "FAN", 3)
+
+    def scan(batches):
+        for _ in batches:
+            pass
+        yield tallies.packed(np.array([1, 2**33, 0]))
+
+    total = tallies.merged(spark.range(40).repartition(11).mapInArrow(scan, "blob binary"), np.add, np.int64, 3)
+    assert total.tolist() == [11, 11 * 2**33, 0]
+    assert tallies.narrowed(np.array([300])).dtype == np.uint16
+
+
 def test_p6_windows():
-    from foliant.llm.leak_windows import best_windows
+    from foliant.llm.containment import best_windows
 
     item = "one two three four five six seven eight"
     text = "zero " * 10 + "one two three four five six x y z seven eight one two three four five six seven eight end"
-    size, most, first = best_windows(pa.array([item, item, ""], pa.large_string()), pa.array([text, "nothing of it here at all", text], pa.large_string()), 5)
+    _, size, most, first = best_windows(pa.array([item, item, ""], pa.large_string()), pa.array([text, "nothing of it here at all", text], pa.large_string()), 5)
     assert size.tolist() == [4, 4, 0] and most.tolist() == [4, 0, 0] and first[0] == 21
 
 
