@@ -66,6 +66,31 @@ _LINES = rf"""select rec_id, site, line_no, trim(regexp_replace(lower(line), '\s
 _JOINED = r"regexp_replace(text, '(\pL)[-\x{AD}\x{AC}\x{2010}][ \t]*\r?\n[ \t]*(\pL)', '\1\2', 'g')"
 
 
+# Clusters of near copies (5-runs, 0.8) by brute force, and each line's documents and dates.
+_PART, _SPAN = r"(\d{4})-(\d{2})-(\d{2})", r"regexp_extract(publication_date, '{}', {})"
+_DATES = rf"""select rec_id, case when y is null then null when regexp_matches(publication_date, '{_PART}') then day else low * 10000 + 101 end as f,
+    case when y is null then null when regexp_matches(publication_date, '{_PART}') then day else high * 10000 + 1231 end as t from
+    (select *, y - slack as low, coalesce(try_cast({_SPAN.format(r"\d{4}\s*-\s*(\d{4})", 1)} as int), y) + slack as high,
+        try_cast({_SPAN.format(_PART, 1)} || {_SPAN.format(_PART, 2)} || {_SPAN.format(_PART, 3)} as int) as day from
+        (select *, try_cast({_SPAN.format(r"(\d{4})", 1)} as int) as y, case when regexp_matches(lower(publication_date), '\b(c|ca|circa|about)\b') then 5 else 0 end as slack from shards_1913))"""
+
+
+def _cleaned(tail: str) -> str:
+    return f"""with recursive r as ({_runs("shards_1913", "rec_id", 5)}), n as (select rec_id, count(*) as n from r group by 1),
+        c as (select x.rec_id as a, y.rec_id as b, count(*) as c from r x join r y on x.run = y.run and x.rec_id < y.rec_id group by 1, 2),
+        p as (select a, b from c join n m on m.rec_id = a join n o on o.rec_id = b where c * 10 >= 8 * (m.n + o.n - c)),
+        e as (select a, b from p union all select b, a from p), reach as (select rec_id as a, rec_id as b from n union select reach.a, e.b from reach join e on reach.b = e.a),
+        g as (select a as rec_id, min(b) as cluster from reach group by 1), l as ({_LINES}), d as ({_DATES}),
+        k as (select l.*, coalesce(cluster::varchar, text) as cluster, f, t from l join shards_1913 using (rec_id) left join g using (rec_id) left join d using (rec_id)),
+        per as (select site, count(distinct rec_id) as records, count(distinct cluster) as clusters from k group by 1),
+        q as (select site, line, count(distinct rec_id) as n_records from k where line <> '' group by 1, 2),
+        o as (select site, line, cluster, min({{'f': f, 't': t}}) filter (where f is not null) as span from k where line <> '' group by 1, 2, 3),
+        s as (select site, line, count(*) as n_texts, count(distinct span) as n_dates, max(span.f) as latest, min(span.t) as earliest from o group by 1, 2),
+        b as (select site, line, n_records, n_records / records as share, n_texts, n_dates,
+            n_texts >= 5 and n_texts * 100 >= clusters * 2 and (latest is null or latest > earliest) as boilerplate
+            from q join s using (site, line) join per using (site) where n_records >= 5 and n_records * 100 >= records * 2) {tail}"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Brute force in SQL, for the queries whose result is fixed by a definition that SQL can state."""
     placed = f"(select rec_id, text, split from shards_1913 join ({_SPLITS}) using (shard_index))"
@@ -76,6 +101,13 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"""with l as ({_LINES}), n as (select site, count(distinct rec_id) as n from l group by 1),
             c as (select site, line, count(distinct rec_id) as c from l where line <> '' group by 1, 2)
             select rec_id, line_no::int as line_no from l join c using (site, line) join n using (site) where c >= 5 and c * 100 >= n * 2""",
+        "p4_lines": _cleaned("select * from b"),
+        "p4_clean": _cleaned(
+            rf"""select rec_id, case when removed > 0 then coalesce(kept, '') else text end as text, coalesce(removed, 0)::int as removed from shards_1913 left join
+            (select rec_id, string_agg(case when boilerplate is distinct from true then raw end, chr(10) order by line_no) as kept, count(*) filter (where boilerplate) as removed
+            from (select rec_id, site, line_no, raw, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) as line from (select rec_id, site, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as raw
+            from (select rec_id, site, string_split(text, chr(10)) as l from shards_1913 join ({_SITES}) using (shard_index) where regexp_matches(text, '\S')))) left join b using (site, line) group by 1) using (rec_id)"""
+        ),
         "p5_found": f"""with e as ({_runs(placed, "rec_id", 3, where="split in ('val', 'test')")}), t as ({_runs(placed, "rec_id", 3, where="split = 'train'")}),
             n as (select rec_id, count(*) as n from e group by 1), c as (select e.rec_id as a, t.rec_id as b, count(*) as c from e join t using (run) group by 1, 2)
             select least(a, b) as rec_id_a, greatest(a, b) as rec_id_b from c join n on n.rec_id = a where c * 10 >= 8 * n""",

@@ -223,7 +223,10 @@ def test_p4_awkward_rows(spark):
     df = records(spark, rows)
     got = {tuple(r) for r in site_lines.found_lines(df, sites(spark)).collect()}
     assert got == {(50 + i, n) for i in range(5) for n in (1, 4)}
-    clean = {r.rec_id: (r.text, r.removed) for r in site_lines.clean_texts(df, sites(spark)).collect()}
+    one_day = {r.rec_id: r.removed for r in site_lines.clean_texts(df, sites(spark)).collect()}
+    assert len(one_day) == len(rows) and not any(one_day.values())  # a line of one date alone isn't boilerplate
+    dated = df.withColumn("publication_date", (F.col("rec_id") + 1800).cast("string"))
+    clean = {r.rec_id: (r.text, r.removed) for r in site_lines.clean_texts(dated, sites(spark)).collect()}
     assert len(clean) == len(rows) and clean[0] == (None, 0) and clean[50] == (f"{prose(0, 4)}\n", 2) and clean[90] == ("Share this", 0)
     report = site_lines.line_report(df, sites(spark)).collect()
     assert [(r.line, r.n_records, r.n_texts, r.n_dates, r.boilerplate) for r in report] == [("share this", 5, 5, 1, False)]
@@ -271,6 +274,24 @@ def test_p6_awkward_rows(spark):
     assert leakage.item_report(docs, items).count() == len(AWKWARD) + 1
 
 
+def test_republished_article_stays_and_boilerplate_goes(spark):
+    article = "\n".join(prose(i, 8) for i in range(6))
+    rows = [(i, 0, f"18{i % 40 + 10}-0{i % 9 + 1}-11", None, f"{article}\nprinted for the {i}th time", "x", 1, "y") for i in range(50)]
+    rows += [(100 + i, 0, f"18{i + 30}", None, f"{prose(900 + i, 30)}\n All RIGHTS  of the Site", "x", 1, "y") for i in range(8)]
+    rows += [(200 + i, 0, ("1871-05-01", "May 1871, 1871-05-01", "c. 1871", "1871")[i % 4], None, f"{prose(990 + i, 30)}\nNotice of one day", "x", 1, "y") for i in range(8)]
+    rows += [(300, 0, None, None, None, "x", 1, "y"), (301, 0, None, None, "", "x", 1, "y")]
+    df, where = spark.createDataFrame(rows, RECORDS), sites(spark)
+    report = {r.line: r for r in site_lines.line_report(df, where).collect()}
+    first = " ".join(article.split("\n")[0].lower().split())
+    assert report[first].n_records == 50 and report[first].n_texts == 1 and not report[first].boilerplate
+    assert report["all rights of the site"].boilerplate and report["all rights of the site"].n_texts == 8
+    assert report["notice of one day"].n_texts == 8 and not report["notice of one day"].boilerplate
+    clean = {r.rec_id: r for r in site_lines.clean_texts(df, where).collect()}
+    assert all(clean[i].text == rows[i][4] and clean[i].removed == 0 for i in range(50))
+    assert all("Site" not in clean[100 + i].text and clean[100 + i].removed == 1 for i in range(8))
+    assert clean[300].text is None and clean[301].text == "" and len(clean) == len(rows)
+
+
 @pytest.mark.parametrize(("bits", "part"), [(1 << 29, 10_000), (1, 10_000), (1 << 29, 2)])
 def test_containment_is_whole_without_filter_and_with_split_runs(spark, monkeypatch, bits, part):
     from foliant.llm import containment
