@@ -1,9 +1,11 @@
 """Mixtures of sources with target shares of tokens.
 
 Sainte-Laguë apportionment gives each source whole blocks of equal token counts by highest quotients, up to the blocks
-that its capped repeats allow; the same apportionment gives each shard of a source its quota. Within a shard documents
-lie in a seeded order, cut into blocks at equal token counts; a quota beyond whole passes picks blocks in a
-seeded order. Only sums by source and shard reach the driver, and there are a fixed number of shards a source.
+that its capped repeats allow; the same apportionment gives each group of its shards, and then each shard, its integer
+quota. Within a shard documents lie in a seeded order, as one string of tokens that is cut into blocks: a document
+that crosses a cut is in both blocks with its own part. A quota beyond whole passes picks blocks in a seeded order.
+Only sums by source and group of shards reach the driver, a fixed number a source; a group's shards, of which larger sources
+have more, are apportioned in one task, a row for every ``SHARD_TOKENS`` tokens.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from foliant.plans.storage import cut, small
 
 #: Ranks of a public byte-level vocabulary, and tokens of a block.
 TOKENIZER, BLOCK_TOKENS = "/opt/tokenizers/byte_bpe_50k.tiktoken", 2_048
-#: Shards of a source at most, and tokens from which a source has more than one.
-SHARDS, SHARD_TOKENS, SEED = 256, 200_000, 17
+#: Groups of shards a source, and tokens of a shard.
+GROUPS, SHARD_TOKENS, SEED = 256, 200_000, 17
 # Fixed value: the pattern that splits text before the merges of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def token_counts(texts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, tokens): tokens of each text, whole texts, in the vocabulary of the rank file; null texts have none."""
+    """(id, source, tokens): tokens of each text, whole texts, in the vocabulary of the rank file; null texts have none."""
     with open(tokenizer, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     shared = texts.sparkSession.sparkContext.broadcast(ranks)
@@ -41,9 +43,10 @@ def token_counts(texts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for batch in batches:
             for start, part in slices(batch.column("text")):
                 counts = [len(encoding.encode_ordinary(x)) for x in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(part)), pa.array(counts, pa.int64())], ["id", "tokens"])
+                held = [batch.column(c).slice(start, len(part)) for c in ("id", "source")]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(counts, pa.int64())], ["id", "source", "tokens"])
 
-    return texts.select("id", "text").mapInArrow(scan, "id long, tokens long")
+    return texts.select("id", "source", "text").mapInArrow(scan, "id long, source string, tokens long")
 
 
 def apportioned(seats: int, weights: list[float], caps: list[int]) -> list[int]:
@@ -85,78 +88,104 @@ def source_name(column: str) -> Column:
     return F.lower(F.trim(F.col(column)))
 
 
-def blocks(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK_TOKENS) -> tuple[DataFrame, int]:
-    """(doc_id, source, tokens, shard, block) of the sources that mixes name, and the tokens of all documents.
+def blocks(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, DataFrame, int]:
+    """(parts, shards, tokens of all documents) of the sources that mixes name.
 
-    Documents with tokens lie in a seeded order within their shard, cut into blocks of equal token counts.
+    parts: doc_id, source, shard, block, first_token, tokens, a row for each part of a document in a block. shards: source,
+    shard, tokens, blocks. A shard's blocks are as near to ``block`` tokens as whole blocks can be, and equal but for one token.
     """
     named = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), source_name("source").alias("source"), "text")
-    counted = cut(token_counts(named, tokenizer).where("tokens > 0").join(named.select("id", "source"), "id"))
+    counted = cut(token_counts(named, tokenizer).where("tokens > 0"))
     every = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     names = small(cut(targets.select(source_name("source").alias("source")).where("source is not null").distinct()), 100_000)
     used = counted.join(names, "source", "left_semi")
-    totals = used.groupBy("source").agg(F.least(F.lit(SHARDS), F.ceil(F.sum("tokens") / SHARD_TOKENS)).alias("n_shards"))
-    held = used.join(small(cut(totals), 100_000), "source")
-    order = F.xxhash64("id", F.lit(SEED))
-    held = held.withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), "n_shards").cast("int"))
-    before = F.sum("tokens").over(Window.partitionBy("source", "shard").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1))
-    return cut(held.select(F.col("id").alias("doc_id"), "source", "tokens", "shard", F.floor(F.coalesce(before, F.lit(0)) / block).alias("block"))), every
+    totals = used.groupBy("source").agg(F.ceil(F.sum("tokens") / shard_tokens).alias("n_shards"))
+    held = cut(used.join(small(cut(totals), 100_000), "source").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), "n_shards")).drop("n_shards"))
+    shards = held.groupBy("source", "shard").agg(F.sum("tokens").alias("all"))
+    shards = cut(shards.select("source", "shard", F.col("all").alias("tokens"), F.greatest(F.lit(1), F.round(F.col("all") / block)).cast("long").alias("blocks")))
+    before = F.sum("tokens").over(Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(SEED)), "id").rowsBetween(Window.unboundedPreceding, -1))
+    placed = held.withColumn("begin", F.coalesce(before, F.lit(0))).join(shards.withColumnRenamed("tokens", "all"), ["source", "shard"])
+    # block k of a shard of n blocks begins at token floor(k all / n), so token t is in block floor(((t + 1) n - 1) / all)
+    placed = placed.withColumn("first", F.expr("((begin + 1) * blocks - 1) div all")).withColumn("last", F.expr("((begin + tokens) * blocks - 1) div all"))
+    start = lambda k: F.expr(f"(({k}) * all) div blocks")
+    each = placed.withColumn("block", F.explode(F.sequence("first", "last")))
+    low, high = F.greatest("begin", start("block")), F.least(F.col("begin") + F.col("tokens"), start("block + 1"))
+    parts = each.select(F.col("id").alias("doc_id"), "source", "shard", "block", (low - F.col("begin")).alias("first_token"), (high - low).alias("tokens"))
+    return cut(parts), shards, every
+
+
+QUOTAS = "mix_name string, source string, shard long, passes long, beyond long"
+GIVEN = "mix_name string, source string, group int, cap int, given long"
+SUMS = "mix_name string, source string, target_share double, max_repeats int, tokens_available long, blocks long, blocks_of_mix long"
+
+
+def _group() -> Column:
+    return F.pmod("shard", F.lit(GROUPS)).cast("int").alias("group")
 
 
-def plan(held: DataFrame, every: int, targets: DataFrame, block: int) -> tuple[list[tuple], list[tuple]]:
-    """(quotas, shares): for each mix, source and shard the passes over all blocks and the blocks beyond; for each mix and source its sums."""
-    shards = held.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens"), F.count_distinct("block").alias("blocks")).toPandas()
+def plan(shards: DataFrame, every: int, targets: DataFrame, block: int) -> tuple[list[tuple], list[tuple]]:
+    """(given, sums): for each mix, source and group of shards its seats; for each mix and source its sums."""
+    groups = shards.groupBy("source", _group()).agg(F.sum("tokens").alias("tokens"), F.sum("blocks").alias("blocks")).toPandas()
     wanted = targets.where("mix_name is not null and source is not null").select("mix_name", source_name("source").alias("source"), "target_share", "max_repeats", "budget_ratio")
     wanted = wanted.groupBy("mix_name", "source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("cap"), F.max("budget_ratio").alias("ratio")).toPandas()
-    quotas, sums = [], []
+    seats_of, sums = [], []
     for name, mix_ in wanted.sort_values(["mix_name", "source"]).groupby("mix_name"):
         seats = int(every * float(mix_.ratio.max() if mix_.ratio.notna().any() else 1.0) / block)
         weights = [max(0.0, float(x)) if pd.notna(x) else 0.0 for x in mix_.share]
-        parts = [shards[shards.source == s].sort_values("shard") for s in mix_.source]
-        tokens = [int(p.tokens.sum()) for p in parts]
-        caps = [0 if t == 0 else seats if pd.isna(c) else int(t * max(0, int(c)) / block) for t, c in zip(tokens, mix_.cap, strict=True)]
+        parts = [groups[groups.source == s].sort_values("group") for s in mix_.source]
+        caps = [0 if p.empty else seats if pd.isna(c) else int(p.blocks.sum()) * max(0, int(c)) for p, c in zip(parts, mix_.cap, strict=True)]
         given = apportioned(seats, weights, caps)
-        for s, w, c, t, g, p in zip(mix_.source, weights, mix_.cap, tokens, given, parts, strict=True):
-            sums.append((name, s, w / (sum(weights) or 1.0), None if pd.isna(c) else int(c), t, g, seats))
-            inner = [g if pd.isna(c) else int(b) * int(c) for b in p.blocks]
-            for shard, blocks_, quota in zip(p.shard, p.blocks, apportioned(g, [float(x) for x in p.tokens], inner), strict=True):
-                if quota:
-                    quotas.append((name, s, int(shard), quota // int(blocks_), quota % int(blocks_)))
-    return quotas, sums
-
-
-QUOTAS = "mix_name string, source string, shard int, passes long, beyond long"
-SUMS = "mix_name string, source string, target_share double, max_repeats int, tokens_available long, blocks long, blocks_of_mix long"
-
-
-def _chosen(documents: DataFrame, targets: DataFrame, tokenizer: str, block: int) -> tuple[DataFrame, DataFrame]:
-    held, every = blocks(documents, targets, tokenizer, block)
-    quotas, sums = plan(held, every, targets, block)
+        for s, w, c, g, p in zip(mix_.source, weights, mix_.cap, given, parts, strict=True):
+            cap = None if pd.isna(c) else max(0, int(c))
+            sums.append((name, s, w / (sum(weights) or 1.0), None if pd.isna(c) else int(c), int(p.tokens.sum()), g, seats))
+            inner = [g if cap is None else int(b) * cap for b in p.blocks]
+            seats_of += [(name, s, int(u), cap, q) for u, q in zip(p.group, apportioned(g, [float(x) for x in p.tokens], inner), strict=True) if q]
+    return seats_of, sums
+
+
+def _quotas(group: pd.DataFrame) -> pd.DataFrame:
+    """The seats of a group of shards, by shard: passes over all its blocks, and blocks beyond."""
+    group = group.sort_values("shard")
+    given, cap = int(group.given.iloc[0]), group.cap.iloc[0]
+    inner = [given if pd.isna(cap) else int(b) * int(cap) for b in group.blocks]
+    quota = pd.Series(apportioned(given, [float(x) for x in group.tokens], inner), group.index, dtype="int64")
+    out = group.assign(passes=quota // group.blocks, beyond=quota % group.blocks)[quota > 0]
+    return out[["mix_name", "source", "shard", "passes", "beyond"]]
+
+
+def _chosen(documents: DataFrame, targets: DataFrame, tokenizer: str, block: int, shard_tokens: int) -> tuple[DataFrame, DataFrame]:
+    parts, shards, every = blocks(documents, targets, tokenizer, block, shard_tokens)
+    given, sums = plan(shards, every, targets, block)
     spark = documents.sparkSession
-    # quotas: one row a mix, source and shard, of which there are SHARDS a source at most
-    quota = F.broadcast(spark.createDataFrame(quotas, QUOTAS))
-    single = held.select("source", "shard", "block").distinct().withColumn("draw", F.xxhash64("source", "shard", "block", F.lit(SEED + 2)))
-    place = F.row_number().over(Window.partitionBy("source", "shard").orderBy("draw", "block"))
+    # a mix and source has GROUPS rows at most
+    seats = shards.select("*", _group()).join(small(spark.createDataFrame(given, GIVEN)), ["source", "group"])
+    quota = cut(seats.groupBy("mix_name", "source", "group").applyInPandas(_quotas, QUOTAS))
+    single = shards.select("source", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    draw = F.xxhash64("source", "shard", "block", F.lit(SEED + 2))
+    place = F.row_number().over(Window.partitionBy("source", "shard").orderBy(draw, "block"))
     drawn = single.withColumn("place", place).join(quota, ["source", "shard"])
     repeats = (F.col("passes") + F.when(F.col("place") <= F.col("beyond"), 1).otherwise(0)).alias("repeats")
     picked = drawn.select("mix_name", "source", "shard", "block", repeats).where("repeats > 0")
-    return held.join(picked, ["source", "shard", "block"]).select("mix_name", "doc_id", "source", "tokens", "repeats"), spark.createDataFrame(sums, SUMS)
+    chosen = parts.join(picked, ["source", "shard", "block"]).select("mix_name", "doc_id", "source", "first_token", "tokens", "repeats")
+    return chosen, spark.createDataFrame(sums, SUMS)
+
 
+def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(mix_name, doc_id, source, first_token, tokens, repeats): how often each part of a document stands in each mix; those that don't have no row.
 
-def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK_TOKENS) -> DataFrame:
-    """(mix_name, doc_id, source, tokens, repeats): how often each document stands in each mix; those that don't have no row.
+    A part is the ``tokens`` tokens of the document from ``first_token`` (from 0) on; documents inside one block are one part.
 
     Sources are compared in lower case without blanks around; a null source is in no mix. Target shares are scaled to
     1; null or negative ones count as 0, the size of a mix is its ratio of the tokens of all documents, and a source named twice in a mix counts its shares together under the lower
     cap. A null cap is no cap. What a capped or missing source can't fill goes to the others by their quotients; a mix
     whose sources are all capped ends below its size. Documents without tokens are in no mix.
     """
-    return _chosen(documents, targets, tokenizer, block)[0]
+    return _chosen(documents, targets, tokenizer, block, shard_tokens)[0]
 
 
-def shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK_TOKENS) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(mix_name, source, target_share, actual_share, tokens, tokens_available, max_repeats, most_repeats, blocks, blocks_of_mix)."""
-    chosen, sums = _chosen(documents, targets, tokenizer, block)
+    chosen, sums = _chosen(documents, targets, tokenizer, block, shard_tokens)
     used = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
     filled = sums.join(used, ["mix_name", "source"], "left").fillna(0, ["tokens", "most_repeats"])
     whole = F.sum("tokens").over(Window.partitionBy("mix_name"))

@@ -351,7 +351,7 @@ def test_p7_shares_and_caps(spark, data):
     shares = queries()["p7_shares"](spark, data).collect()
     assert shares and all(r.max_repeats is None or r.most_repeats <= r.max_repeats for r in shares)
     mix = queries()["p7_mix"](spark, data)
-    assert mix.count() == mix.select("mix_name", "doc_id").distinct().count()
+    assert mix.count() == mix.select("mix_name", "doc_id", "first_token").distinct().count()
     total = {r.mix_name: r.t for r in mix.groupBy("mix_name").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("t")).collect()}
     assert {m: sum(r.tokens for r in shares if r.mix_name == m) for m in total} == total
 
@@ -366,6 +366,23 @@ def test_p7_reaches_shares(spark):
     assert mixing.mixture(docs.limit(0), targets).count() == 0 and mixing.mixture(docs, targets.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_tokens", [200_000, 500])
+def test_p7_blocks_are_equal_and_hold_every_token_once(spark, shard_tokens):
+    docs = spark.createDataFrame([(i, prose(i, (5, 40, 700)[i % 3]), "ab"[i % 2]) for i in range(60)] + [(90 + i, t, "a") for i, t in enumerate(AWKWARD)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("m", "a", 0.5, None, 1.5), ("m", "b", 0.5, 2, 1.5)], "mix_name string, source string, target_share double, max_repeats int, budget_ratio double")
+    parts, shards, every = mixing.blocks(docs, targets, block=64, shard_tokens=shard_tokens)
+    sizes = {(r.source, r.shard): r for r in shards.collect()}
+    held = parts.groupBy("source", "shard", "block").agg(F.sum("tokens").alias("n")).collect()
+    assert sum(r.n for r in held) == every and len(held) == sum(r.blocks for r in sizes.values())
+    assert all(abs(r.n - sizes[r.source, r.shard].tokens / sizes[r.source, r.shard].blocks) <= 1 for r in held)
+    joined = parts.groupBy("doc_id").agg(F.min("first_token").alias("a"), F.max(F.col("first_token") + F.col("tokens")).alias("b"), F.sum("tokens").alias("n"))
+    assert joined.where("a <> 0 or b <> n").count() == 0
+    given, sums = mixing.plan(shards, every, targets, 64)
+    assert sum(g[4] for g in given) == sum(x[5] for x in sums)
+    out = {r.source: r for r in mixing.shares(docs, targets, block=64, shard_tokens=shard_tokens).collect()}
+    assert out["b"].most_repeats <= 2 and sum(r.blocks for r in out.values()) == out["a"].blocks_of_mix
+
+
 # 8 reading level
 
 
