@@ -24,7 +24,7 @@ from foliant.operators.graphs import components
 from foliant.plans.storage import cut, small
 
 RUN, THRESHOLD = 3, 0.6
-LANES, SEGMENT_WORDS, REACH = 12, 8, 3
+LANES, SEGMENT_WORDS, WIDE = 12, 8, 2
 #: Records of a bucket that are paired without a further key.
 BUCKET = 32
 #: Records of a hot bucket that are compared at once with as many.
@@ -33,7 +33,7 @@ BLOCK = 1 << 14
 SKETCH_LANES, PLANES = 128, 3
 
 
-def fingerprints(texts: pa.Array, run: int, lanes: int, segment: int, reach: int) -> dict[str, np.ndarray | list]:
+def fingerprints(texts: pa.Array, run: int, lanes: int, segment: int, wide: int) -> dict[str, np.ndarray | list]:
     """Class, size, sketch and keys of each text of a slice; size 0 where it has no runs."""
     w = words(texts)
     rows = len(texts)
@@ -67,7 +67,7 @@ def fingerprints(texts: pa.Array, run: int, lanes: int, segment: int, reach: int
                 (end, np.minimum(end + segment, last[mine])),
             )
             for side, (a, b) in enumerate(sides):
-                pos, index = golay.keys(total[b] ^ total[a], reach)
+                pos, index = golay.keys(total[b] ^ total[a], 4 if lane < wide else 3)
                 key.append(mix(h[hit][pos] + U((lane * 2 + side) * 0xA24BAED4963EE407 & MASK) + (index.astype(U) << U(40))))
                 owner.append(mine[pos])
     owner, key = np.concatenate(owner), np.concatenate(key)
@@ -79,13 +79,13 @@ def fingerprints(texts: pa.Array, run: int, lanes: int, segment: int, reach: int
 SIGNATURE = "rec_id long, klass long, size int, low long, high long, planes array<long>, keys array<long>"
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, run: int, lanes: int, segment: int, reach: int) -> DataFrame:
+def signatures(df: DataFrame, id_col: str, text_col: str, run: int, lanes: int, segment: int, wide: int) -> DataFrame:
     """One row a record with runs: class (equal run sets), number of runs, sketch and keys."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, part in slices(batch.column("text")):
-                f = fingerprints(part, run, lanes, segment, reach)
+                f = fingerprints(part, run, lanes, segment, wide)
                 keys = pa.ListArray.from_arrays(pa.array(f["ends"], pa.int32()), pa.array(f["keys"].view(np.int64)))
                 columns = [batch.column("rec_id").slice(start, len(part)), *(pa.array(f[c].view(np.int64)) for c in ("klass",))]
                 ends = np.arange(len(part) + 1, dtype=np.int32) * 2 * PLANES
@@ -98,13 +98,16 @@ def signatures(df: DataFrame, id_col: str, text_col: str, run: int, lanes: int,
     return ids.where("rec_id is not null and text is not null").mapInArrow(scan, SIGNATURE)
 
 
-def classes(signed: DataFrame) -> DataFrame:
-    """One row a class: its least record as ``rep``, its number of copies, and the signature its members share."""
-    return signed.groupBy("klass", "size").agg(
-        F.min("rec_id").alias("rep"),
-        F.count("*").alias("copies"),
-        *(F.first(c).alias(c) for c in ("low", "high", "planes", "keys")),
-    )
+def classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(copied, reps): (rec_id, rep) of the records whose run set another one has, and one signed record a class, its least.
+
+    Only ids and class numbers are shuffled, not signatures.
+    """
+    sizes = signed.groupBy("klass", "size").agg(F.min("rec_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    several = small(cut(sizes.select("klass", "size", "rep")))
+    copied = cut(signed.select("rec_id", "klass", "size").join(several, ["klass", "size"]).select("rec_id", "rep"))
+    others = small(cut(copied.where("rec_id <> rep").select("rec_id")))
+    return copied, signed.join(others, "rec_id", "left_anti").withColumnRenamed("rec_id", "rep")
 
 
 def _alike(a: str, b: str, threshold: float, least: int) -> Column:
@@ -224,20 +227,19 @@ def with_texts(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame | None =
 
 def links(
     df: DataFrame, id_col: str = "rec_id", text_col: str = "text", run: int = RUN, threshold: float = THRESHOLD,
-    lanes: int = LANES, segment: int = SEGMENT_WORDS, reach: int = REACH, bucket: int = BUCKET, block: int = BLOCK,
+    lanes: int = LANES, segment: int = SEGMENT_WORDS, wide: int = WIDE, bucket: int = BUCKET, block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (rec_id, rep) of all records with runs, links (a, b, similarity) between representatives.
 
     Records with equal run sets form a class, represented by its least id. Null ids, and null texts or texts with
     fewer than ``run`` words, are in neither result. Other columns of ``df`` aren't looked at.
     """
-    signed = cut(signatures(df, id_col, text_col, run, lanes, segment, reach))
-    reps = cut(classes(signed))
+    signed = cut(signatures(df, id_col, text_col, run, lanes, segment, wide))
+    copied, reps = classes(signed)
     pairs = cut(candidates(reps, threshold, bucket, block))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = cut(verify(pairs, texts, run, threshold))
-    copied = reps.where("copies > 1").select("klass", "size", "rep")
-    members = signed.select("rec_id", "klass", "size").join(copied, ["klass", "size"], "left")
+    members = signed.select("rec_id").join(small(cut(copied.distinct())), "rec_id", "left")
     return members.select("rec_id", F.coalesce("rep", "rec_id").alias("rep"), F.col("rep").isNotNull().alias("copied")), found
 
 
