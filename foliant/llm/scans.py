@@ -1,17 +1,20 @@
 """Repair of texts from scanned pages.
 
-Running headers, page numbers and page marks are found by their place at page edges and by the fuzzy repetition of a
-line from page to page; words broken by line ends are joined where the corpus' vocabulary knows the joined word
-better than the hyphenated one; a rare word that one reading error away from a far more frequent word is taken for that
-word. The vocabulary is a table of word counts of a fixed size, gathered over all texts.
+Running headers are found by fuzzy repetition: a line that repeats, but for reading errors, its record's title, its
+document's commonest title, or another line at a page's edge. Page numbers are found by their sequence from page to
+page. Words broken by line ends are joined where the corpus' vocabulary knows the joined word better than the hyphenated
+one; a rare word that is one reading error away from a far more frequent word is taken for that word. The vocabulary is
+a table of word counts of a fixed size, gathered over all texts.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from foliant.llm import quality, site_lines, structure
 from foliant.llm.tallies import merged, narrowed, packed
 from foliant.llm.words import U, mix, power_tables, slices
+from foliant.plans.storage import cut, small
 
 #: Cells of each of the two rows of the table of word counts; 16 MB in all, whatever the corpus.
 CELLS, ROWS = 1 << 21, 2
@@ -227,96 +231,132 @@ def run_together(word: str) -> list[str]:
     return out + [f"{word[: -len(w)]} {w}" for w in _RUN_ON if len(w) > 1 and word.endswith(w) and len(word) >= len(w) + 2]
 
 
-# Shapes of what stands at page edges: bare numbers and marks of the page, and running headers with or without a number.
-_NUMBER = re.compile(r"^\s*(?:[-—–]\s?\d{1,4}\s?[-—–]|[\[(]\s?\d{1,4}\s?[\])]|(?:page|p\.)\s?\d{1,4}\.?|\d{1,4}\.?|[ivxlc]{1,8} ?\*|[a-z]{1,2}\d? {1,4}\d{1,4})\s*$", re.I)
-_DATE = re.compile(r"[,—–]?\s*[A-Za-z]{3,9} \d{1,2}, ?\d{4}\.?\]?")
-_CHAPTER = re.compile(r"^\s*CH[A-Z]P\. ?[IVXLC]+\.\]\s*", re.I)
-_OUTER = re.compile(r"^\s*(?:\[?\d{1,4}\]?[ .]\s*)?(.*?)(?:[ .]\s*\[?\d{1,4}\]?)?\s*$")
+# Fixed value: what ends with a full stop within a sentence.
+_ABBREVIATED = re.compile(r"\b(?:[A-Z]|Mr|Mrs|Dr|No|Messrs|&c|St|v|Hon)\.$")
+# Fixed value: the marks of a page besides headers: its number, bare or within signs, a small Roman number with a star, a sheet's signature with its number.
+_MARK = re.compile(r"\s*(?:([-—–\[(]?)\s?(page |p\.\s?)?(\d{1,4})\s?([-—–\])]?\.?)|[ivxlc]{1,8} ?\*|[a-z]{1,2}\d? {1,4}\d{1,4})\s*$", re.I)
+_NUMBERED = re.compile(r"^\W{0,3}(\d{1,4})\b|\b(\d{1,4})\W{0,3}$")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: A line repeats another if it has this share of its letters in order, and so many letters and such a share of its length besides.
+ALIKE, BESIDES, LONGER = 0.8, 12, 0.2
+#: Lines on either side of a page number that are a page's edge, and characters of a header or mark at most.
+EDGE, HEADER, MARK = 2, 140, 20
+#: Page numbers of lines that follow one another differ by this much at most, for each line.
+STEP = 2
+
+
+def letters(text: str) -> str:
+    """Its words of letters, in lower case."""
+    return " ".join(_LETTERS.findall(text.lower()))
+
+
+class Repetition:
+    """Whether a line repeats one of the known ones, but for reading errors and a little besides."""
+
+    def __init__(self, known: list[str]):
+        self.known = [x for x in dict.fromkeys(known) if len(x) >= 4]
+        # one error leaves a word's beginning or its end
+        self.pieces = sorted({p for x in self.known for w in x.split() if len(w) > 3 for p in (w[:4], w[-4:])})
+
+    def candidates(self, low: str, starts: list[int]) -> set[int]:
+        """Numbers of the lines of a lower-cased text that have a piece of a known line."""
+        out = set()
+        for piece in self.pieces:
+            at = low.find(piece)
+            while at >= 0:
+                out.add(bisect_right(starts, at) - 1)
+                at = low.find(piece, at + 4)
+        return out
+
+    def holds(self, line: str) -> bool:
+        x = letters(line)
+        for known in self.known:
+            if abs(len(x) - len(known)) > BESIDES + LONGER * len(known):
+                continue
+            same = len(known)
+            if known not in x:
+                m = SequenceMatcher(None, x, known, autojunk=False)
+                if m.quick_ratio() * (len(x) + len(known)) < 2 * ALIKE * len(known):
+                    continue
+                same = sum(block.size for block in m.get_matching_blocks())
+            if same >= ALIKE * len(known) and len(x) - same <= BESIDES + LONGER * len(known):
+                return True
+        return False
 
 
-def core(line: str) -> tuple[str, bool]:
-    """A header without its page number, chapter and date, and whether it had any of them."""
-    bare = _DATE.sub(" ", _CHAPTER.sub("", line))
-    m = _OUTER.match(bare)
-    bare = m.group(1) if m else bare
-    bare = re.sub(r"\s+", " ", bare).strip(" .—–-[],")
-    return bare, len(bare) + 3 < len(re.sub(r"\s+", " ", line).strip())
+def _set_apart(line: str) -> bool:
+    """Written in capitals, or with a capital in all words but short ones."""
+    words_ = _LETTERS.findall(line)
+    return bool(words_) and (all(w[0].isupper() or len(w) < 5 for w in words_) or sum(map(str.isupper, "".join(words_))) >= 0.85 * sum(map(len, words_)))
 
 
-_SMALL = {"a", "an", "and", "at", "by", "for", "from", "held", "in", "of", "on", "or", "the", "to", "v", "v.", "with"}
+def repeated_edges(lines: list[str], edges: list[int]) -> set[int]:
+    """Those of the given lines that repeat one another. Lines are compared with the first one that begins or ends alike, so that the work is linear."""
+    found: set[int] = set()
+    first: dict[str, tuple[int, Repetition]] = {}
+    for i in edges:
+        x = letters(lines[i])
+        if len(x) < 8 or len(lines[i]) > HEADER or len(x) < 0.6 * len(lines[i].strip()):
+            continue
+        for key in ("<" + x[:6], ">" + x[-6:]):
+            if key not in first:
+                first[key] = (i, Repetition([x]))
+            elif first[key][1].holds(lines[i]):
+                found |= {first[key][0], i}
+    return found
 
 
-def is_title(text: str, forgiven: int) -> bool:
-    """Capitals throughout, or all words but small ones, and ``forgiven`` misread ones, with a capital."""
-    words_ = [w for w in re.split(r"[\s]+", text) if any(c.isalpha() for c in w)]
-    if not words_ or len(text) > 90:
-        return False
-    letters = [c for c in text if c.isalpha()]
-    if len(letters) >= 6 and sum(c.isupper() for c in letters) >= 0.85 * len(letters):
-        return True
-    large = [w for w in words_ if w.lower().strip(".,") not in _SMALL]
-    small_letter = sum(not (w[0].isupper() or w[0].isdigit()) for w in large)
-    return len(large) > small_letter and words_[0][:1].isupper() and small_letter <= forgiven
-
-
-def alike(a: str, b: str) -> bool:
-    """Whether two header cores are one, but for reading errors."""
-    a, b = a.lower(), b.lower()
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)):
-        return False
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.real_quick_ratio() >= 0.85 and m.quick_ratio() >= 0.85 and m.ratio() >= 0.85
+def furniture(lines: list[str], titles: tuple[str | None, ...], site: set[int]) -> set[int]:
+    """Numbers (from 0) of the lines that are no part of the text: page numbers, marks and running headers.
 
+    A running header repeats a title of its document, or another line at a page's edge, and is set apart from running text by its place, its
+    number or its letters. A page number stands in a sequence with another one before or after it; one that stands alone is a page's unless
+    it ends the sentence before it.
+    """
+    marks = {i: m for i, x in enumerate(lines) if len(x) <= MARK and i not in site and (m := _MARK.match(x))}
+    values = {i: int(m[3]) for i, m in marks.items() if m[3]}
+    edge = {j for i in marks for j in range(i - EDGE, i + EDGE + 1) if 0 <= j < len(lines)} - marks.keys() - site
+    known = Repetition([letters(t) for t in titles if t])
+    low = [x.lower() for x in lines]
+    starts = list(accumulate((len(x) + 1 for x in low), initial=0))
+    headers = set()
+    for i in sorted(known.candidates("\n".join(low), starts) - marks.keys() - site):
+        line = lines[i]
+        if len(line) <= HEADER and known.holds(line) and (i in edge or _set_apart(line) or _NUMBERED.search(line.strip())):
+            headers.add(i)
+    if not headers:
+        numbered = {i for i, x in enumerate(lines) if 8 < len(x) <= HEADER and i not in site and i not in marks and _NUMBERED.search(x.strip()) and _set_apart(x)}
+        headers = repeated_edges(lines, sorted(numbered | {i for i in edge if _set_apart(lines[i])}))
+    for i in headers:
+        if m := _NUMBERED.search(lines[i].strip()):
+            values[i] = int(m[1] or m[2])
+    order = sorted(values)
+    found = headers | {i for i, m in marks.items() if not m[3]}
+    for k, i in enumerate(order):
+        if i in headers:
+            continue
+        near = [(j, order[k + j]) for j in (-2, -1, 1, 2) if 0 <= k + j < len(order)]
+        if any(0 <= (values[other] - values[i]) * (1 if j > 0 else -1) <= STEP * abs(j) for j, other in near):
+            found.add(i)
+    for i in values.keys() - found:
+        if not _ends_sentence(lines, i, marks[i], found | marks.keys() | site):
+            found.add(i)
+    return found
 
-#: What every number and header has: a number at an end, capitals at the beginning, or a Roman number with a mark.
-_MAYBE = re.compile(r"\W{0,4}\d|.*\d\W{0,3}$|\s*(?:A |[A-Z][a-z]?)[A-Z]{2,}|\s*[ivxlc]{1,8} ?\*\s*$")
-_YEAR = re.compile(r"\s*1[4-9]\d\d\.\s*$")
-_TABLE = re.compile(r"\||\. \. |\t|^\s*[-–§*•] |\d,? +\d")
 
+_STOPPED = re.compile(r"[.!?:][\"')]*$")
+_BEGINS = re.compile(r"\s*[\"'(]?[A-Z]")
 
-def furniture(lines: list[str], title: str | None, site: set[int]) -> set[int]:
-    """Numbers (from 0) of the lines that are no part of the text: page numbers, marks and running headers."""
-    numbers, headers, others = [], [], set()
-    for i, line in enumerate(lines):
-        if len(line) > 140 or i in site:
-            continue
-        if not _MAYBE.match(line):
-            if line.rstrip().endswith("."):
-                bare, cut = core(line)
-                if len(bare.split()) >= 2 and not _TABLE.search(bare) and ("," not in bare or bare.isupper()) and is_title(bare, 0):
-                    headers.append((i, bare, cut))
-                    others.add(i)
-            continue
-        if _NUMBER.match(line):
-            before = lines[i - 1].rstrip() if i else ""
-            if not before.endswith("No.") and not (_YEAR.match(line) and before and before[-1] not in ".!?\""):
-                numbers.append(i)
-            continue
-        bare, cut = core(line)
-        if cut and _DATE.search(line) and ("]" in line or bare.isupper()):
-            headers.append((i, bare, cut))
-        elif (cut or line.rstrip().endswith(".")) and not _TABLE.search(bare) and ("," not in bare or bare.isupper()) and is_title(bare, 1 if cut else 0):
-            headers.append((i, bare, cut))
-    if not headers:
-        return set(numbers)
-    shouted = sum(x.isupper() for x in lines if x.strip()) * 2 > sum(1 for x in lines if x.strip())
-    found = set()
-    edges = set(numbers)
-    for i, bare, cut in headers:
-        capitals = sum(c.isupper() for c in bare) >= 0.85 * max(1, sum(c.isalpha() for c in bare))
-        repeated = any(j != i and alike(bare, other) for j, other, _ in headers)
-        near = any(j in edges for j in (i - 2, i - 1, i + 1, i + 2))
-        known = title is not None and alike(bare, title)
-        long = len(bare.split()) >= 2
-        if i in others:
-            # without the shape of a header only what is known of its text or place tells
-            if (known or (repeated and near)) and not (shouted and not cut):
-                found.add(i)
-        elif long and not (shouted and not cut) and (known or ((repeated or near or len(bare) >= 8) and (cut or capitals))):
-            found.add(i)
-    return found | edges
+
+def _ends_sentence(lines: list[str], i: int, mark: re.Match, no_text: set[int]) -> bool:
+    """Whether a bare number with a full stop ends the sentence that the line right before it leaves open, and a new one, or none, follows."""
+    if mark[1] or mark[2] or mark[4] != ".":
+        return False
+    before = lines[i - 1].strip() if i else ""
+    if not before or i - 1 in no_text or before[-1] in BREAKS or (_STOPPED.search(before) and not _ABBREVIATED.search(before)):
+        return False
+    after = next((x for j, x in enumerate(lines[i + 1 :], i + 1) if j not in no_text and x.strip()), "")
+    return not after or bool(_BEGINS.match(after))
 
 
 @dataclass
@@ -361,7 +401,7 @@ def running_text(pages: list[Page], profiles: np.ndarray, kinds: np.ndarray) ->
 
 
 def inspect(
-    part: pa.Array, titles: list[str | None], scanned: list[bool], site: list[set[int]], vocabulary: Vocabulary, profiles: np.ndarray, kinds: np.ndarray
+    part: pa.Array, titles: list[tuple[str | None, ...]], scanned: list[bool], site: list[set[int]], vocabulary: Vocabulary, profiles: np.ndarray, kinds: np.ndarray
 ) -> list[Page]:
     """The pages of a slice. ``site``: by row the lines added by the site. Only pages that are scanned are looked at."""
     t = tokens(part)
@@ -470,6 +510,8 @@ def inspect(
 
 # The stages on Spark.
 
+#: Titles that are broadcast at most.
+TITLES = 500_000
 #: Qualities of a source, in the registry, whose texts come from scanned pages.
 SCANNED = ("source_ocr",)
 
@@ -478,8 +520,16 @@ def placed_texts(records: DataFrame, sites: DataFrame, registry: DataFrame, sets
     """(rec_id, title, text, keys, kept, scanned) of all records; sites that the registry lacks count as scanned."""
     source = registry.select(F.concat_ws("_", "family", "source_id").alias("site"), F.col("source_quality").isin(*SCANNED).alias("scanned"))
     known = sites.select("shard_index", "site").join(source.groupBy("site").agg(F.max("scanned").alias("scanned")), "site", "left")
-    held = quality.bare(records, known, sets, "title").withColumn("scanned", F.coalesce("scanned", F.lit(True)))
-    return held.where("rec_id is not null").select("rec_id", "title", "text", "keys", "kept", "scanned")
+    held = quality.bare(records, known, sets, "title", "document_id").withColumn("scanned", F.coalesce("scanned", F.lit(True)))
+    return held.where("rec_id is not null").select("rec_id", "title", "document_id", "text", "keys", "kept", "scanned")
+
+
+def document_titles(records: DataFrame) -> DataFrame:
+    """(of, usual): the commonest title of each document that also has records without one; ties go to the last in order."""
+    named = records.where("document_id is not null and title is not null").groupBy("document_id", "title").agg(F.count("*").alias("n"))
+    usual = named.groupBy("document_id").agg(F.max_by("title", F.struct("n", "title")).alias("usual"))
+    lacking = records.where("document_id is not null and title is null").select("document_id").distinct()
+    return small(cut(usual.join(lacking, "document_id", "left_semi").select(F.col("document_id").alias("of"), "usual")), TITLES)
 
 
 def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -502,6 +552,8 @@ def _pages(
     records: DataFrame, sites: DataFrame, registry: DataFrame, labels: DataFrame, make: Callable[[pa.RecordBatch, list[Page]], pa.RecordBatch], schema: str
 ) -> DataFrame:
     """What ``make`` gives for each slice of the texts, once the vocabulary and the structural profiles are known."""
+    if "document_id" not in records.columns:
+        records = records.withColumn("document_id", F.lit(None).cast("string"))
     sites, sets = sites.select("shard_index", "site"), quality.line_sets(records, sites)
     texts = placed_texts(records, sites, registry, sets)
     context = records.sparkSession.sparkContext
@@ -516,10 +568,14 @@ def _pages(
             for start, part in slices(batch.column("text")):
                 rows = batch.slice(start, len(part))
                 site = [set(x or ()) for x in rows.column("site_at").to_pylist()]
-                pages = inspect(part, rows.column("title").to_pylist(), rows.column("scanned").to_pylist(), site, known, *profiles.value)
+                titles = list(zip(rows.column("title").to_pylist(), rows.column("usual").to_pylist(), strict=True))
+                pages = inspect(part, titles, rows.column("scanned").to_pylist(), site, known, *profiles.value)
                 yield make(rows, pages)
 
-    return texts.select("rec_id", "title", "text", "scanned", at.alias("site_at")).where("text is not null").mapInArrow(scan, schema)
+    # records with a title need no other one; a key of their own keeps them from meeting in one task
+    of = F.when(F.col("title").isNull(), F.col("document_id")).otherwise(F.concat(F.lit("\n"), F.col("rec_id")))
+    held = texts.where("text is not null").withColumn("of", of).join(document_titles(records), "of", "left")
+    return held.select("rec_id", "title", "usual", "text", "scanned", at.alias("site_at")).mapInArrow(scan, schema)
 
 
 def found_lines(records: DataFrame, sites: DataFrame, registry: DataFrame, labels: DataFrame) -> DataFrame:
@@ -538,9 +594,6 @@ def found_lines(records: DataFrame, sites: DataFrame, registry: DataFrame, label
     return _pages(records, sites, registry, labels, make, "rec_id long, line_no int, kind string")
 
 
-_ABBREVIATED = re.compile(r"\b(?:[A-Z]|Mr|Mrs|Dr|No|Messrs|&c|St|v|Hon)\.$")
-
-
 def mended(page: Page) -> str:
     """The page as readable paragraphs, one a line: no furniture and site lines, broken words joined, readings put right.
 

@@ -135,11 +135,11 @@ def test_p1_pairs_hot_keys_whole(spark):
 def test_p2_headers_misread_in_their_first_letters_and_repeated_in_title_case():
     body = ["the harbour was full of barrels and the sergeant counted them all", "until the winter, when the meadow was sold with all its timber"]
     for line in ("A HlSTORY OF SELRIBOURNE.", "T1E HlSTORY OF SELRIBOURNE.", "cHE HISTORY OF SELRIBOURNE."):
-        assert scans.furniture([*body, line, *body], "A History of Selribourne", set()) == {2}
-    assert scans.furniture([*body, "A HlSTORY OF SELRIBOURNE.", *body], "The Canal of Brinanness", set()) == set()
+        assert scans.furniture([*body, line, *body], ("A History of Selribourne",), set()) == {2}
+    assert scans.furniture([*body, "A HlSTORY OF SELRIBOURNE.", *body], ("The Canal of Brinanness",), set()) == set()
     paged = [*body, "The Canal of Brinanness.", "34", *body, "The Canal of Brinannoss.", "35", *body]
-    assert scans.furniture(paged, None, set()) == {2, 3, 6, 7}
-    assert scans.furniture([*body, "The Canal of Brinanness.", *body], None, set()) == set()
+    assert scans.furniture(paged, (None,), set()) == {2, 3, 6, 7}
+    assert scans.furniture([*body, "The Canal of Brinanness.", *body], (), set()) == set()
 
 
 LABELS = "rec_id long, kind string"
@@ -181,9 +181,22 @@ def test_p2_repairs_equal_clean_samples(spark, data):
     assert sum(ratio) / len(ratio) > 0.97
 
 
-def test_p2_shapes():
-    lines = ["The Holloby Post. 838", "( 554 )", "xxiv *", "CHAP. XI.]   BRINLOFIELD'S LEDGER   833", "JUNE 17, 1897.]    The Gazette    [595", "and the old man said that 12", "in", "1903.", "Parish, Moor 12, 14"]
-    assert scans.furniture(lines, None, set()) == {0, 1, 2, 3, 4}
+def test_p2_headers_repeat_a_title_of_their_document_whatever_stands_beside_it():
+    for line in ("The Holloby Post. 838", "CHAP. XI.]   THE HOLLOBY POST   833", "JUNE 17, 1897.]    The Holloby Post    [595", "THE HOLLOBY POST — MAY 1, 1850", "~ the holloby post ~ fol. 12"):
+        assert scans.furniture(["and the barrels", line, "were sold there"], (None, "The Holloby Post"), set()) == {1}
+        assert scans.furniture(["and the barrels", line, "were sold there"], ("The Canal",), set()) == set()
+    assert scans.furniture(["the man who had bought the holloby post office of the canal 12"], ("The Holloby Post",), set()) == set()
+
+
+def test_p2_page_numbers_rise_from_page_to_page():
+    body = "the barrels were sold in"
+    assert scans.furniture([body, "1903.", "Parish and moor"], (), set()) == set()  # ends a sentence
+    assert scans.furniture([body, "1903.", "parish and moor"], (), set()) == {1}  # interrupts one
+    assert scans.furniture([body, "1903.", "Parish", "1904.", "and moor"], (), set()) == {1, 3}  # a sequence
+    assert scans.furniture([body, "( 554 )", "xxiv *", "Page 7", "B4  47", "and moor 12, 14"], (), set()) == {1, 2, 3, 4}
+    assert scans.furniture(["", "12", ""], (), {1}) == set() and scans.furniture([], (), set()) == set()
+    table = [f"{name} do.   {n}" for n, name in enumerate(["Morloford", "Fenanbourne", "Tarselhithe"] * 400)]
+    assert len(scans.furniture(table, ("Accounts",), set())) <= len(table)  # linear, however many lines
 
 
 # 3 statistics
