@@ -15,7 +15,8 @@ from foliant.llm.words import slices, words
 #: Labelled records that profiles are made of, at most; those with the least ids.
 SAMPLE = 2_000
 
-Profiles = tuple[np.ndarray, np.ndarray]
+#: Structural profiles, the kind of each, and profiles of function words by language.
+Profiles = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def line_sets(records: DataFrame, sites: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def bare(records: DataFrame, sites: DataFrame, sets: DataFrame, *keep: str) -> D
 
 
 def fit_profiles(records: DataFrame, sites: DataFrame, sets: DataFrame, labels: DataFrame) -> Profiles:
-    """Structural profiles from at most ``SAMPLE`` labelled records, taken without their sites' lines.
+    """Structural and function-word profiles from at most ``SAMPLE`` labelled records, taken without their sites' lines.
 
     Records are reduced to the labelled ones before their lines are looked at.
     """
@@ -46,24 +47,28 @@ def fit_profiles(records: DataFrame, sites: DataFrame, sets: DataFrame, labels:
     ids = F.broadcast(records.sparkSession.createDataFrame([(i,) for i in known], "rec_id long"))
     rows = bare(records.join(ids, "rec_id", "left_semi"), sites, sets).where("kept is not null").select("rec_id", "kept").collect()
     rows.sort(key=lambda r: r.rec_id)
-    return structure.fit([r.kept for r in rows], [known[r.rec_id] for r in rows])
+    kinds = [known[r.rec_id] for r in rows]
+    prose = [r.kept for r, kind in zip(rows, kinds, strict=True) if kind == "prose"]
+    return *structure.fit([r.kept for r in rows], kinds), structure.spoken_profiles(prose)
 
 
 STATISTICS = (
     "rec_id long, n_chars long, n_words long, mean_word_length double, symbol_ratio double, digit_ratio double, n_lines long, "
-    "ended_lines double, function_words double, prose_chars long, list_chars long, table_chars long, junk_chars long, divergence double"
+    "ended_lines double, function_words double, language string, function_divergence double, prose_chars long, list_chars long, table_chars long, junk_chars long, divergence double"
 )
 
 
 def statistics(texts: DataFrame, profiles: Profiles) -> DataFrame:
-    """One row a text that isn't null: counts and ratios, characters by structural kind, mean divergence from the nearest profile.
+    """One row a text that isn't null: counts and ratios, characters by structural kind, mean divergence from the nearest profile, and the
+    language of most function words with their divergence from that language's prose (1 without any).
 
     Ratios of texts without words or lines are 0; without labelled texts all characters count as prose. ``texts``: rec_id, kept.
     """
     shared = texts.sparkSession.sparkContext.broadcast(profiles)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, kinds = shared.value
+        centres, kinds, spoken = shared.value
+        names = np.array(structure.LANGUAGES)
         t = {name: i for i, name in enumerate(structure.TYPES)}
         for batch in batches:
             for start, part in slices(batch.column("kept")):
@@ -85,7 +90,8 @@ def statistics(texts: DataFrame, profiles: Profiles) -> DataFrame:
                 columns = [
                     batch.column("rec_id").slice(start, n), chars.astype(np.int64), w.count.astype(np.int64), length / some,
                     (total[:, t["symbol"]] + total[:, t["inner_symbol"]] + total[:, t["decoded"]]) / tokens, total[:, t["number"]] / tokens,
-                    lines, ended / np.maximum(lines, 1), total[:, t["function"]] / tokens, *by_kind,
+                    lines, ended / np.maximum(lines, 1), total[:, t["function"]] / tokens,
+                    pa.array(names[x.language], mask=x.spoken.sum(1) == 0), structure.spoken_divergence(x, spoken), *by_kind,
                     np.bincount(x.row, away * x.chars, n) / np.maximum(chars, 1),
                 ]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [c.split()[0] for c in STATISTICS.split(", ")])

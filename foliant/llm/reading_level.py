@@ -67,7 +67,7 @@ _SHORT_FORM = re.compile(r"\b(Mr|Mrs|Dr|No|Messrs|St|Capt|v|vol|[A-Z])\.")
 
 def _function_hashes() -> tuple[np.ndarray, np.ndarray]:
     english = set(FUNCTION_WORDS["en"].split())
-    other = {w for k, t in FUNCTION_WORDS.items() if k != "en" for w in t.split() if w.isascii()} - english
+    other = {w for k, t in FUNCTION_WORDS.items() if k != "en" for w in t.split()} - english
     return tuple(np.unique(np.array([hash_word(w) for w in sorted(x)], U)) for x in (english, other))
 
 

@@ -569,7 +569,7 @@ def _pages(
                 rows = batch.slice(start, len(part))
                 site = [set(x or ()) for x in rows.column("site_at").to_pylist()]
                 titles = list(zip(rows.column("title").to_pylist(), rows.column("usual").to_pylist(), strict=True))
-                pages = inspect(part, titles, rows.column("scanned").to_pylist(), site, known, *profiles.value)
+                pages = inspect(part, titles, rows.column("scanned").to_pylist(), site, known, *profiles.value[:2])
                 yield make(rows, pages)
 
     # records with a title need no other one; a key of their own keeps them from meeting in one task

@@ -1,9 +1,10 @@
-"""Structural kinds of lines: prose, list, table or junk.
+"""Structural kinds of lines: prose, list, table or junk; and how near a text's function words are to its language's prose.
 
-A line is described by the distribution of its token types: function words of four languages, other words by case,
-numbers, fragments, symbols, wrongly decoded strings, separators and line marks. Lines of the labelled records are
-gathered into profiles; a line has the kind of the profile with the least Jensen-Shannon divergence from it and its
-neighbours.
+A text has the language most of its function words belong to. A line is described by the distribution of its token
+types: function words of that language, other words by case, numbers, fragments, symbols, wrongly decoded strings,
+separators and line marks. Lines of the labelled records are gathered into profiles; a line has the kind of the profile with
+the least Jensen-Shannon divergence from it and its neighbours. Labelled prose also gives, by language, a profile of the
+function words themselves, from which a whole text's distribution has a divergence of its own.
 """
 
 from __future__ import annotations
@@ -15,17 +16,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from foliant.llm.words import U, hash_word, mix, words
+from foliant.llm.words import U, Words, hash_word, words
 
-# Common function words of the corpus' languages.
+# Common function words of the corpus' languages, without accents, as words are told apart.
 FUNCTION_WORDS = {
     "en": "a about after all although an and are as at be been before but by can could did do for from had has hath have "
     "he her him his how i if in into is it its may me must my neither no nor not of on once or our out past she should so "
     "some than that the their them then there these they this those though till to under unto upon was we were what when "
     "where which while who whom whose will with within without would yet you your",
     "fr": "au aux avant avec car ce cette comme dans de des devant dit du elle en est et fut il ils je la le les leur lui "
-    "mais malgré ne on ou où par pas pendant plus pour puis quand que qui sa sans se ses si son sous sur un une vint",
-    "de": "aber als am an auf aus bei bis das dass dem den der des die doch durch ein eine einem einen einer er es für "
+    "mais ne on ou par pas pendant plus pour puis quand que qui sa sans se ses si son sous sur un une vint",
+    "de": "aber als am an auf aus bei bis das dass dem den der des die doch durch ein eine einem einen einer er es "
     "gegen ging hat ich im in ist kam man mit nach nicht noch nur ohne sah sein seine sich sie so trotz um und von vor wer "
     "wie wird zu zum zur",
     "la": "a ab ad anno apud atque autem coram cum de et ex hoc iure in inter item ipse non per post pro qui quo quod sed "
@@ -50,19 +51,45 @@ _ODD = np.zeros(256, bool)
 _ODD[[ord(c) for c in "|{}<>~^`\\#*=+%_[]/@$"]] = True
 
 
+LANGUAGES = tuple(FUNCTION_WORDS)
+
+
 @cache
-def function_hashes() -> np.ndarray:
-    return np.unique(np.array([hash_word(w) for text in FUNCTION_WORDS.values() for w in text.split() if w.isascii()], U))
+def function_words() -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, which): all function words in the order of their hashes, and for each whether it is one of each language."""
+    held = {hash_word(w): [w in text.split() for text in FUNCTION_WORDS.values()] for text in FUNCTION_WORDS.values() for w in text.split()}
+    order = sorted(held)
+    return np.array(order, U), np.array([held[h] for h in order])
 
 
 @dataclass
 class Lines:
-    """Lines of a slice that aren't blank: row, number in the text, characters, and counts by token type."""
+    """Lines of a slice that aren't blank: row, number in the text, characters, and counts by token type.
+
+    By row of the slice: ``language``, the place of its language, and ``spoken``, how often it has each function word.
+    """
 
     row: np.ndarray
     line_no: np.ndarray
     chars: np.ndarray
     counts: np.ndarray
+    language: np.ndarray
+    spoken: np.ndarray
+
+
+def _spoken(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, spoken, lone): by row its language and function words, by word whether it is a function word of its row's language."""
+    hashes, which = function_words()
+    place = np.minimum(np.searchsorted(hashes, w.h), len(hashes) - 1)
+    hit = hashes[place] == w.h
+    spoken = np.bincount(w.doc[hit] * len(hashes) + place[hit], minlength=w.rows * len(hashes)).reshape(w.rows, -1)
+    language = (spoken @ which).argmax(1)
+    return language, spoken, hit & which[place, language[w.doc]]
+
+
+def _no_lines(rows: int) -> Lines:
+    none = np.empty(0, np.int64)
+    return Lines(none, none, none, np.empty((0, T)), np.zeros(rows, np.int64), np.zeros((rows, len(function_words()[0])), np.int64))
 
 
 def lines(texts: pa.Array) -> Lines:
@@ -73,7 +100,7 @@ def lines(texts: pa.Array) -> Lines:
     ends = ends - ends[0]
     n = len(data)
     if not n:
-        return Lines(*(np.empty(0, np.int64) for _ in range(3)), np.empty((0, T)))
+        return _no_lines(rows)
     feed = np.zeros(n + 1, bool)
     feed[1:] = data == 10
     feed[ends] = True
@@ -88,7 +115,7 @@ def lines(texts: pa.Array) -> Lines:
     end_token[:-1] &= space[1:] | edge[1:]
     a, b = np.flatnonzero(start_token), np.flatnonzero(end_token) + 1
     if not len(a):
-        return Lines(*(np.empty(0, np.int64) for _ in range(3)), np.empty((0, T)))
+        return _no_lines(rows)
     line = np.searchsorted(begin, a, "right") - 1
 
     def count(mask: np.ndarray) -> np.ndarray:
@@ -114,7 +141,7 @@ def lines(texts: pa.Array) -> Lines:
     kind[(wide >= 2) & (wide * 10 >= 3 * (letters + digit))] = _at["decoded"]
     kind[(odd > 0) & (letters + digit > 0)] = _at["inner_symbol"]
     w = words(texts)
-    lone = np.isin(w.h, function_hashes())
+    language, spoken, lone = _spoken(w)
     # function words by their place: the tokens that hold one word only, with at most edge punctuation around it
     word_at = word_starts(texts)
     token = np.searchsorted(a, word_at, "right") - 1
@@ -148,7 +175,7 @@ def lines(texts: pa.Array) -> Lines:
     first_line = np.searchsorted(begin, ends[:-1], "left")
     line_no = np.arange(len(begin)) - first_line[row] + 1
     keep = tokens > 0
-    return Lines(row[keep], line_no[keep], size[keep], counts[keep])
+    return Lines(row[keep], line_no[keep], size[keep], counts[keep], language, spoken)
 
 
 def word_starts(texts: pa.Array) -> np.ndarray:
@@ -218,3 +245,24 @@ def judge(x: Lines, profiles: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray
     d = divergence(smooth(x), profiles)
     near = d.argmin(1)
     return kinds[near], d[np.arange(len(near)), near]
+
+
+def spoken_profiles(texts: list[str]) -> np.ndarray:
+    """For each language the distribution of its function words in those of the texts that are in it; zeros where there are none."""
+    x = lines(pa.array(texts, pa.large_string()))
+    _, which = function_words()
+    total = np.stack([(x.spoken[x.language == k].sum(0) * which[:, k]) for k in range(len(LANGUAGES))])
+    return total / np.maximum(total.sum(1, keepdims=True), 1)
+
+
+def spoken_divergence(x: Lines, profiles: np.ndarray) -> np.ndarray:
+    """By text the divergence of its language's function words in it from the language's profile; 1 where either has none."""
+    _, which = function_words()
+    out = np.ones(len(x.language))
+    for k in range(len(LANGUAGES)):
+        held = x.spoken * which[:, k]
+        mine = np.flatnonzero((x.language == k) & (held.sum(1) > 0))
+        if len(mine) and profiles[k].any():
+            p = held[mine] / held[mine].sum(1, keepdims=True)
+            out[mine] = divergence(p, profiles[k][None])[:, 0]
+    return out
