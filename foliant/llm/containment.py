@@ -67,15 +67,13 @@ def extra_hits(n: Array) -> Array:
     return np.maximum(1, (n * EXTRA).astype(np.int64))
 
 
-def _by_rarity(part: pa.Array, run: int, counts: Array) -> tuple[Array, Array, Array, Array]:
-    """(row, run, place among the row's runs from the rarest, class of each row) of a slice; the order is the same in all texts."""
-    doc, h = words(part).run_sets(run)
-    n = np.bincount(doc, minlength=len(part))
-    klass = _classes(doc, h, len(part))
+def _by_rarity(doc: Array, h: Array, rows: int, counts: Array) -> tuple[Array, Array]:
+    """(run, place among the row's runs from the rarest) of run sets; the order is the same in all texts. Runs of equal count keep the order of their hashes."""
+    n = np.bincount(doc, minlength=rows)
     # run_sets cuts the lower bits off
-    order = np.lexsort((h, counts[_cell(h << U(12))], doc))
-    place = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
-    return doc, h[order], place, klass
+    rarity = np.minimum(counts[_cell(h << U(12))].astype(U), U((1 << 52) - 1))
+    order = np.argsort((doc.astype(U) << U(52)) | rarity, kind="stable")
+    return h[order], np.arange(len(h)) - (np.cumsum(n) - n)[doc]
 
 
 def _classes(doc: Array, h: Array, rows: int) -> Array:
@@ -107,8 +105,9 @@ def prefixes(queries: DataFrame, run: int, share: float, counts: Array) -> DataF
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, part in slices(batch.column("text")):
-                doc, h, place, klass = _by_rarity(part, run, shared.value)
-                n = np.bincount(doc, minlength=len(part))
+                doc, h = words(part).run_sets(run)
+                n, klass = np.bincount(doc, minlength=len(part)), _classes(doc, h, len(part))
+                h, place = _by_rarity(doc, h, len(part), shared.value)
                 keep = place < (n - least_hits(n, share) + extra_hits(n))[doc]
                 yield _row(batch.column("id").slice(start, len(part)), klass, n, doc[keep], h[keep], place[keep])
 
@@ -140,6 +139,19 @@ def run_filter(prefixed: DataFrame, bits: int) -> Array:
     return merged(prefixed.select("runs").mapInArrow(scan, "blob binary"), np.bitwise_or, np.uint8, bits // 8)
 
 
+def _passes(h: Array, held: Array | None) -> Array:
+    """Whether each run passes the filter."""
+    if held is None:
+        return np.ones(len(h), bool)
+    left = np.arange(len(h))
+    for i in range(3):
+        at = (mix(h[left] + U(i + 1)) % U(8 * len(held))).astype(np.int64)
+        left = left[(held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+    out = np.zeros(len(h), bool)
+    out[left] = True
+    return out
+
+
 def hits(corpus: DataFrame, run: int, counts: Array, held: Array | None) -> DataFrame:
     """(id, klass, size, runs, places): of each corpus text the runs that pass the filter, all without one."""
     shared = corpus.sparkSession.sparkContext.broadcast((counts, held))
@@ -148,13 +160,14 @@ def hits(corpus: DataFrame, run: int, counts: Array, held: Array | None) -> Data
         counts, held = shared.value
         for batch in batches:
             for start, part in slices(batch.column("text")):
-                doc, h, place, klass = _by_rarity(part, run, counts)
-                n = np.bincount(doc, minlength=len(part))
-                for i in range(3 if held is not None else 0):
-                    at = (mix(h + U(i + 1)) % U(8 * len(held))).astype(np.int64)
-                    keep = (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                    doc, h, place = doc[keep], h[keep], place[keep]
-                yield _row(batch.column("id").slice(start, len(part)), klass, n, doc, h, place)
+                doc, h = words(part).run_sets(run)
+                n, klass = np.bincount(doc, minlength=len(part)), _classes(doc, h, len(part))
+                # only texts with any are put in order
+                some = np.bincount(doc[_passes(h, held)], minlength=len(part)) > 0
+                doc, h = doc[some[doc]], h[some[doc]]
+                h, place = _by_rarity(doc, h, len(part), counts)
+                keep = _passes(h, held)
+                yield _row(batch.column("id").slice(start, len(part)), klass, n, doc[keep], h[keep], place[keep])
 
     return corpus.select("id", "text").mapInArrow(scan, HELD)
 
