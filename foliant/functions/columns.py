@@ -51,7 +51,10 @@ def runs(w: Column, k: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " ")))
 
 
+# Fixed value: the pattern of pre-tokens.
+PIECES = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
+
+
 def pieces(text: Column) -> Column:
     """Pre-tokens: a leading blank or sign with letters, up to two digits, signs with line ends, blanks; they join to the text."""
-    pattern = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))

@@ -11,14 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.columns import pieces, share
+from foliant.functions.columns import PIECES, pieces, share
 
-# Fixed value: the pattern of pre-tokens.
-PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
+# Names of the special tokens, and those that can begin a text, the preferred first.
 SPECIALS = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>")
-#: Path of a public vocabulary's rank file.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BEGINNINGS = ("<|bos|>", "<|endoftext|>", "[BOS]")
+#: Paths of two public vocabularies' rank files.
+TOKENIZER, OTHER_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -44,21 +43,27 @@ def public_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
 def encoding(ranks: dict[bytes, int], specials: dict[str, int] | None = None):  # noqa: ANN201
     import tiktoken
 
-    return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=specials or {})
+    return tiktoken.Encoding("corpus", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=specials or {})
 
 
-def encoded(df: DataFrame, ranks: dict[bytes, int], key: str, text: str = "text", prepend: int | None = None) -> DataFrame:
-    """(key, ids): tokens of each text that isn't null, in Arrow batches; special strings in a text are ordinary text."""
+def encoded(df: DataFrame, ranks: dict[bytes, int], key: str, text: str = "text", prepend: int | None = None, keep: tuple[str, ...] = (), specials: dict[str, int] | None = None) -> DataFrame:
+    """(key, keep, ids): tokens of each text that isn't null, in Arrow batches; special strings in a text are ordinary text.
+
+    ``keep``: columns that come along, of types that Arrow and Spark share.
+    """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
+    held = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), *keep, F.col(text).alias("_text"))
+    names = [key, *keep, "ids"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(shared.value)
+        enc = encoding(shared.value, specials)
         head = [] if prepend is None else [prepend]
         for batch in batches:
-            ids = [head + enc.encode_ordinary(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
+            ids = [head + enc.encode_ordinary(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names)
 
-    return df.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(scan, f"{key} long, ids array<int>")
+    types = dict(held.dtypes)
+    return held.mapInArrow(scan, ", ".join(f"{c} {types[c]}" for c in names[:-1]) + ", ids array<int>")
 
 
 def decoded(df: DataFrame, ranks: dict[bytes, int], key: str) -> DataFrame:
@@ -91,11 +96,24 @@ def vocabulary_table(spark, ranks: dict[bytes, int], specials: dict[str, int]) -
     return spark.createDataFrame(rows, "id int, token string, size int, special boolean")
 
 
-def begin_token(vocabulary: DataFrame) -> DataFrame:
-    """(id) of the first of the known begin tokens that the vocabulary has."""
-    ranked = vocabulary.where(F.col("token").isin(*BEGINNINGS))
+def begin_tokens(vocabularies: DataFrame) -> DataFrame:
+    """(vocabulary, id) of the first of the known begin tokens that each vocabulary has; null where it has none."""
     order = F.coalesce(*(F.when(F.col("token") == t, F.lit(i)) for i, t in enumerate(BEGINNINGS)))
-    return ranked.groupBy().agg(F.min_by("id", order).alias("id"))
+    return vocabularies.groupBy("vocabulary").agg(F.min_by("id", order).alias("id"))
+
+
+def leaked_specials(df: DataFrame, ranks: dict[bytes, int], specials: dict[str, int], key: str, text: str = "text") -> DataFrame:
+    """(key, leaked): special ids that each text, with all special strings written after it, is encoded to; 0 is right."""
+    spoofed = df.where(F.col(text).isNotNull()).select(key, F.concat(F.col(text), F.lit("".join(specials))).alias("_spoofed"))
+    out = encoded(spoofed, ranks, key, "_spoofed", specials=specials)
+    return out.select(key, F.size(F.filter("ids", lambda x: x.isin(*specials.values()))).alias("leaked"))
+
+
+def unseen_class(vocabulary: DataFrame) -> str:
+    """A pattern of one character that no token of one byte covers. ``vocabulary``: token (hex). Bytes above 127 count as covered if the vocabulary has any of them."""
+    held = {int(r.token, 16) for r in vocabulary.where(F.length("token") == 2).select("token").collect()}
+    seen = "".join(f"\\x{b:02x}" for b in sorted(held) if b < 128)
+    return f"[^{seen}]" if not any(b > 127 for b in held) else f"[^{seen}\\x{{80}}-\\x{{10ffff}}]"
 
 
 def contiguity(vocabulary: DataFrame, key: str = "id") -> DataFrame:

@@ -42,9 +42,9 @@ QUERIES = {
     "c3_signs": lambda s, d: read(s, d, "documents").where("text is not null").select("doc_id", F.array_join(tq.signs(F.concat("text", F.when(F.pmod("doc_id", F.lit(7)) == 0, " see www.example.org or a@b.org, 2001-02-03").otherwise(""))), ",").alias("signs")),
     "r6_mid_mixture": lambda s, d: sampling.mixture(_parts(s, d, 50), "id", 42),
     "r7_tuning_mixture": lambda s, d: sampling.mixture(_parts(s, d, 500)[1:], "id", 7).groupBy("task_idx", "task").agg(F.count("*").alias("n"), F.min("place").alias("first")),
-    "t10_byte_coverage": lambda s, d: tok.contiguity(tok.vocabulary_table(s, {bytes([i]): i for i in range(256)}, {})),
-    "t12_special_leaks": lambda s, d: tok.encoded(read(s, d, "eval_items").select("item_id", F.concat(F.lit("<|bos|> "), "text").alias("text")), tok.public_ranks(), "item_id").where(F.exists("ids", lambda x: x >= 50_256)).select("item_id"),
-    "t19_lookup": lambda s, d: tok.vocabulary_table(s, {bytes([i]): i for i in range(256)}, {"<|bos|>": 256}).where("id in (65, 255, 256)"),
+    "t10_byte_coverage": lambda s, d: tok.vocabulary_table(s, tok.public_ranks(), {}).where("size = 1").select(F.conv("token", 16, 10).cast("int").alias("byte"), "id"),
+    "t12_special_leaks": lambda s, d: tok.leaked_specials(read(s, d, "documents"), tok.public_ranks(), {name: 50_256 + i for i, name in enumerate(tok.SPECIALS)}, "doc_id"),
+    "t19_lookup": lambda s, d: read(s, d, "part").select("p_partkey", (F.col("p_partkey") * 25).cast("int").alias("id")).join(tok.vocabulary_table(s, tok.public_ranks(), {"<|bos|>": 50_256}), "id", "left"),
     "pk3_wrapped": lambda s, d: read(s, d, "orders").select("o_orderkey", packing.wrapped(F.col("o_orderkey"), F.lit(997)).alias("cursor")),
     "pk9_moved_spans": lambda s, d: read(s, d, "part").select("p_partkey", packing.moved_span(F.col("p_partkey"), F.col("p_size") * 40, 1024).alias("start")),
     "a11_group_counts": lambda s, d: read(s, d, "shards_1913").groupBy("genre", "language").agg(F.count("*").alias("n")),
@@ -83,9 +83,9 @@ SQL = {
     "c3_signs": "select doc_id, case when doc_id % 7 = 0 then 'url,email,modern date' else '' end as signs from documents where text is not null",
     "r6_mid_mixture": "select *, row_number() over (order by " + _H("'42'", "task_idx", "local") + f", task_idx, local) - 1 as place from ({_MIX(50, 0)})",
     "r7_tuning_mixture": "select task_idx, task, count(*) as n, min(place) as \"first\" from (select *, row_number() over (order by " + _H("'7'", "task_idx", "local") + f", task_idx, local) - 1 as place from ({_MIX(500, 1)})) group by 1, 2",
-    "t10_byte_coverage": "select 256 as n, 0 as least, 255 as most, 256 as different, true as contiguous",
-    "t12_special_leaks": "select item_id from eval_items where false",
-    "t19_lookup": "select * from (values (65, '41', 1, false), (255, 'ff', 1, false), (256, '<|bos|>', 0, true)) t(id, token, size, special)",
+    "t10_byte_coverage": "select ('0x' || hex(from_base64(token)))::int as byte, id from read_csv('/opt/tokenizers/byte_bpe_50k.tiktoken', delim=' ', header=false, quote='', escape='', columns={'token': 'varchar', 'id': 'int'}) where octet_length(from_base64(token)) = 1",
+    "t12_special_leaks": "select doc_id, 0 as leaked from documents where text is not null",
+    "t19_lookup": "select p_partkey, (p_partkey * 25)::int as id, token, size, special from part left join (select id, lower(hex(from_base64(token))) as token, octet_length(from_base64(token)) as size, false as special from read_csv('/opt/tokenizers/byte_bpe_50k.tiktoken', delim=' ', header=false, quote='', escape='', columns={'token': 'varchar', 'id': 'int'}) union all select 50256, '<|bos|>', 0, true) v on v.id = p_partkey * 25",
     "pk3_wrapped": "select o_orderkey, o_orderkey % 997 as cursor from orders",
     "pk9_moved_spans": "select p_partkey, greatest(p_partkey - greatest(p_size * 40 - 1024, 0), 0) as \"start\" from part",
     "a11_group_counts": "select genre, language, count(*) as n from shards_1913 group by 1, 2",

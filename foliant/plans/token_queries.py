@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import python_functions as py
@@ -15,24 +14,34 @@ from foliant.sources import records
 
 
 def _texts(s, d):
-    """Whole texts, runs of blanks squeezed, since the SQL side's regular expressions have no lookahead."""
-    return read(s, d, "documents").where("text is not null").select("doc_id", "source", F.regexp_replace("text", "[ \\t]+", " ").alias("text"))
+    return read(s, d, "documents").where("text is not null").select("doc_id", "source", "text")
+
+
+def _vocabulary(s, d):
+    """The vocabulary of a public rank file with one begin token."""
+    return tok.vocabulary_table(s, tok.public_ranks(), {"<|bos|>": 50_256})
+
+
+def _narrow(s, d):
+    """That vocabulary without what the tab and the backtick are part of, and without bytes above 127: not all texts are covered."""
+    return tok.vocabulary_table(s, {b: i for b, i in tok.public_ranks().items() if not (b"\t" in b or b"`" in b or any(x > 127 for x in b))}, {})
 
 
 def _counted(s, d):
-    p = pieces(F.col("text"))
-    unknown = F.size(F.filter(p, lambda x: x.rlike(r"[^\x00-\x7f]")))
+    p, unseen = pieces(F.col("text")), tok.unseen_class(_narrow(s, d))
+    unknown = F.size(F.filter(p, lambda x: x.rlike(unseen)))
     return _texts(s, d).select("doc_id", "source", F.size(p).cast("bigint").alias("n"), unknown.cast("bigint").alias("unknown"), F.octet_length("text").cast("bigint").alias("bytes"))
 
 
-def _sizes(s, d):
-    return read(s, d, "documents").where("text is not null and text <> ''").select("doc_id", "source", (F.octet_length("text") + 1).cast("bigint").alias("tokens"))
+def _encoded_sizes(s, d):
+    """Tokens of each text in two public vocabularies."""
+    one = tok.encoded(_texts(s, d), tok.public_ranks(), "doc_id", keep=("source", "text"))
+    two = tok.encoded(one.select("doc_id", "source", "text", F.size("ids").cast("bigint").alias("first")), tok.public_ranks(tok.OTHER_TOKENIZER), "doc_id", keep=("source", "first", "text"))
+    return two.select("doc_id", "source", F.octet_length("text").cast("bigint").alias("bytes"), "first", F.size("ids").cast("bigint").alias("second"))
 
 
-def _vocabulary(s, d):
-    """Words of part names as a vocabulary: ids by order, byte sizes."""
-    names = read(s, d, "part").select(F.col("p_name").alias("token")).where("token is not null").distinct()
-    return names.select((F.row_number().over(Window.orderBy("token")) - 1).alias("id"), "token", F.octet_length("token").alias("size"))
+def _sizes(s, d):
+    return read(s, d, "documents").where("text is not null and text <> ''").select("doc_id", "source", (F.octet_length("text") + 1).cast("bigint").alias("tokens"))
 
 
 def _turns(s, d):
@@ -53,17 +62,25 @@ QUERIES = {
     "t2_byte_pairs": lambda s, d: tok.byte_pairs(tok.piece_counts(_texts(s, d))),
     "t3_round_trip_failures": lambda s, d: tok.round_trip_failures(read(s, d, "documents").select("doc_id", "text"), tok.public_ranks(), "doc_id"),
     "t4_token_counts": lambda s, d: tok.encoded(read(s, d, "documents").select("doc_id", "text"), tok.public_ranks(), "doc_id").select("doc_id", F.size("ids").alias("n")),
-    "t5_begin_token": lambda s, d: tok.begin_token(tok.vocabulary_table(s, {bytes([i]): i for i in range(256)}, {"[BOS]": 256, "<|endoftext|>": 257})),
-    "t6_token_sizes": lambda s, d: _vocabulary(s, d),
+    "t5_begin_token": lambda s, d: tok.begin_tokens(
+        tok.vocabulary_table(s, tok.public_ranks(), {"[BOS]": 50_256, "<|endoftext|>": 50_257, "<|bos|>": 50_258}).withColumn("vocabulary", F.lit("all"))
+        .unionByName(tok.vocabulary_table(s, tok.public_ranks(), {"[BOS]": 50_256, "<|endoftext|>": 50_257}).withColumn("vocabulary", F.lit("two")))
+        .unionByName(tok.vocabulary_table(s, tok.public_ranks(), {}).withColumn("vocabulary", F.lit("none")))
+    ),
+    "t6_token_sizes": lambda s, d: _vocabulary(s, d).select("id", "token", "size"),
     "t7_shard_tokens": lambda s, d: tok.shard_tokens(_counted(s, d), "source", "n"),
-    "t8_compression": lambda s, d: tok.compression(_counted(s, d).select("source", "bytes", F.col("n").alias("first"), F.ceil(F.col("bytes") / 4).alias("second")), "source"),
+    "t8_compression": lambda s, d: tok.compression(_encoded_sizes(s, d), "source"),
+    "t8_pieces_to_bytes": lambda s, d: tok.compression(_counted(s, d).select("source", "bytes", F.col("n").alias("first"), F.col("bytes").alias("second")), "source"),
     "t9_unknown_scan": lambda s, d: tok.unknown_scan(_counted(s, d), "source", 0.02),
     "t9_worst": lambda s, d: tok.worst(_counted(s, d), "doc_id", 50),
-    "t9_contexts": lambda s, d: _texts(s, d).select("doc_id", F.explode(tok.contexts(pieces(F.col("text")), lambda x: x.rlike(r"[^\x00-\x7f]"))).alias("c")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.size("c")).alias("around")),
+    "t9_contexts": lambda s, d: _texts(s, d).select("doc_id", F.explode(tok.contexts(pieces(F.col("text")), lambda x, p=tok.unseen_class(_narrow(s, d)): x.rlike(p))).alias("c")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.size("c")).alias("around")),
     "t11_contiguity": lambda s, d: tok.contiguity(_vocabulary(s, d)),
+    "t13_unseen_fires": lambda s, d: _counted(s, d).join(_texts(s, d).where("text rlike '[\\t`]'").select("doc_id"), "doc_id").select("doc_id", (F.col("unknown") > 0).alias("fires")),
+    "t4_decoded": lambda s, d: tok.decoded(tok.encoded(_texts(s, d), tok.public_ranks(), "doc_id"), tok.public_ranks(), "doc_id").select("doc_id", F.md5("text").alias("text_md5")),
+    "t20_other_sizes": lambda s, d: tok.size_figures(tok.vocabulary_table(s, tok.public_ranks(tok.OTHER_TOKENIZER), {"<|bos|>": 50_256})),
     "t14_size_figures": lambda s, d: tok.size_figures(_vocabulary(s, d)),
     "t15_estimates": lambda s, d: read(s, d, "documents").select("doc_id", tok.estimate(F.col("text")).alias("tokens")),
-    "t16_token_width": lambda s, d: read(s, d, "shard_meta").select("shard_index", tok.token_width(F.col("tokens")).alias("width")),
+    "t16_token_width": lambda s, d: read(s, d, "part").select("p_partkey", tok.token_width(F.col("p_partkey") * 40).alias("width")),
     "t17_painted": lambda s, d: read(s, d, "eval_items").where("choices is not null").select("item_id", tok.painted(F.col("choices"), F.transform("choices", lambda x, i: (i == F.col("gold")).cast("int"))).alias("painted")),
     "pk1_spans": lambda s, d: pk.spans(_sizes(s, d), "tokens", ["doc_id"], 4_097),
     "pk2_shifted": lambda s, d: pk.shifted(pk.packed_rows(read(s, d, "eval_items").where("text is not null").select("item_id", F.concat(F.array(F.lit(256)), chat.byte_ids(F.col("text"))).alias("ids")), "ids", ["item_id"], 2 * 128 + 1), 2, 128).select("row", "sequence", F.array_join("inputs", " ").alias("inputs"), F.array_join("targets", " ").alias("targets")),
@@ -94,10 +111,12 @@ QUERIES = {
 }
 
 _PAT = "'(?i:[sdmt]|ll|ve|re)|[^\\r\\n\\p{L}\\p{N}]?\\p{L}+|\\p{N}{1,2}| ?[^\\s\\p{L}\\p{N}]+[\\r\\n]*|\\s*[\\r\\n]|\\s+".replace("'", "''")
-_T = "select doc_id, source, regexp_replace(text, '[ \\t]+', ' ', 'g') as text from documents where text is not null"
-_P = f"select doc_id, source, text, regexp_extract_all(text, '{_PAT}') as p from ({_T})"
-_C = f"select doc_id, source, len(p) as n, len(list_filter(p, lambda x: regexp_matches(x, '[^\\x00-\\x7f]'))) as unknown, octet_length(encode(text)) as bytes from ({_P})"
-_V = "select row_number() over (order by p_name) - 1 as id, p_name as token, octet_length(encode(p_name)) as size from (select distinct p_name from part where p_name is not null)"
+# The pattern's lookahead leaves the last blank of several to what follows; here the text is parted there first, at a private sign.
+_T = r"select doc_id, source, text, regexp_replace(text, '([ \t\f])([ \t\f]\S)', '\1' || chr(57344) || '\2', 'g') as parted from documents where text is not null"
+_P = f"select doc_id, source, text, flatten(list_transform(string_split(parted, chr(57344)), lambda x: regexp_extract_all(x, '{_PAT}'))) as p from ({_T})"
+_C = f"select doc_id, source, len(p) as n, len(list_filter(p, lambda x: regexp_matches(x, '[^\\x00-\\x08\\x0a-\\x5f\\x61-\\x7f]'))) as unknown, octet_length(encode(text)) as bytes from ({_P})"
+_FILE = "read_csv('/opt/tokenizers/{}.tiktoken', delim=' ', header=false, quote='', escape='', columns={{'token': 'varchar', 'id': 'int'}})"
+_V = "select id, lower(hex(from_base64(token))) as token, octet_length(from_base64(token)) as size from " + _FILE.format("byte_bpe_50k") + " union all select 50256, '<|bos|>', 0"
 _PIECES = f"select piece, count(*) as n from (select unnest(p) as piece from ({_P})) group by 1"
 _BYTES = lambda t: f"list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda x: ('0x' || x)::int)"
 _ITEMS = "select item_id, text || chr(10) || chr(10) || coalesce(question, 'Which name is it?') as u, coalesce(choices[gold + 1], 'none') as a from eval_items where text is not null"
@@ -109,17 +128,20 @@ _PRE = lambda x, y: f"coalesce(list_min(list_filter(range(1, least(length({x}),
 SQL = {
     "t1_piece_counts": _PIECES,
     "t2_byte_pairs": f"select substring(x, 2 * i - 1, 2) as \"left\", substring(x, 2 * i + 1, 2) as \"right\", sum(n)::bigint as n from (select x, n, unnest(range(1, (length(x) // 2)::int)) as i from (select hex(encode(piece)) as x, n from ({_PIECES}))) group by 1, 2",
-    "t5_begin_token": "select 257 as id",
+    "t5_begin_token": "select * from (values ('all', 50258), ('two', 50257), ('none', null)) t(vocabulary, id)",
     "t6_token_sizes": _V,
     "t7_shard_tokens": f"select source, count(*) as docs, sum(n + 1)::bigint as tokens, sum(n + 1)::bigint * 2 as bytes from ({_C}) group by 1",
-    "t8_compression": f"select source, b as bytes, f as \"first\", s as second, round(coalesce(b / nullif(f, 0), 0), 6) as ratio_first, round(coalesce(b / nullif(s, 0), 0), 6) as ratio_second, round(coalesce((s - f) / nullif(s, 0), 0), 6) as difference, case when f = s then 'tie' when f < s then 'first' else 'second' end as winner from (select source, sum(bytes)::bigint as b, sum(n)::bigint as f, sum(ceil(bytes / 4))::bigint as s from ({_C}) group by 1)",
+    "t8_pieces_to_bytes": f"select source, b as bytes, f as \"first\", s as second, round(coalesce(b / nullif(f, 0), 0), 6) as ratio_first, round(coalesce(b / nullif(s, 0), 0), 6) as ratio_second, round(coalesce((s - f) / nullif(s, 0), 0), 6) as difference, case when f = s then 'tie' when f < s then 'first' else 'second' end as winner from (select source, sum(bytes)::bigint as b, sum(n)::bigint as f, sum(bytes)::bigint as s from ({_C}) group by 1)",
     "t9_unknown_scan": f"select source, count(*) as docs, sum(n)::bigint as tokens, sum(unknown)::bigint as unknown, count(*) filter (unknown > 0) as docs_any, count(*) filter (coalesce(unknown / nullif(n, 0), 0) >= 0.02) as docs_high, count(*) filter (n = 0) as docs_empty, round(coalesce(sum(unknown) / nullif(sum(n), 0), 0), 6) as rate from ({_C}) group by 1",
     "t9_worst": f"select doc_id, n, unknown, round(unknown / n, 6) as rate from ({_C}) where unknown > 0 order by unknown desc, round(unknown / n, 6) desc, doc_id limit 50",
-    "t9_contexts": f"select doc_id, count(*) as n, sum(least(i + 3, len(p)) - greatest(i - 3, 1) + 1 - case when i < 4 then 0 else 0 end + case when i < 4 then least(4 - i, greatest(len(p) - i - 3, 0)) else 0 end)::bigint as around from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from ({_P})) where regexp_matches(p[i], '[^\\x00-\\x7f]') group by 1",
+    "t9_contexts": f"select doc_id, count(*) as n, sum(least(i + 3, len(p)) - greatest(i - 3, 1) + 1 - case when i < 4 then 0 else 0 end + case when i < 4 then least(4 - i, greatest(len(p) - i - 3, 0)) else 0 end)::bigint as around from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from ({_P})) where regexp_matches(p[i], '[^\\x00-\\x08\\x0a-\\x5f\\x61-\\x7f]') group by 1",
+    "t13_unseen_fires": "select doc_id, true as fires from documents where contains(text, chr(9)) or contains(text, '`')",
+    "t4_decoded": "select doc_id, md5(text) as text_md5 from documents where text is not null",
+    "t20_other_sizes": "select count(*) as n, min(size) as least, max(size) as most, round(avg(size), 6) as mean, round(stddev_samp(size), 6) as deviation from (select octet_length(from_base64(token)) as size from " + _FILE.format("byte_bpe_multi_50k") + ")",
     "t11_contiguity": f"select count(*) as n, min(id) as least, max(id) as most, count(distinct id) as different, true as contiguous from ({_V})",
     "t14_size_figures": f"select count(*) as n, min(size) as least, max(size) as most, round(avg(size), 6) as mean, round(stddev_samp(size), 6) as deviation from ({_V}) where size > 0",
     "t15_estimates": "select doc_id, length(text) // 4 as tokens from documents",
-    "t16_token_width": "select shard_index, case when tokens < 65536 then 'uint16' else 'uint32' end as width from shard_meta",
+    "t16_token_width": "select p_partkey, case when p_partkey * 40 < 65536 then 'uint16' else 'uint32' end as width from part",
     "t17_painted": "select item_id, array_to_string(list_transform(range(1, len(choices) + 1), lambda i: case when i = gold + 1 then chr(27) || '[32m' else chr(27) || '[31m' end || choices[i] || chr(27) || '[0m'), '') as painted from eval_items where choices is not null",
     "pk1_spans": "with p as (select doc_id, t, sum(t) over (order by doc_id) - t as b from (select doc_id, octet_length(encode(text)) + 1 as t from documents where text is not null and text <> '')), e as (select doc_id, t, b, unnest(range((b // 4097)::bigint, ((b + t - 1) // 4097)::bigint + 1)) as r from p) select doc_id, r as row, greatest(b, r * 4097)::bigint - b::bigint as from_token, (least(b + t, (r + 1) * 4097) - greatest(b, r * 4097))::bigint as n, (greatest(b, r * 4097) - r * 4097)::bigint as at from e",
     "pk2_shifted": f"with a as (select flatten(list(list_concat([256], {_BYTES('text')}) order by item_id)) as t from eval_items where text is not null), r as (select t, unnest(range(0, len(t) // 257)) as row from a), q as (select t[row * 257 + 1:row * 257 + 257] as t, row, unnest([0, 1]) as sequence from r) select row, sequence, array_to_string(t[sequence * 128 + 1:sequence * 128 + 128], ' ') as inputs, array_to_string(t[sequence * 128 + 2:sequence * 128 + 129], ' ') as targets from q",
