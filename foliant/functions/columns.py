@@ -58,3 +58,14 @@ PIECES = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L
 def pieces(text: Column) -> Column:
     """Pre-tokens: a leading blank or sign with letters, up to two digits, signs with line ends, blanks; they join to the text."""
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+
+
+def normalised(text: Column) -> Column:
+    """The text with one kind of line end, plain blanks, no soft hyphens, none at line ends, and one blank line at most.
+
+    Spelling is never touched: letters, digits and signs other than these stay as they are, in their order.
+    """
+    out = F.replace(text, F.lit("\u00a0"), F.lit(" "))
+    for pattern, by in ((r"\r\n?", "\n"), ("\u00ad", ""), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)

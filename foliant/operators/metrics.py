@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.columns import share
-from foliant.functions.prefix_sums import running_total_within
+from foliant.functions.prefix_sums import row_numbers_within, running_total_within
+from foliant.plans.storage import cut, small
 
 # Fixed value: hourly price of a device by a part of its name.
 PRICES = {"H100": 3.0, "A100": 1.79, "V100": 0.55}
@@ -20,7 +26,7 @@ def accuracy(results: DataFrame, task: str) -> DataFrame:
 def centered(scores: DataFrame, baselines: DataFrame, task: str, percent: bool = True) -> DataFrame:
     """Adds ``centered``: 0 at the baseline (given in percent or as a fraction), 1 for all correct."""
     b = F.col("baseline") * (0.01 if percent else 1.0)
-    return scores.join(F.broadcast(baselines), task).withColumn("centered", (F.col("accuracy") - b) / (1 - b))
+    return scores.join(small(baselines), task).withColumn("centered", (F.col("accuracy") - b) / (1 - b))
 
 
 def mean_centered(scores: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -66,7 +72,7 @@ def bits_per_byte(losses: DataFrame, sizes: DataFrame, *by: str) -> DataFrame:
 
     ``losses``: target, nats; ``sizes``: target, size.
     """
-    held = losses.where("target >= 0").join(F.broadcast(sizes), "target").where("size > 0")
+    held = losses.where("target >= 0").join(small(sizes), "target").where("size > 0")
     sums = held.groupBy(*by).agg(F.sum("nats").alias("nats"), F.sum("size").alias("bytes"))
     bpb = F.when(F.coalesce("bytes", F.lit(0)) == 0, F.lit(float("inf"))).otherwise(F.try_divide("nats", F.log(F.lit(2.0)) * F.col("bytes")))
     return sums.withColumn("bpb", bpb)
@@ -100,28 +106,49 @@ def relative_deviation(df: DataFrame, order: list[str], value: str, rows: int) -
     return out.withColumn("status", F.when(F.col("deviation") < 0.02, "pass").when(F.col("deviation") < 0.05, "warn").otherwise("fail"))
 
 
-def upper_quantile(df: DataFrame, by: str, value: str, q: float, name: str) -> DataFrame:
-    """(by, name): the value at place floor(n q) of the sorted values, which for 0.5 is the upper median.
+def upper_quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, a column a name): for each share q the value at place floor(n q) of the sorted values, which for 0.5 is the upper median.
 
-    Equal values are counted first; running counts then find the place, so that a group is never gathered.
+    Equal values are counted first; running counts then find the places, so that a group is never gathered.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n")))
     placed = running_total_within(counts, by, "_n", [value], "_before")
     all_ = counts.groupBy(F.col(by).alias("_by")).agg(F.sum("_n").alias("_all"))
-    at = F.floor(F.col("_all") * q)
-    held = placed.join(all_, F.col(by).eqNullSafe(F.col("_by"))).where((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n")))
-    return held.select(by, F.col(value).alias(name))
+    held = placed.join(all_, F.col(by).eqNullSafe(F.col("_by")))
+
+    def at(q: float) -> Column:
+        place = F.floor(F.col("_all") * q)
+        return F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), F.col(value)))
+
+    return held.groupBy(by).agg(*(at(q).alias(name) for name, q in shares.items()))
+
+
+def upper_quantile(df: DataFrame, by: str, value: str, q: float, name: str) -> DataFrame:
+    """(by, name): one of ``upper_quantiles``."""
+    return upper_quantiles(df, by, value, {name: q})
 
 
-def debiased_ema(df: DataFrame, by: str, order: str, value: str, beta: float = 0.9) -> DataFrame:
-    """Adds ``ema``: exponential mean of the values so far, corrected for its start at 0, in closed form.
+def debiased_ema(df: DataFrame, by: str, order: str, value: str, beta: float = 0.9, block: int = 256) -> DataFrame:
+    """Adds ``ema``: exponential mean of the values so far, corrected for its start at 0. Nulls count as 0; ``order`` is unique within a group.
 
-    A value counts with (1 - beta) beta^age; ages beyond 400 weigh less than 1e-18 and can't be told from 0.
+    A group is cut into blocks of rows. A block's own sum is weighed to its last row; what a block carries on is the sum of the
+    blocks before it, each weighed down by the rows between. Ages that weigh less than 1e-18 can't be told from 0,
+    so a block looks back so many blocks only as ``beta`` asks for. No group is gathered: a task holds a block.
     """
-    w = Window.partitionBy(by).orderBy(order)
-    held = df.withColumn("_i", F.row_number().over(w)).withColumn("_v", F.collect_list(value).over(w.rowsBetween(-400, 0)))
-    total = F.aggregate("_v", F.lit(0.0), lambda s, x: s * beta + x * (1 - beta))
-    return held.withColumn("ema", total / (1 - F.pow(F.lit(beta), F.col("_i")))).drop("_i", "_v")
+    rows = cut(row_numbers_within(df, by, [order], "_i").withColumn("_block", F.floor(F.col("_i") / block)))
+    last = (F.col("_block") + 1) * block - 1
+    weighed = F.sum((1 - beta) * F.pow(F.lit(beta), last - F.col("_i")) * F.coalesce(value, F.lit(0.0)))
+    sums = cut(rows.groupBy(F.col(by).alias("_by"), "_block").agg(weighed.alias("_sum")))
+    back = max(1, math.ceil(math.log(1e-18) / math.log(beta) / block)) + 1 if 0 < beta < 1 else 1
+    # each block's sum reaches the blocks after it; at beta 0.999 that is 163 of them
+    reach = sums.select("_by", F.explode(F.sequence(F.col("_block") + 1, F.col("_block") + back)).alias("_to"), (F.col("_sum") * F.pow(F.lit(beta), (F.col("_to") - 1 - F.col("_block")) * block)).alias("_part"))
+    carried = reach.groupBy("_by", F.col("_to").alias("_block")).agg(F.sum("_part").alias("_carried"))
+    held = rows.join(carried.withColumnRenamed("_block", "_at"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_at")), "left")
+    place = F.pmod("_i", F.lit(block))
+    within = Window.partitionBy(by, "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.aggregate(F.collect_list(F.coalesce(value, F.lit(0.0))).over(within), F.lit(0.0), lambda s, x: s * beta + x * (1 - beta))
+    total = own + F.coalesce("_carried", F.lit(0.0)) * F.pow(F.lit(beta), place + 1)
+    return held.withColumn("ema", total / (1 - F.pow(F.lit(beta), F.col("_i") + 1))).drop("_i", "_block", "_by", "_at", "_carried")
 
 
 def throughput(df: DataFrame, tokens: float, flops_per_token: float, peak: float, steps: int, order: str = "step") -> DataFrame:
@@ -196,6 +223,33 @@ def error_rates(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("cer", share(F.levenshtein("read", "true"), F.length("true")))
 
 
+def word_edits(a: list, b: list) -> int:
+    """Fewest words put in, taken out or changed to make a from b, in space for one row."""
+    known: dict = {}
+    x, y = (np.array([known.setdefault(w, len(known)) for w in t], np.int64) for t in (a, b))
+    row = np.arange(len(y) + 1)
+    steps = np.arange(len(y) + 1)
+    for i, w in enumerate(x, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != w))
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row[-1])
+
+
+def word_error_rates(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, edits, words, wer) on the words between blanks of whole texts. Columns: key, read, true; null texts have no words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read, true = ([(t or "").split() for t in batch.column(i).to_pylist()] for i in (1, 2))
+            edits = [word_edits(a, b) for a, b in zip(read, true, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(edits, pa.int64()), pa.array([len(b) for b in true], pa.int64())], [key, "edits", "words"])
+
+    out = pairs.select(F.col(key).cast("long"), "read", "true").mapInArrow(scan, f"{key} long, edits long, words long")
+    return out.withColumn("wer", share(F.col("edits"), F.col("words")))
+
+
 def running_least(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return df.withColumn("least", F.min(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -209,11 +263,11 @@ def log_events(lines: DataFrame) -> DataFrame:
 LOG_LINE = r"step\s+(\d+)/(\d+).*?loss:?\s+([0-9.]+).*?loader:?\s+([0-9.]+)\s*ms\s*\(([0-9.]+)%\).*?tok/sec:?\s+([0-9,]+)"
 
 
-def parsed_log(lines: DataFrame) -> DataFrame:
-    """(step, steps, loss, loader_ms, loader_pct, tok_per_sec) of the lines that are training steps; others are left out."""
+def parsed_log(lines: DataFrame, *keep: str) -> DataFrame:
+    """(keep, step, steps, loss, loader_ms, loader_pct, tok_per_sec) of the lines that are training steps; others are left out."""
     part = lambda i: F.regexp_extract("value", LOG_LINE, i)
     out = lines.where(F.col("value").rlike(LOG_LINE))
-    return out.select(part(1).cast("bigint").alias("step"), part(2).cast("bigint").alias("steps"), part(3).cast("double").alias("loss"), part(4).cast("double").alias("loader_ms"), part(5).cast("double").alias("loader_pct"), F.replace(part(6), F.lit(","), F.lit("")).cast("bigint").alias("tok_per_sec"))
+    return out.select(*keep, part(1).cast("bigint").alias("step"), part(2).cast("bigint").alias("steps"), part(3).cast("double").alias("loss"), part(4).cast("double").alias("loader_ms"), part(5).cast("double").alias("loader_pct"), F.replace(part(6), F.lit(","), F.lit("")).cast("bigint").alias("tok_per_sec"))
 
 
 def coverage_gap(expected: DataFrame, observed: DataFrame, by: str) -> DataFrame:

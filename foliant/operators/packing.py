@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.prefix_sums import running_total
+from foliant.functions.prefix_sums import row_numbers, running_total
+from foliant.plans.storage import small
 
 
 def spans(docs: DataFrame, tokens: str, order: list[str], row: int) -> DataFrame:
@@ -67,7 +68,7 @@ def family_draws(slots: DataFrame, totals: DataFrame, microbatches: int, take: i
     inner = F.row_number().over(Window.partitionBy("family").orderBy("slot")) - 1
     placed = slots.withColumn("_inner", inner).withColumn("_each", F.count("*").over(Window.partitionBy("family")))
     every = slots.sparkSession.range(start, start + microbatches).select(F.col("id").alias("microbatch"), F.pmod("id", F.lit(size)).alias("slot"))
-    joined = every.join(F.broadcast(placed), "slot").join(F.broadcast(totals), "family")
+    joined = every.join(small(placed), "slot").join(small(totals), "family")
     draw = F.floor(F.col("microbatch") / size) * F.col("_each") + F.col("_inner")
     begin = draw * take
     return joined.select("microbatch", "family", draw.alias("draw"), F.pmod(begin, "tokens").alias("from_token"), F.pmod(begin + take, "tokens").alias("to_token"), F.floor((begin + take) / F.col("tokens")).alias("wraps"))
@@ -117,3 +118,8 @@ def late_decay(steps: DataFrame, n: int, flat: float = 0.8) -> DataFrame:
     """(step, rate): flat, then linear to 0."""
     progress = F.col("step") / n
     return steps.select("step", F.round(F.when(progress < flat, 1.0).otherwise((1 - progress) / (1 - flat)), 6).alias("rate"))
+
+
+def rank_rows(df: DataFrame, order: list[str], rank: int, ranks: int) -> DataFrame:
+    """The rows that one of several ranks reads: its cursor begins at its number and goes on by the number of ranks."""
+    return row_numbers(df, order, "_place").where(F.pmod("_place", F.lit(ranks)) == rank).drop("_place")

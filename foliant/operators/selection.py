@@ -140,3 +140,9 @@ def checked_limits(messages: DataFrame, settings: DataFrame, conversation: str =
 def with_share(df: DataFrame, value: str, name: str, *within: str) -> DataFrame:
     """Adds each row's share of the sum of ``value``, within groups if named. Meant for aggregated rows."""
     return df.withColumn(name, share(F.col(value), F.sum(value).over(Window.partitionBy(*within))))
+
+
+def micro_batch(row: Column, group_rows: int, batch: int) -> Column:
+    """The number of the batch that a row of a file is in: batches begin anew in each row group."""
+    each = -(-group_rows // batch)
+    return F.floor(row / group_rows) * each + F.floor(F.pmod(row, F.lit(group_rows)) / batch)

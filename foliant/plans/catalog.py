@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("corpus_queries", "scan_queries", "token_queries", "metric_queries", "further_queries")
+MODULES = ("corpus_queries", "scan_queries", "token_queries", "metric_queries", "further_queries", "pipeline_queries")
 
 
 def _every(name: str) -> dict:

@@ -135,6 +135,10 @@ _FP = "sha256(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 _SEQ = "select 0 as task_idx, 'items' as task, item_id as id, row_number() over (order by item_id) - 1 as local from eval_items union all select 1, 'docs', doc_id, row_number() over (order by doc_id) - 1 from documents"
 
 SQL = {
+    "q3_triage": f"""select doc_id, priority, array_to_string(r, ',') as reasons, case when letter_ratio < 0.4 then 'drop' when len(r) > 1 then 'review' when len(r) = 1 then 'repair' else 'keep' end as action from (select *,
+        round(least(n_chars / 1000.0::double, 10) * (1 - letter_ratio) * (1 + hyphen_ends / greatest(n_lines, 1)) * (1 + long_token_ratio), 6) as priority,
+        list_filter([case when letter_ratio < {tq.LETTERS} then 'few letters' end, case when punctuation_ratio > {tq.PUNCTUATION} then 'much punctuation' end, case when hyphen_ends > 0 then 'broken words' end, case when short_line_ratio >= {tq.SHORT_LINES} then 'short lines' end], lambda x: x is not null) as r
+        from ({_FEAT})) order by priority desc, doc_id limit 200""",
     "flagship_corpus_report": f"select source, docs, chars, round(chars / sum(chars) over (), 6) as char_share from (select regexp_replace(lower(trim(coalesce(source, '(none)'))), '\\s+', '_', 'g') as source, count(*) as docs, sum(length(text))::bigint as chars from (select *, row_number() over (partition by {_FP} order by doc_id) as rn from documents where text is not null and text <> '') where rn = 1 group by 1)",
     "g1_rights_decisions": f"select doc_id, decision, basis from ({_DECIDED})",
     "g4_dates": f"""select doc_id, {_BUCKET} as bucket, case when date_confidence is null or date_confidence in ('unknown', 'ingestion') or y is null then 'exclude_unknown_date' when y + k <= 1913 then 'keep' when y - k <= 1913 then 'exclude_crossing_range' else 'exclude_post_cutoff' end as date_decision,

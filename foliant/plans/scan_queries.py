@@ -71,6 +71,8 @@ _TURNS = "select doc_id as conv_id, row_number() over (partition by doc_id order
 _CONV = f"select conv_id, turn, case when turn % 2 = 1 then 'user' else 'assistant' end as role, text from ({_TURNS})"
 
 SQL = {
+    "k5_report_section": "select line from (select unnest([{'n': 'total tokens', 'v': sum(tokens)::double}, {'n': 'mean docs', 'v': avg(docs)}, {'n': 'rows', 'v': count(*)::double}]) as x from shard_meta), lateral (select '- ' || x.n || ': ' || case when x.v = floor(x.v) and abs(x.v) >= 10000 then format('{:,}', x.v::bigint) when x.v = floor(x.v) then x.v::bigint::varchar else printf('%.4f', x.v) end as line) where x.v <> 0",
+    "k6_score_rows": "select rpad(task, 35, ' ') || ', ' || rpad(printf('%.6f', avg(gold)), 10, ' ') || ', ' || rpad(printf('%.6f', avg(gold) - 0.5), 10, ' ') as line from eval_items group by task",
     "s2_shard_listing": f"select path, case when path = max(path) over () then 'val' else 'train' end as split from ({_FILES})",
     "s4_group_stride": "select doc_id, doc_id // 250 as file_no from documents where (doc_id % 250) // 16 % 3 = 1",
     "s5_resume_cursor": "select file_no, count(*) as n, min(doc_id) as first_id from (select doc_id, doc_id // 250 as file_no, (doc_id % 250) // 16 as g from documents) where g % 2 = 1 and (file_no > 1 or (file_no = 1 and g // 2 >= 3)) group by 1",
@@ -79,7 +81,7 @@ SQL = {
     "s9_owners_lacking": f"select cast(r as int) as rank from range(400) t(r) where r not in (select shard_index % 400 from ({_META}))",
     "s11_conversations": f"select conv_id, case when count(*) < 2 then 'fewer than two messages' when count(*) % 2 = 1 then 'does not end with assistant' end as problem from ({_CONV}) group by 1 having problem is not null",
     "s13_unwrapped": "select item_id, question, gold from eval_items",
-    "s15_word_list": "select distinct trim(p_name) as word from part where trim(p_name) <> ''",
+    "s15_word_list": "select trim(p_name) as word from part",
     "s16_log_tail": "select event_id, event_type, value from events order by event_id desc limit 120",
     "s17_bench_columns": "select event_id as step, value as tok_per_sec from events",
     "s20_registry_problems": "select source_id, 'enabled without open rights' as problem from source_registry where enabled and coalesce(rights in ('request_access', 'restricted', 'paid_skip', 'unknown'), true)",

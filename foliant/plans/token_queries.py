@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import python_functions as py
@@ -53,6 +56,13 @@ def _turns(s, d):
     return e.select(F.col("item_id").alias("conv_id"), F.explode(parts).alias("t")).select("conv_id", "t.*")
 
 
+def _variants(turns):
+    """Each conversation as it is, and with one thing wrong: no answer, no change of roles, a text that is null, a role that isn't known."""
+    role = F.when(F.col("role") == "user", "assistant").otherwise(F.col("role"))
+    wrong = (turns, turns.where("role <> 'assistant'"), turns.withColumn("role", role), turns.withColumn("text", F.when(F.col("role") != "user", F.col("text"))), turns.withColumn("role", F.when(F.col("role") == "user", "reader").otherwise(F.col("role"))))
+    return reduce(DataFrame.unionByName, (t.withColumn("conv_id", F.col("conv_id") * 10 + i) for i, t in enumerate(wrong)))
+
+
 def _choices(s, d):
     return read(s, d, "eval_items").where("choices is not null")
 
@@ -97,7 +107,7 @@ QUERIES = {
     "v5_answers": lambda s, d: read(s, d, "part").select("p_partkey", chat.answer(F.concat(F.lit("so #### "), F.format_number("p_retailprice", 2))).alias("answer"), chat.same_answer(chat.answer(F.col("p_name")), F.lit(None).cast("string")).alias("both_null")),
     "v7_letter_counts": lambda s, d: read(s, d, "part").select("p_partkey", chat.letter_count(F.col("p_name"), "e").alias("n"), F.md5(chat.counted_aloud(F.col("p_name"), "e")).alias("aloud")),
     "v8_spelled": lambda s, d: read(s, d, "part").select("p_partkey", chat.spelled(F.col("p_name")).alias("spelled")),
-    "v9_turn_problems": lambda s, d: records.conversation_problems(_turns(s, d).where("turn <= 1 + conv_id % 3")),
+    "v9_turn_problems": lambda s, d: records.conversation_problems(_variants(_turns(s, d))),
     "v10_joined_prompts": lambda s, d: _choices(s, d).select("item_id", chat.joined_prompts(F.col("choices"), F.coalesce("text", F.lit(""))).alias("prompt")),
     "v11_common_ends": lambda s, d: _choices(s, d).where("size(choices) > 1").select("item_id", chat.common_prefix(F.split(F.get("choices", 0), ""), F.split(F.get("choices", 1), "")).alias("prefix"), chat.common_suffix(F.split(F.get("choices", 0), ""), F.split(F.get("choices", 1), "")).alias("suffix")),
     "v13_code": lambda s, d: read(s, d, "part").select("p_partkey", chat.code_of(F.concat(F.lit("Here:\n```python\n"), "p_name", F.lit("\n```\nend"))).alias("code"), chat.program(F.lit("import math\nfrom os import path\n\ndef f():"), F.col("p_name"), F.lit("def check(f): pass"), F.lit("f")).alias("program")),
@@ -158,7 +168,7 @@ SQL = {
     "v5_answers": "select p_partkey, printf('%.2f', p_retailprice) as answer, true as both_null from part",
     "v7_letter_counts": "select p_partkey, length(p_name) - length(replace(p_name, 'e', '')) as n, md5(array_to_string(list_transform(range(1, length(p_name) + 1), lambda i: i || ':' || p_name[i] || case when p_name[i] = 'e' then ' hit! count=' || (i - length(replace(p_name[1:i], 'e', ''))) else '' end), chr(10))) as aloud from part",
     "v8_spelled": "select p_partkey, p_name || ':' || array_to_string(list_transform(range(1, length(p_name) + 1), lambda i: p_name[i]), ',') as spelled from part",
-    "v9_turn_problems": "select item_id as conv_id, case when item_id % 3 = 2 then null else 'fewer than two messages' end as problem from eval_items where text is not null and item_id % 3 <> 2",
+    "v9_turn_problems": "select item_id * 10 + v as conv_id, problem from eval_items, (values (1, 'fewer than two messages'), (2, 'roles do not alternate'), (3, 'content is no string'), (4, 'unknown role')) x(v, problem) where text is not null",
     "v10_joined_prompts": "select item_id, array_to_string(list_transform(choices, lambda x: x || chr(10) || chr(10)), '') || trim(coalesce(text, '')) as prompt from eval_items where choices is not null",
     "v11_common_ends": f"select item_id, {_PRE('a', 'b')} as prefix, {_PRE('reverse(a)', 'reverse(b)')} as suffix from (select item_id, choices[1] as a, choices[2] as b from eval_items where len(choices) > 1)",
     "v13_code": "select p_partkey, trim(p_name) as code, 'import math' || chr(10) || 'from os import path' || chr(10) || chr(10) || trim(p_name) || chr(10) || chr(10) || 'def check(f): pass' || chr(10) || 'check(f)' as program from part",

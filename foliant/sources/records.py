@@ -111,8 +111,8 @@ def unwrapped(df: DataFrame, column: str) -> DataFrame:
 
 
 def word_list(lines: DataFrame) -> DataFrame:
-    """(word): lines without blanks at their ends, each once."""
-    return lines.select(F.trim("value").alias("word")).where("word <> ''").distinct()
+    """(word): every line without blanks at its ends, in any number."""
+    return lines.select(F.trim("value").alias("word"))
 
 
 def tail(df: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -186,3 +186,84 @@ def reader_kind(cache: str | None, strategy: str | None, separate_validation: bo
     if cache:
         return "cache-all" if separate_validation else "cache-train"
     return "shards"
+
+
+def of_split(df: DataFrame, split: str, shard: str = "shard_index") -> DataFrame:
+    """Rows of the shards of a split: train is all but the last shard, val the last, all every one; a single shard is both."""
+    from foliant.operators.selection import read_split
+
+    ends = df.agg(F.max(shard).alias("_last"), (F.min(shard) == F.max(shard)).alias("_single"))
+    # one row
+    return df.join(F.broadcast(ends)).where(read_split(split, F.col(shard), F.col("_last"), F.col("_single"))).drop("_last", "_single")
+
+
+def open_reader(spark: SparkSession, texts: DataFrame, families: DataFrame, cache: str | None, strategy: str | None, separate_validation: bool) -> DataFrame:
+    """What a run reads, by ``reader_kind``: cached chunks with their family, all cached chunks, those of train, or the text shards.
+
+    ``families``: shard_index, family; shards without a family are in no schedule.
+    """
+    from foliant.operators.token_cache import read_token_cache
+
+    kind = reader_kind(cache, strategy, separate_validation)
+    if kind == "shards":
+        return texts
+    chunks = read_token_cache(spark, cache)
+    if kind == "families":
+        return chunks.join(families.select("shard_index", "family").distinct(), "shard_index")
+    return of_split(chunks, "all" if kind == "cache-all" else "train")
+
+
+def named_set(df: DataFrame, column: str, name: str, key: str, seed: int) -> DataFrame:
+    """Adds ``place`` to the rows of one named set: their order under a seed."""
+    from foliant.operators.sampling import shuffled
+
+    return shuffled(df.where(F.col(column) == name), key, seed)
+
+
+def require_more_than_text(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df``, unless it has no column but the text: records without an id or origin can't be governed."""
+    if set(df.columns) <= {text}:
+        raise ValueError("text-only input is refused: records need an id and an origin")
+    return df
+
+
+def task_list(text: str) -> list[dict[str, str]]:
+    """The entries of a list of tasks: ``- key: value`` begins one, indented ``key: value`` lines go on with it; other lines are headings."""
+    out: list[dict[str, str]] = []
+    for line in text.splitlines():
+        held = line.strip()
+        begins = held.startswith("- ")
+        key, colon, value = held.removeprefix("- ").partition(":")
+        if not colon or not value.strip():
+            continue
+        if begins:
+            out.append({})
+        if out and line[:1] in " -":
+            out[-1][key.strip()] = value.strip().strip("'\"")
+    return out
+
+
+def read_bundle(spark: SparkSession, tasks: str, baselines: str, items: str, schema: str) -> DataFrame:
+    """(task, num_fewshot, icl_task_type, baseline, n_items): the tasks of a list, with the baseline of each and its number of items.
+
+    ``tasks``: a file of the list; ``baselines``: CSV with the columns ``Eval Task`` and ``Random baseline``; ``items``: JSON lines with a
+    column task, under ``schema``. A task without baseline has none, one without items has 0.
+    """
+    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(tasks).collect())
+    rows = [(t["label"], int(t.get("num_fewshot", 0)), t.get("icl_task_type")) for t in task_list(text)]
+    listed = spark.createDataFrame(rows, "task string, num_fewshot int, icl_task_type string")
+    base = resolved(read_scores(spark, baselines), {"task": ("Eval Task",), "baseline": ("Random baseline",)}).withColumn("baseline", F.col("baseline").cast("double"))
+    n = spark.read.schema(schema).option("mode", "FAILFAST").json(items).groupBy("task").agg(F.count("*").alias("n_items"))
+    return listed.join(base, "task", "left").join(n, "task", "left").fillna(0, ["n_items"])
+
+
+def file_tail(path: str, n: int, most_bytes: int = 2 << 20) -> list[str]:
+    """The last ``n`` lines that aren't blank, of the last ``most_bytes`` of a file; a line that is cut there is left out."""
+    with open(path, "rb") as f:
+        size = f.seek(0, os.SEEK_END)
+        f.seek(max(0, size - most_bytes))
+        data = f.read()
+    lines = data.decode("utf-8", "replace").splitlines()
+    if size > most_bytes:
+        lines = lines[1:]
+    return [x for x in lines if x.strip()][-n:]

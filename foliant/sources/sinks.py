@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.columns import fingerprint
+from foliant.functions.prefix_sums import row_numbers, running_total_within
+from foliant.plans.storage import cut
 
 
 def write_shards(df: DataFrame, path: str, rows_per_file: int = 250_000) -> None:
@@ -100,3 +104,52 @@ def sweep_summary(rows: DataFrame, fields: list[str]) -> DataFrame:
 def metadata_lines(rows: DataFrame) -> DataFrame:
     """(line): each row as JSON, keys in the order of the columns, as a metadata file holds it."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
+
+
+def bounded_files(df: DataFrame, size_of: str, order: list[str], rows: int, size: int) -> DataFrame:
+    """Adds ``file_no``: files of at most ``rows`` rows, which a row that begins beyond ``size`` bytes of a text column isn't in any more.
+
+    Rows are cut into groups of ``rows``; within a group a file ends with the row that reaches the next multiple of ``size``.
+    """
+    placed = row_numbers(df.withColumn("_bytes", F.coalesce(F.octet_length(size_of), F.lit(0)).cast("bigint")), order, "_row").withColumn("_group", F.floor(F.col("_row") / rows))
+    placed = cut(running_total_within(placed, "_group", "_bytes", order, "_before").withColumn("_window", F.floor(F.col("_before") / size)))
+    files = row_numbers(placed.select("_group", "_window").distinct(), ["_group", "_window"], "file_no")
+    return placed.join(files, ["_group", "_window"]).drop("_bytes", "_row", "_group", "_before", "_window")
+
+
+def write_bounded(df: DataFrame, path: str, size_of: str, order: list[str], rows: int, size: int) -> None:
+    """One folder a file of ``bounded_files``."""
+    bounded_files(df, size_of, order, rows, size).write.option("compression", "zstd").partitionBy("file_no").mode("errorifexists").parquet(path)
+
+
+def sample_index(samples: DataFrame) -> DataFrame:
+    """(name, category, id, bytes, sha256): the entries of the index beside the sample files."""
+    name = F.concat_ws("-", F.regexp_replace(F.lower("category"), "[^a-z0-9]+", "-"), F.col("id").cast("string"))
+    content = F.concat_ws("\n\n", F.lit(LABEL), F.coalesce("text", F.lit("")))
+    return samples.select(F.concat(name, F.lit(".txt")).alias("name"), "category", F.col("id").cast("string").alias("id"), F.octet_length(content).alias("bytes"), F.sha2(content, 256).alias("sha256"))
+
+
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Every sample under its label, and ``index.json`` lines with the size and hash of each."""
+    sample_files(samples).write.mode("errorifexists").parquet(f"{path}/samples")
+    sample_index(samples).write.mode("errorifexists").json(f"{path}/index.json")
+
+
+REPORTS = {"splits": "split", "sources": "source", "decisions": "decision", "buckets": "bucket", "qualities": "source_quality"}
+
+
+def tree_reports(decided: DataFrame) -> DataFrame:
+    """(report, split, name, n, chars): the five reports of a governed tree. Columns: doc_id, those of ``REPORTS`` but split, chars."""
+    from foliant.operators.sampling import held_out
+
+    held = cut(held_out(decided, "doc_id", 0.05, seed=3))
+    parts = [held.groupBy("split", F.col(c).alias("name")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).select(F.lit(r).alias("report"), "split", "name", "n", "chars") for r, c in REPORTS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_governed(decided: DataFrame, path: str) -> None:
+    """The records by split, as one folder each, and the reports beside them."""
+    from foliant.operators.sampling import held_out
+
+    write_tree(held_out(decided, "doc_id", 0.05, seed=3), f"{path}/records")
+    tree_reports(decided).write.partitionBy("report").mode("errorifexists").json(f"{path}/reports")

@@ -47,6 +47,13 @@ def monitored(lines: DataFrame, limit: float) -> DataFrame:
     return parsed_log(lines).withColumn("warn", F.col("loader_pct") > limit)
 
 
+def monitor(lines: DataFrame, width: str, late: str, limit: float) -> DataFrame:
+    """(start, n, mean, greatest, warn) of the loader's share in each window of a stream of log lines; a mean above the limit warns. Columns: ts, value."""
+    held = event_time(parsed_log(lines, "ts")).withWatermark("ts", late)
+    figures = held.groupBy(F.window("ts", width)).agg(F.count("*").alias("n"), F.avg("loader_pct").alias("mean"), F.max("loader_pct").alias("greatest"))
+    return figures.select(F.col("window.start").alias("start"), "n", "mean", "greatest", (F.col("mean") > limit).alias("warn"))
+
+
 CURSORS = "family string, draws bigint, cursor bigint, wraps bigint"
 
 
