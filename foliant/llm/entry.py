@@ -94,10 +94,34 @@ def _cleaned(tail: str) -> str:
 def oracle_sql() -> dict[str, str]:
     """Brute force in SQL, for the queries whose result is fixed by a definition that SQL can state."""
     placed = f"(select rec_id, text, split from shards_1913 join ({_SPLITS}) using (shard_index))"
+    crossing = f"""e as ({_runs(placed, "rec_id", 3, where="split in ('val', 'test')")}), t as ({_runs(placed, "rec_id", 3, where="split = 'train'")}),
+            n as (select rec_id, count(*) as n from e group by 1), c as (select e.rec_id as a, t.rec_id as b, count(*) as c from e join t using (run) group by 1, 2)"""
+    leaking = f"""d as ({_runs("documents", "doc_id", 5, _JOINED)}), i as ({_runs("eval_items", "item_id", 5)}),
+            n as (select item_id, count(*) as n from i group by 1), c as (select doc_id, item_id, count(*) as c from d join i using (run) group by 1, 2),
+            f as (select doc_id, item_id, c, n from c join n using (item_id) where c * 4 >= n)"""
     return {
+        "p5_report": f"""with {crossing}, p as (select a, count(*) as pairs, max(c / n) as most from c join n on n.rec_id = a where c * 10 >= 8 * n group by 1)
+            select split, site, count(*) as n_records, count(a) as n_overlapping, count(*) filter (most = 1) as n_exact, coalesce(sum(pairs), 0)::bigint as n_pairs
+            from shards_1913 join (select * from ({_SPLITS}) where split in ('val', 'test')) using (shard_index) left join ({_SITES}) using (shard_index) left join p on a = rec_id group by 1, 2""",
+        "p6_report": f"""with {leaking}, p as (select item_id, count(*) as n_documents, count(distinct lower(trim(source))) as n_sources, max(c / n) as most from f join documents using (doc_id) group by 1)
+            select item_id, task, split, coalesce(n_documents, 0) as n_documents, coalesce(n_sources, 0) as n_sources, coalesce(most, 0) as most from eval_items left join p using (item_id)""",
+        "p6_windows": f"""with {leaking}, w as (select doc_id, regexp_extract_all(lower({_JOINED}), '[a-z0-9]+') as w from documents where doc_id in (select doc_id from f)),
+            h as (select doc_id, place, hash(w[place + 1:place + 5]) as run from (select doc_id, w, unnest(range(0, len(w) - 4)) as place from w)),
+            k as (select f.doc_id, f.item_id, f.n, h.place, h.run from f join i using (item_id) join h on h.doc_id = f.doc_id and h.run = i.run),
+            z as (select item_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) - 4 as width from eval_items),
+            q as (select x.doc_id, x.item_id, x.n, x.place, count(distinct y.run) as held, min(y.place) as first from (select distinct doc_id, item_id, n, place from k) x join z using (item_id)
+                join k y on y.doc_id = x.doc_id and y.item_id = x.item_id and y.place > x.place - width and y.place <= x.place group by 1, 2, 3, 4)
+            select doc_id, item_id, max(held) as window_hits, arg_min(first, (-held, place)) as first_word, max(held) / n as window_share from q group by doc_id, item_id, n""",
         "p1_found": f"""with r as ({_runs("shards_1913", "rec_id", 3)}), n as (select rec_id, count(*) as n from r group by 1),
             c as (select x.rec_id as a, y.rec_id as b, count(*) as c from r x join r y on x.run = y.run and x.rec_id < y.rec_id group by 1, 2)
             select a as rec_id_a, b as rec_id_b from c join n m on m.rec_id = a join n o on o.rec_id = b where c * 10 >= 6 * (m.n + o.n - c)""",
+        "p1_groups": f"""with recursive r as ({_runs("shards_1913", "rec_id", 3)}), n as (select rec_id, count(*) as n from r group by 1),
+            c as (select x.rec_id as a, y.rec_id as b, count(*) as c from r x join r y on x.run = y.run and x.rec_id < y.rec_id group by 1, 2),
+            p as (select a, b, c = m.n and c = o.n as same from c join n m on m.rec_id = a join n o on o.rec_id = b where c * 10 >= 6 * (m.n + o.n - c)),
+            e as (select a, b, same from p union all select b, a, same from p), k as (select rec_id, least(rec_id, min(b) filter (same)) as class_id from n left join e on a = rec_id group by 1),
+            reach as (select rec_id as a, rec_id as b from n union select reach.a, e.b from reach join e on reach.b = e.a), g as (select a as rec_id, min(b) as group_id from reach group by 1),
+            l as (select a as rec_id, count(distinct class_id) as n_links from e join k on rec_id = b where not same group by 1)
+            select rec_id, class_id, group_id, coalesce(n_links, 0) as n_links from k join g using (rec_id) left join l using (rec_id)""",
         "p4_found": f"""with l as ({_LINES}), n as (select site, count(distinct rec_id) as n from l group by 1),
             c as (select site, line, count(distinct rec_id) as c from l where line <> '' group by 1, 2)
             select rec_id, line_no::int as line_no from l join c using (site, line) join n using (site) where c >= 5 and c * 100 >= n * 2""",
@@ -108,10 +132,7 @@ def oracle_sql() -> dict[str, str]:
             from (select rec_id, site, line_no, raw, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) as line from (select rec_id, site, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as raw
             from (select rec_id, site, string_split(text, chr(10)) as l from shards_1913 join ({_SITES}) using (shard_index) where regexp_matches(text, '\S')))) left join b using (site, line) group by 1) using (rec_id)"""
         ),
-        "p5_found": f"""with e as ({_runs(placed, "rec_id", 3, where="split in ('val', 'test')")}), t as ({_runs(placed, "rec_id", 3, where="split = 'train'")}),
-            n as (select rec_id, count(*) as n from e group by 1), c as (select e.rec_id as a, t.rec_id as b, count(*) as c from e join t using (run) group by 1, 2)
+        "p5_found": f"""with {crossing}
             select least(a, b) as rec_id_a, greatest(a, b) as rec_id_b from c join n on n.rec_id = a where c * 10 >= 8 * n""",
-        "p6_found": f"""with d as ({_runs("documents", "doc_id", 5, _JOINED)}), i as ({_runs("eval_items", "item_id", 5)}),
-            n as (select item_id, count(*) as n from i group by 1), c as (select doc_id, item_id, count(*) as c from d join i using (run) group by 1, 2)
-            select doc_id, item_id from c join n using (item_id) where c * 4 >= n""",
+        "p6_found": f"with {leaking} select doc_id, item_id from f",
     }
