@@ -8,8 +8,11 @@ has enough hits, and the runs that both texts still have after their last common
 missing (positional bound). Those pairs are verified on the whole texts. Copies are collapsed before the join,
 and the rows of a run that very many texts have are dealt to several parts.
 
-The filter is broadcast up to ``FILTER_BITS``. More prefix runs than it can tell apart are joined without one: every run of
-the corpus is then shuffled once, which is linear in the corpus, and the result is the same.
+How the corpus is scanned depends on how many runs the queries have, the result doesn't. Up to ``EXACT_RUNS`` they are broadcast
+themselves: one scan finds the runs that each text shares with any query, and rarity is the exact number of texts. Beyond, a
+table of counts of fixed size gives the rarity, and the filter is a Bloom filter of the prefix runs, up to
+``FILTER_BITS``. More prefix runs than that can tell apart are joined without a filter: every run of the corpus is then
+shuffled once, which is linear in the corpus.
 """
 
 from __future__ import annotations
@@ -18,18 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.near_duplicates import with_texts
 from foliant.llm.tallies import merged, narrowed, packed
-from foliant.llm.words import U, jaccard, mix, pair_slices, slices, words
+from foliant.llm.words import SLICE_ROWS, U, jaccard, mix, pair_slices, slices, words
 from foliant.plans.storage import cut, small
 
 #: Cells of the table of run counts. Runs share cells; beyond some ten million runs only those far above a cell's mean are told from the rest, which are those that would make hot keys.
 CELLS = 1 << 22
 #: Bits a prefix run that the filter has, and bits from which there is none (64 MB).
 BITS_A_RUN, FILTER_BITS = 12, 1 << 29
+#: Runs of all queries that are broadcast as they are (0.8 MB).
+EXACT_RUNS = 100_000
 #: Share of a query's runs that the prefix holds beyond what may be lacking.
 EXTRA = 0.1
 #: Texts with a run that are joined in one part.
@@ -67,12 +73,22 @@ def extra_hits(n: Array) -> Array:
     return np.maximum(1, (n * EXTRA).astype(np.int64))
 
 
-def _by_rarity(doc: Array, h: Array, rows: int, counts: Array) -> tuple[Array, Array]:
+Rarity = tuple[Array, Array | None]  # counts by cell, or counts by the place of a run in the sorted runs
+
+
+def _counts(h: Array, rarity: Rarity) -> Array:
+    counts, runs = rarity
+    if runs is None:
+        # run_sets cuts the lower bits off
+        return counts[_cell(h << U(12))]
+    return counts[np.minimum(np.searchsorted(runs, h), len(runs) - 1)]
+
+
+def _by_rarity(doc: Array, h: Array, rows: int, rarity: Rarity) -> tuple[Array, Array]:
     """(run, place among the row's runs from the rarest) of run sets; the order is the same in all texts. Runs of equal count keep the order of their hashes."""
     n = np.bincount(doc, minlength=rows)
-    # run_sets cuts the lower bits off
-    rarity = np.minimum(counts[_cell(h << U(12))].astype(U), U((1 << 52) - 1))
-    order = np.argsort((doc.astype(U) << U(52)) | rarity, kind="stable")
+    count = np.minimum(_counts(h, rarity).astype(U), U((1 << 52) - 1))
+    order = np.argsort((doc.astype(U) << U(52)) | count, kind="stable")
     return h[order], np.arange(len(h)) - (np.cumsum(n) - n)[doc]
 
 
@@ -98,9 +114,9 @@ def _row(ids: pa.Array, klass: Array, n: Array, doc: Array, h: Array, place: Arr
     return pa.RecordBatch.from_arrays(columns, ["id", "klass", "size", "runs", "places"]).filter(pa.array(held > 0))
 
 
-def prefixes(queries: DataFrame, run: int, share: float, counts: Array) -> DataFrame:
+def prefixes(queries: DataFrame, run: int, share: float, rarity: Rarity) -> DataFrame:
     """(id, klass, size, runs, places): of each query with runs its class and the rarest runs that must be looked for."""
-    shared = queries.sparkSession.sparkContext.broadcast(counts)
+    shared = queries.sparkSession.sparkContext.broadcast(rarity)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,12 +168,12 @@ def _passes(h: Array, held: Array | None) -> Array:
     return out
 
 
-def hits(corpus: DataFrame, run: int, counts: Array, held: Array | None) -> DataFrame:
+def hits(corpus: DataFrame, run: int, rarity: Rarity, held: Array | None) -> DataFrame:
     """(id, klass, size, runs, places): of each corpus text the runs that pass the filter, all without one."""
-    shared = corpus.sparkSession.sparkContext.broadcast((counts, held))
+    shared = corpus.sparkSession.sparkContext.broadcast((rarity, held))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held = shared.value
+        rarity, held = shared.value
         for batch in batches:
             for start, part in slices(batch.column("text")):
                 doc, h = words(part).run_sets(run)
@@ -165,13 +181,61 @@ def hits(corpus: DataFrame, run: int, counts: Array, held: Array | None) -> Data
                 # only texts with any are put in order
                 some = np.bincount(doc[_passes(h, held)], minlength=len(part)) > 0
                 doc, h = doc[some[doc]], h[some[doc]]
-                h, place = _by_rarity(doc, h, len(part), counts)
+                h, place = _by_rarity(doc, h, len(part), rarity)
                 keep = _passes(h, held)
                 yield _row(batch.column("id").slice(start, len(part)), klass, n, doc[keep], h[keep], place[keep])
 
     return corpus.select("id", "text").mapInArrow(scan, HELD)
 
 
+def shared_runs(texts: DataFrame, run: int, runs: Array | None) -> DataFrame:
+    """(id, klass, size, runs, places): of each text those of the sorted runs that it has, or all its runs. Places are not those of rarity yet."""
+    shared = texts.sparkSession.sparkContext.broadcast(runs)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = shared.value
+        for batch in batches:
+            for start, part in slices(batch.column("text")):
+                doc, h = words(part).run_sets(run)
+                n, klass = np.bincount(doc, minlength=len(part)), _classes(doc, h, len(part))
+                if runs is not None:
+                    keep = runs[np.minimum(np.searchsorted(runs, h), len(runs) - 1)] == h
+                    doc, h = doc[keep], h[keep]
+                yield _row(batch.column("id").slice(start, len(part)), klass, n, doc, h, np.zeros(len(h), np.int64))
+
+    return texts.select("id", "text").mapInArrow(scan, HELD)
+
+
+def ordered(reps: DataFrame, rarity: Rarity) -> DataFrame:
+    """(rep, size, runs, places) with the runs from the rarest on."""
+    shared = reps.sparkSession.sparkContext.broadcast(rarity)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                sizes = pc.list_value_length(part.column(2)).to_numpy()
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                h, place = _by_rarity(doc, part.column(2).flatten().to_numpy().view(U), len(sizes), shared.value)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["rep", "size", "runs", "places"])
+
+    return reps.select("rep", "size", "runs").mapInArrow(scan, "rep long, size int, runs array<long>, places array<int>")
+
+
+def _exactly(queries: DataFrame, corpus: DataFrame, run: int, share: float, sets: DataFrame) -> tuple[DataFrame, DataFrame, Rarity]:
+    """(prefixes of the queries, runs that corpus texts share with them, exact rarity): only for queries of few runs, which the driver holds."""
+    held = sets.select(F.explode("runs").alias("run")).distinct().toPandas().run.to_numpy(np.int64)
+    runs = np.sort(held.view(U))
+    seen = cut(shared_runs(corpus, run, runs))
+    rows = seen.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n")).toPandas()
+    counts = np.zeros(len(runs), np.int64)
+    counts[np.searchsorted(runs, rows.run.to_numpy(np.int64).view(U))] = rows.n.to_numpy(np.int64)
+    rarity = (narrowed(counts), runs)
+    return cut(prefixes(queries, run, share, rarity)), seen, rarity
+
+
 def _collapsed(side: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: id, rep of texts that have copies; one row a class under its least id)."""
     held = (F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("runs").alias("runs"), F.first("places").alias("places"))
@@ -217,12 +281,21 @@ def contained(queries: DataFrame, corpus: DataFrame, run: int, share: float, win
     """
     queries = queries.where("id is not null and text is not null")
     corpus = corpus.where("id is not null and text is not null")
-    counts = frequencies(queries.select("text").unionByName(corpus.select("text")), run)
-    asked = cut(prefixes(queries, run, share, counts))
+    sets = shared_runs(queries, run, None)
+    n_runs = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not n_runs:
+        exact, asked, seen = False, sets, sets
+    elif exact := n_runs <= EXACT_RUNS:
+        asked, seen, rarity = _exactly(queries, corpus, run, share, sets)
+    else:
+        rarity = (frequencies(queries.select("text").unionByName(corpus.select("text")), run), None)
+        asked = cut(prefixes(queries, run, share, rarity))
+        bits = filter_bits(asked.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0])
+        seen = cut(hits(corpus, run, rarity, run_filter(asked, bits) if bits else None))
     query_members, query_reps = _collapsed(asked)
-    bits = filter_bits(query_reps.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0])
-    seen = cut(hits(corpus, run, counts, run_filter(query_reps, bits) if bits else None))
     doc_members, doc_reps = _collapsed(seen)
+    if exact:
+        doc_reps = cut(ordered(doc_reps, rarity))
     pairs = cut(candidates(query_reps, doc_reps, share, most_in_part))
     found = cut(_verified(with_texts(pairs, queries, corpus), run, round(share * 1_000_000), windows))
     return (

@@ -305,10 +305,11 @@ def test_republished_article_stays_and_boilerplate_goes(spark):
     assert clean[300].text is None and clean[301].text == "" and len(clean) == len(rows)
 
 
-@pytest.mark.parametrize(("bits", "part"), [(1 << 29, 10_000), (1, 10_000), (1 << 29, 2)])
-def test_containment_is_whole_without_filter_and_with_split_runs(spark, monkeypatch, bits, part):
+@pytest.mark.parametrize(("exact", "bits", "part"), [(1_000_000, 1, 10_000), (0, 1 << 29, 10_000), (0, 1, 10_000), (0, 1 << 29, 2), (1_000_000, 1, 2)])
+def test_containment_is_whole_whatever_the_filter_and_with_split_runs(spark, monkeypatch, exact, bits, part):
     from foliant.llm import containment
 
+    monkeypatch.setattr(containment, "EXACT_RUNS", exact)
     monkeypatch.setattr(containment, "FILTER_BITS", bits)
     rng = random.Random(5)
     base = [prose(i, 40) for i in range(6)]
