@@ -28,9 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """Where this application's stage tables lie, in the shared folder."""
+    return f"{shared_folder(spark)}/foliant-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the stage tables of this application. Only for when no DataFrame that came from a query is read any more."""
+    folder = stage_folder(spark)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """The rows of ``df`` written once to the shared folder and read back: a short lineage that survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/foliant-{uuid.uuid4().hex}"
+    path = f"{stage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
