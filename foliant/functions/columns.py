@@ -51,6 +51,12 @@ def runs(w: Column, k: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " ")))
 
 
+def run_hashes(w: Column, k: int) -> Column:
+    """``runs`` as 64-bit hashes, without making a string of each."""
+    starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, k))))
+
+
 # Fixed value: the pattern of pre-tokens.
 PIECES = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
 

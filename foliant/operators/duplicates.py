@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.columns import fingerprint, runs, words
+from foliant.functions.columns import fingerprint, run_hashes, words
 from foliant.operators.graphs import components
-from foliant.plans.storage import cut
+from foliant.plans.storage import cut, small
 
 # Fixed value: best first.
 QUALITY_ORDER = ("keyed_text", "corrected_ocr", "source_ocr", "poor_ocr")
@@ -57,14 +57,13 @@ def unseen(candidates: DataFrame, preferred: DataFrame, key: str) -> DataFrame:
 
 
 def minhash(df: DataFrame, k: int, bands: int, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, band, signature): MinHash bands of the k-word runs."""
+    """(key, signature): MinHash bands of the k-word runs, each a hash of the band's number and its rows."""
     prime = (1 << 31) - 1
-    base = df.where(F.col(text).isNotNull()).select(key, words(F.col(text)).alias("_w")).select(key, F.explode(runs(F.col("_w"), k)).alias("run"))
-    base = base.select(key, F.pmod(F.xxhash64("run"), F.lit(prime)).alias("h"))
+    base = df.where(F.col(text).isNotNull()).select(key, words(F.col(text)).alias("_w")).select(key, F.explode(run_hashes(F.col("_w"), k)).alias("run"))
+    base = base.select(key, F.pmod("run", F.lit(prime)).alias("h"))
     # each row of a signature reorders the base hash by an odd multiplier modulo a prime; minima are combined before the shuffle
     least = base.groupBy(key).agg(*(F.min(F.pmod(F.col("h") * m + (m * 7 + 3), F.lit(prime))).alias(f"m{i}") for i, m in enumerate(_multipliers(bands * rows))))
-    signed = least.select(key, F.array(*(F.xxhash64(*(f"m{i}" for i in range(b * rows, (b + 1) * rows))) for b in range(bands))).alias("s"))
-    return signed.select(key, F.posexplode("s").alias("band", "signature"))
+    return least.select(key, F.explode(F.array(*(F.xxhash64(F.lit(b), *(f"m{i}" for i in range(b * rows, (b + 1) * rows))) for b in range(bands)))).alias("signature"))
 
 
 def _multipliers(n: int) -> list[int]:
@@ -82,20 +81,23 @@ def minhash_pairs(df: DataFrame, k: int = 5, bands: int = 16, rows: int = 4, thr
     Exact copies are collapsed to their first record before. Buckets of up to ``bucket`` texts are paired at once; texts
     of larger ones are dealt to blocks of about ``block``, and every block is paired with itself and every other one.
     """
-    once = cut(kept(df.select(key, text), key, text))
+    dropped = small(cut(exact(df.where(F.col(text).isNotNull()), key, text).where("not is_kept").select(key)))
+    once = df.select(key, text).join(dropped, key, "left_anti")
     signed = cut(minhash(once, k, bands, rows, key, text).withColumnRenamed(key, "_id"))
-    sizes = signed.groupBy("band", "signature").agg(F.count("*").alias("n")).where("n > 1")
-    held = cut(signed.join(sizes, ["band", "signature"]))
-    gathered = held.where(F.col("n") <= bucket).groupBy("band", "signature").agg(F.collect_list("_id").alias("ids"))
+    sizes = small(cut(signed.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")))
+    held = cut(signed.join(sizes, "signature"))
+    gathered = held.where(F.col("n") <= bucket).groupBy("signature").agg(F.collect_list("_id").alias("ids"))
     cold = gathered.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).where("a < b")
     hot = held.where(F.col("n") > bucket).withColumn("blocks", F.ceil(F.col("n") / block))
     dealt = hot.withColumn("block", F.pmod(F.xxhash64("_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).groupBy("band", "signature", "i", "j")
+    met = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).groupBy("signature", "i", "j")
     sides = met.agg(*(F.collect_list(F.when(F.col("block") == F.col(x), F.col("_id"))).alias(f"ids_{x}") for x in ("i", "j")))
     crossed = sides.select("i", "j", "ids_j", F.explode("ids_i").alias("x")).select("i", "j", "x", F.explode("ids_j").alias("y"))
     warm = crossed.where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = cold.unionByName(warm).distinct()
-    sets = once.select(key, words(F.col(text)).alias("_w")).select(key, runs(F.col("_w"), k).alias("runs"))
+    pairs = cut(cold.unionByName(warm).distinct())
+    # only the texts of paired records are looked at again
+    paired = small(cut(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()))
+    sets = cut(once.join(paired, key, "left_semi").select(key, words(F.col(text)).alias("_w")).select(key, run_hashes(F.col("_w"), k).alias("runs")))
     both = pairs.join(sets.toDF("a", "ra"), "a").join(sets.toDF("b", "rb"), "b")
     n = F.size(F.array_intersect("ra", "rb"))
     scored = both.select("a", "b", (n / (F.size("ra") + F.size("rb") - n)).alias("similarity"))
