@@ -1,8 +1,8 @@
 """Tables of counts of a fixed size, gathered over any number of tasks.
 
-A task's table travels as one compressed row; rows are added up in levels of ``FAN`` to a task, so that no task reads
-more than ``FAN`` of them, however many tasks there were. Counts are 64-bit; what travels or is kept is narrowed
-to the least width that holds its largest count.
+A task's table travels as one compressed row. The rows are first added up in as many tasks as there are cores, each of which streams
+its part of them, and then in levels of ``FAN`` to a task. Counts are 64-bit; what travels or is kept is narrowed to the
+least width that holds its largest count.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 
 Array = np.ndarray
 
-#: Tables that one task adds up.
-FAN = 64
+#: Tables that one task adds up after the first level, and tasks of the first level at least.
+FAN, FIRST = 64, 8
 _WIDTHS = (np.uint8, np.uint16, np.uint32, np.int64)
 
 
@@ -50,10 +50,11 @@ def merged(blobs: DataFrame, join: Callable[[Array, Array], Array], dtype: type,
         if some:
             yield packed(total)
 
-    level, tasks = blobs.select("blob"), blobs.rdd.getNumPartitions()
-    while tasks > 1:
-        # the first level spreads few tables over several tasks too
-        tasks = min(math.ceil(tasks / 4), 8) if tasks <= FAN else math.ceil(tasks / FAN)
+    level, tasks = blobs.select("blob"), max(FIRST, blobs.sparkSession.sparkContext.defaultParallelism)
+    while True:
         level = level.repartition(tasks).mapInArrow(fold, "blob binary")
+        if tasks == 1:
+            break
+        tasks = math.ceil(tasks / FAN)
     row = level.first()
     return unpacked(bytes(row.blob)).astype(dtype) if row else np.zeros(size, dtype)
