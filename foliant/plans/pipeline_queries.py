@@ -110,6 +110,7 @@ QUERIES = {
     "s14_bundle": _bundle,
     "s23_readers": _readers,
     "d9_normalised": lambda s, d: read(s, d, "documents").where("text is not null").select("doc_id", F.md5(normalised(F.col("text"))).alias("text_md5")),
+    "v20_dispatch": lambda s, d: read(s, d, "eval_items").select("item_id", F.when(F.col("choices").isNotNull(), chat.evaluator("categorical")).otherwise(chat.evaluator("generative")).alias("evaluator")),
     "w16_monitor_stream": _monitor,
     "w21_resumed_stream": _resumed_stream,
 }
@@ -154,6 +155,7 @@ SQL = {
         select 'families' as reader, shard_index from c join f using (shard_index) union all select 'all', shard_index from c
         union all select 'train', shard_index from c where shard_index < (select max(shard_index) from c) union all select 'texts', shard_index from (select distinct shard_index from shards_1913)""",
     "d9_normalised": r"select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '\r\n?', chr(10), 'g'), '\x{AD}', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) as text_md5 from documents where text is not null",
+    "v20_dispatch": "select item_id, case when choices is null then 'sample' else 'choice' end as evaluator from eval_items",
     "w16_monitor_stream": "select time_bucket(interval '1 hour', ts) as start, count(*) as n, round(avg((event_id % 9)::double), 4) as mean, max((event_id % 9)::double) as greatest, avg((event_id % 9)::double) > 4 as warn from events group by 1",
     "w21_resumed_stream": "select event_id, value from events where event_id % 2 = 1",
     "k13_reports": f"""with k as (select doc_id, decision, {corpus._BUCKET} as bucket, regexp_replace(lower(trim(source)), '\\s+', '_', 'g') as source, source_quality, length(text) as chars, case when {corpus._H("'3'", "doc_id")} < {int(0.05 * (1 << 60))} then 'val' else 'train' end as split
