@@ -2,38 +2,41 @@
 
 A prefix-filtered set join. All runs are ordered by rarity over both sides. A text that has enough of a query's n runs
 can lack at most ``n - least(n)`` of them, so among the query's ``n - least(n) + extra`` rarest runs it has at least
-``extra``. Only these prefixes are looked for: the corpus is scanned against a filter of the prefix runs, sized by
-their number; what passes is joined on the run and counted by pair. A pair stays if its sizes allow it (length bound), it
+``extra``. Only these prefixes are looked for: the corpus is scanned for the prefix runs, and hits are counted by pair. A pair stays if its sizes allow it (length bound), it
 has enough hits, and the runs that both texts still have after their last common prefix run could make up what is
-missing (positional bound). Those pairs are verified on the whole texts. Copies are collapsed before the join,
-and the rows of a run that very many texts have are dealt to several parts.
+missing (positional bound). Those pairs are verified on the whole texts. Copies of queries are collapsed,
+and in a shuffled join also copies of texts, where the rows of a run that very many texts have are dealt to several parts.
 
 How the corpus is scanned depends on how many runs the queries have, the result doesn't. Up to ``EXACT_RUNS`` they are broadcast
 themselves: one scan finds the runs that each text shares with any query, and rarity is the exact number of texts. Beyond, a
-table of counts of fixed size gives the rarity, and the filter is a Bloom filter of the prefix runs, up to
-``FILTER_BITS``. More prefix runs than that can tell apart are joined without a filter: every run of the corpus is then
-shuffled once, which is linear in the corpus.
+table of counts of fixed size gives the rarity, and the prefix runs are written as an index in parts by run, of ``FILTER_BITS`` at
+most. Each task of the corpus' scan meets its own runs with one part after the other and counts hits by pair, so that no
+run of the corpus is written or shuffled, however many pass, and a task holds one part at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.near_duplicates import with_texts
 from foliant.llm.tallies import merged, narrowed, packed
 from foliant.llm.words import SLICE_ROWS, U, jaccard, mix, pair_slices, slices, words
-from foliant.plans.storage import cut, small
+from foliant.plans.storage import cut, small, written
 
 #: Cells of the table of run counts. Runs share cells; beyond some ten million runs only those far above a cell's mean are told from the rest, which are those that would make hot keys.
 CELLS = 1 << 22
-#: Bits a prefix run that the filter has, and bits from which there is none (64 MB).
-BITS_A_RUN, FILTER_BITS = 12, 1 << 29
+#: Bits of a prefix run in the index, and bits of one part of it (64 MB).
+BITS_A_RUN, FILTER_BITS = 192, 1 << 29
+#: Runs of the corpus that a task meets with the index at once, and hits that it counts at once.
+CHUNK_RUNS, CHUNK_HITS = 1 << 22, 1 << 21
 #: Runs of all queries that are broadcast as they are (0.8 MB).
 EXACT_RUNS = 100_000
 #: Share of a query's runs that the prefix holds beyond what may be lacking.
@@ -130,62 +133,121 @@ def prefixes(queries: DataFrame, run: int, share: float, rarity: Rarity) -> Data
     return queries.select("id", "text").mapInArrow(scan, HELD)
 
 
-def _filter_places(h: Array, bits: int) -> Iterator[Array]:
-    for i in range(3):
-        yield (mix(h + U(i + 1)) % U(bits)).astype(np.int64)
-
-
-def filter_bits(n_runs: int) -> int | None:
-    """Bits of a filter of so many runs: a power of two, or None where it would be too large to broadcast."""
-    bits = 1 << max(16, (BITS_A_RUN * n_runs - 1).bit_length())
-    return bits if bits <= FILTER_BITS else None
-
-
-def run_filter(prefixed: DataFrame, bits: int) -> Array:
-    """A Bloom filter of the runs in the column ``runs``, eight bits a byte."""
+def _part(run: Array, parts: int) -> Array:
+    """The part of the index that a run of 52 bits is in; in the order of the runs."""
+    return (run >> U(32)) * U(parts) >> U(20)
+
+
+def index(reps: DataFrame) -> tuple[str, int]:
+    """(URI, number of parts) of the table (run, rep, n, i) of the queries' prefix runs, each part in order."""
+    entries = reps.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
+    parts = max(1, min(entries, -(-entries * BITS_A_RUN // FILTER_BITS)))
+    each = reps.select("rep", F.col("size").alias("n"), F.explode(F.arrays_zip("runs", "places")).alias("x")).select(F.col("x.runs").alias("run"), "rep", "n", F.col("x.places").alias("i"))
+    part = F.shiftright(F.shiftright("run", 32) * parts, 20).alias("part")
+    return written(each.select("*", part).repartition(parts, "part").sortWithinPartitions("part", "run"), "part"), parts
+
+
+def _read_part(folder: str, part: int) -> dict[str, Array]:
+    """Columns of a part in the order of its runs; none where no run is in it."""
+    files, root = fs.FileSystem.from_uri(folder)
+    found = files.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True))
+    names = [x.path for x in found if x.path.endswith(".parquet")]
+    if not names:
+        return {}
+    table = pa.concat_tables([pq.read_table(files.open_input_file(x)) for x in names])
+    held = {name: table.column(name).to_numpy() for name in ("run", "rep", "n", "i")}
+    if len(names) > 1:
+        order = np.argsort(held["run"], kind="stable")
+        held = {name: x[order] for name, x in held.items()}
+    return held
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], run: int, rarity: Rarity, most: int) -> Iterator[tuple[Array, Array, Array, Array]]:
+    """(ids of texts, text of each run, run, place) of about ``most`` runs, in the order of the texts."""
+    held, rows, runs = [], 0, 0
+    for batch in batches:
+        for start, part in slices(batch.column("text")):
+            doc, h = words(part).run_sets(run)
+            h, place = _by_rarity(doc, h, len(part), rarity)
+            held.append((batch.column("id").slice(start, len(part)).to_numpy(), (doc + rows).astype(np.int32), h, place.astype(np.int32)))
+            rows, runs = rows + len(part), runs + len(h)
+            if runs >= most:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, rows, runs = [], 0, 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def met(
+    corpus: DataFrame, run: int, share: float, rarity: Rarity, folder: str, parts: int, chunk_runs: int = CHUNK_RUNS, chunk_hits: int = CHUNK_HITS
+) -> DataFrame:
+    """Pairs (a, b) of a query's ``rep`` in the index and a corpus text that the length bound, the number of prefix hits and the positional bound allow."""
+    shared = corpus.sparkSession.sparkContext.broadcast(rarity)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            h = batch.column("runs").flatten().to_numpy().view(U)
-            for at in _filter_places(h, bits):
-                np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        yield packed(held)
+        last: list = [None, {}]
 
-    return merged(prefixed.select("runs").mapInArrow(scan, "blob binary"), np.bitwise_or, np.uint8, bits // 8)
+        def part(p: int) -> dict[str, Array]:
+            if last[0] != p:
+                last[:] = None, {}
+                last[:] = p, _read_part(folder, p)
+            return last[1]
 
+        for ids, doc, h, place in _chunks(batches, run, shared.value, chunk_runs):
+            ends = np.searchsorted(doc, np.arange(len(ids) + 1))
+            todo = [(0, len(ids))]
+            while todo:
+                lo, hi = todo.pop()
+                mine = slice(ends[lo], ends[hi])
+                found = _hits(doc[mine], h[mine], place[mine], np.diff(ends).astype(np.int32), part, parts, share, None if hi - lo == 1 else chunk_hits)
+                if found is None:
+                    todo += [((lo + hi) // 2, hi), (lo, (lo + hi) // 2)]
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(ids[found[1]])], ["a", "b"])
 
-def _passes(h: Array, held: Array | None) -> Array:
-    """Whether each run passes the filter."""
-    if held is None:
-        return np.ones(len(h), bool)
-    left = np.arange(len(h))
-    for i in range(3):
-        at = (mix(h[left] + U(i + 1)) % U(8 * len(held))).astype(np.int64)
-        left = left[(held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
-    out = np.zeros(len(h), bool)
-    out[left] = True
-    return out
+    return corpus.select("id", "text").mapInArrow(scan, "a long, b long")
 
 
-def hits(corpus: DataFrame, run: int, rarity: Rarity, held: Array | None) -> DataFrame:
-    """(id, klass, size, runs, places): of each corpus text the runs that pass the filter, all without one."""
-    shared = corpus.sparkSession.sparkContext.broadcast((rarity, held))
+def _hits(doc: Array, h: Array, place: Array, sizes: Array, part: Callable[[int], dict[str, Array]], parts: int, share: float, most: int | None) -> tuple[Array, Array] | None:
+    """(rep, text) of the pairs that the bounds allow; None if there are more than ``most`` hits, so that the caller can halve the texts.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, held = shared.value
-        for batch in batches:
-            for start, part in slices(batch.column("text")):
-                doc, h = words(part).run_sets(run)
-                n, klass = np.bincount(doc, minlength=len(part)), _classes(doc, h, len(part))
-                # only texts with any are put in order
-                some = np.bincount(doc[_passes(h, held)], minlength=len(part)) > 0
-                doc, h = doc[some[doc]], h[some[doc]]
-                h, place = _by_rarity(doc, h, len(part), rarity)
-                keep = _passes(h, held)
-                yield _row(batch.column("id").slice(start, len(part)), klass, n, doc[keep], h[keep], place[keep])
-
-    return corpus.select("id", "text").mapInArrow(scan, HELD)
+    ``sizes``: runs of each text.
+    """
+    order = np.argsort(h)
+    ordered = h[order]
+    bounds = np.searchsorted(_part(ordered, parts), np.arange(parts + 1, dtype=U))
+    held, total = [], 0
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
+        if not (entries := part(p)):
+            continue
+        sought, at = ordered[bounds[p] : bounds[p + 1]].view(np.int64), order[bounds[p] : bounds[p + 1]]
+        first = np.searchsorted(entries["run"], sought, "left")
+        some = np.flatnonzero(entries["run"][np.minimum(first, len(entries["run"]) - 1)] == sought)
+        first, at = first[some], at[some]
+        count = np.searchsorted(entries["run"], sought[some], "right") - first
+        starts = np.concatenate([[0], np.cumsum(count)])
+        if most is not None and total + starts[-1] > 4 * most:
+            return None
+        entry = np.repeat(first - starts[:-1], count) + np.arange(starts[-1])
+        which = np.repeat(at, count)
+        n, b = entries["n"][entry], doc[which]
+        long = sizes[b] >= least_hits(n.astype(np.int64), share)
+        entry, which, n, b = entry[long], which[long], n[long], b[long]
+        held.append((entries["rep"][entry], b, n, entries["i"][entry], place[which]))
+        total += len(n)
+        if most is not None and total > most:
+            return None
+    if not total:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b, n, i, j = map(np.concatenate, zip(*held, strict=True))
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    heads = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    hits = np.diff(np.append(heads, len(a)))
+    a, b, n = a[heads], b[heads], n[order][heads].astype(np.int64)
+    still = np.minimum(n - 1 - np.maximum.reduceat(i[order], heads), sizes[b] - 1 - np.maximum.reduceat(j[order], heads))
+    enough = (hits >= extra_hits(n)) & (hits + still >= least_hits(n, share))
+    return a[enough], b[enough]
 
 
 def shared_runs(texts: DataFrame, run: int, runs: Array | None) -> DataFrame:
@@ -283,25 +345,21 @@ def contained(queries: DataFrame, corpus: DataFrame, run: int, share: float, win
     corpus = corpus.where("id is not null and text is not null")
     sets = shared_runs(queries, run, None)
     n_runs = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    if not n_runs:
-        exact, asked, seen = False, sets, sets
-    elif exact := n_runs <= EXACT_RUNS:
-        asked, seen, rarity = _exactly(queries, corpus, run, share, sets)
-    else:
+    if n_runs > EXACT_RUNS:
         rarity = (frequencies(queries.select("text").unionByName(corpus.select("text")), run), None)
-        asked = cut(prefixes(queries, run, share, rarity))
-        bits = filter_bits(asked.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0])
-        seen = cut(hits(corpus, run, rarity, run_filter(asked, bits) if bits else None))
-    query_members, query_reps = _collapsed(asked)
-    doc_members, doc_reps = _collapsed(seen)
-    if exact:
-        doc_reps = cut(ordered(doc_reps, rarity))
-    pairs = cut(candidates(query_reps, doc_reps, share, most_in_part))
+        query_members, query_reps = _collapsed(cut(prefixes(queries, run, share, rarity)))
+        pairs, doc_members = cut(met(corpus, run, share, rarity, *index(query_reps))), None
+    else:
+        asked, seen, rarity = _exactly(queries, corpus, run, share, sets) if n_runs else (sets, sets, None)
+        query_members, query_reps = _collapsed(asked)
+        doc_members, doc_reps = _collapsed(seen)
+        if n_runs:
+            doc_reps = cut(ordered(doc_reps, rarity))
+        pairs = cut(candidates(query_reps, doc_reps, share, most_in_part))
     found = cut(_verified(with_texts(pairs, queries, corpus), run, round(share * 1_000_000), windows))
-    return (
-        found.join(query_members.toDF("query", "a"), "a", "left")
-        .join(doc_members.toDF("doc", "b"), "b", "left")
-        .select(F.coalesce("query", "a").alias("query"), F.coalesce("doc", "b").alias("doc"), "hits", "size", (F.col("hits") / F.col("size")).alias("share"), *found.columns[4:])
+    docs = found.join(doc_members.toDF("doc", "b"), "b", "left") if doc_members is not None else found.withColumn("doc", F.col("b"))
+    return docs.join(query_members.toDF("query", "a"), "a", "left").select(
+        F.coalesce("query", "a").alias("query"), F.coalesce("doc", "b").alias("doc"), "hits", "size", (F.col("hits") / F.col("size")).alias("share"), *found.columns[4:]
     )
 
 

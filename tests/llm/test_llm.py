@@ -320,6 +320,38 @@ def test_containment_is_whole_whatever_the_filter_and_with_split_runs(spark, mon
     assert {(r.query, r.doc) for r in found.collect()} == brute.contained(asked, corpus, run, share)
 
 
+def test_containment_writes_no_runs_of_the_corpus_however_many_the_queries_have(spark, monkeypatch):
+    from foliant.llm import containment
+    from foliant.plans.storage import stage_folder
+
+    monkeypatch.setattr(containment, "EXACT_RUNS", 0)
+    monkeypatch.setattr(containment, "FILTER_BITS", 1 << 12)  # too little for one part
+    written = lambda: sum(p.stat().st_size for p in Path(stage_folder(spark).removeprefix("file://")).rglob("*.parquet"))
+    corpus = [(i, prose(i, 500)) for i in range(1000)]
+    asked = [(i, " ".join(corpus[i * 7][1].split()[:60]) + " " + prose(5000 + i, 5)) for i in range(20)]
+    schema = "id long, text string"
+    before = written()
+    found = containment.contained(spark.createDataFrame(asked, schema), spark.createDataFrame(corpus, schema).repartition(4), 3, 0.8)
+    assert {(r.query, r.doc) for r in found.collect()} == brute.contained(asked, corpus, 3, 0.8)
+    assert written() - before < sum(len(t) for _, t in corpus) / 4
+
+
+def test_containment_in_small_chunks_equals_brute_force(spark, monkeypatch):
+    from foliant.llm import containment
+
+    monkeypatch.setattr(containment, "EXACT_RUNS", 0)
+    monkeypatch.setattr(containment, "FILTER_BITS", 1 << 11)
+    met = containment.met
+    base = [prose(i, 40) for i in range(6)]
+    corpus = [(i, base[i % 6] + " " + prose(100 + i, i % 50)) for i in range(60)] + [(90 + i, t) for i, t in enumerate(AWKWARD)]
+    asked = [(i, " ".join(b.split()[: 20 + 3 * i]) + " " + prose(300 + i, 4)) for i, b in enumerate(base * 2)] + [(50 + i, t) for i, t in enumerate(AWKWARD)]
+    schema = "id long, text string"
+    for runs, hits in ((1, 1), (300, 7), (1 << 20, 40)):
+        monkeypatch.setattr(containment, "met", lambda *a, r=runs, h=hits: met(*a, chunk_runs=r, chunk_hits=h))
+        found = [(r.query, r.doc) for r in containment.contained(spark.createDataFrame(asked, schema), spark.createDataFrame(corpus, schema), 3, 0.8).collect()]
+        assert set(found) == brute.contained(asked, corpus, 3, 0.8) and len(found) == len(set(found))
+
+
 def test_table_of_counts_is_gathered_in_levels(spark, monkeypatch):
     from foliant.llm import tallies
 
