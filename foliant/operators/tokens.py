@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,32 @@ def encoded(df: DataFrame, ranks: dict[bytes, int], key: str, text: str = "text"
     return held.mapInArrow(scan, ", ".join(f"{c} {types[c]}" for c in names[:-1]) + ", ids array<int>")
 
 
+def encoded_bytes(df: DataFrame, ranks: dict[bytes, int], key: str, width: int, text: str = "text", prepend: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, ids): ``encoded`` with each text's ids as bytes, ``width`` an id, the least byte first.
+
+    A vocabulary of the 256 bytes alone has nothing to merge, so that a text's ids are those of its bytes.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    held = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), *keep, F.col(text).alias("_text"))
+    names = [key, *keep, "ids"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype(f"<u{width}")
+        if len(shared.value) == 256 and all(len(b) == 1 for b in shared.value):
+            single = np.array([shared.value[bytes([i])] for i in range(256)], kind)
+            of = lambda t: single[np.frombuffer(t.encode(), np.uint8)]
+        else:
+            enc = encoding(shared.value)
+            of = lambda t: np.array(enc.encode_ordinary(t), kind)
+        head = b"" if prepend is None else np.array([prepend], kind).tobytes()
+        for batch in batches:
+            ids = [head + of(t).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names)
+
+    types = dict(held.dtypes)
+    return held.mapInArrow(scan, ", ".join(f"{c} {types[c]}" for c in names[:-1]) + ", ids binary")
+
+
 def decoded(df: DataFrame, ranks: dict[bytes, int], key: str) -> DataFrame:
     """(key, text) of (key, ids)."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)

@@ -12,7 +12,7 @@ from foliant.operators import packager, packing, selection
 from foliant.operators import token_cache as cache
 from foliant.operators import tokens as tok
 from foliant.plans import corpus_queries as corpus
-from foliant.plans.storage import cut, shared_folder
+from foliant.plans.storage import shared_folder
 from foliant.plans.tables import read
 from foliant.plans.token_queries import _BYTES, _REN, _turns
 from foliant.sources import records, sinks
@@ -20,6 +20,8 @@ from foliant.streaming import streams
 
 # Small chunks, so that the small tables have several a shard; the position that reading is resumed at.
 _CHUNK, _SHARD, _TOKEN = 4_096, 5, 10_000
+# Bytes and special tokens.
+_VOCABULARY = 265
 _RATES = {"saltmarsh_gazette_run": 0.33, "millrace_library": 0.6, "default": 0.9}
 _LEAST, _MOST, _CUTOFF, _CHARS, _GROUP = 50, 5_000, 1830, 20_000, 16
 # Task names, examples before each item and baselines of a bundle.
@@ -32,9 +34,9 @@ def _folder(s, name):
 
 def _cached(s, d):
     """The path of a cache of all records in byte tokens, each begun by token 256."""
-    ids = tok.encoded(read(s, d, "shards_1913"), {bytes([i]): i for i in range(256)}, "rec_id", prepend=chat.BOS, keep=("shard_index",))
+    ids = tok.encoded_bytes(read(s, d, "shards_1913"), {bytes([i]): i for i in range(256)}, "rec_id", cache.id_width(_VOCABULARY), prepend=chat.BOS, keep=("shard_index",))
     path = _folder(s, "cache")
-    return path, cache.write_token_cache(cut(ids), "shard_index", "rec_id", "ids", path, 265, _CHUNK)
+    return path, cache.write_token_cache(ids, "shard_index", "rec_id", "ids", path, _VOCABULARY, _CHUNK)
 
 
 def _lines(s, d):

@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -51,6 +52,26 @@ def test_cache_is_read_from_any_position(spark, tmp_path, vocabulary):
         assert got == {s: x if shard is None or s > shard else x[token:] if s == shard else [] for s, x in want.items()}
 
 
+def test_cache_files_go_by_ranges_not_by_shards(spark, tmp_path):
+    path = tmp_path / "cache"
+    docs = spark.createDataFrame([(i, i // 2, [i, i + 1]) for i in range(400)] + [(1_000 + i, 500, [i] * 9) for i in range(200)], "doc long, shard int, ids array<int>")
+    cache.write_token_cache(docs, "shard", "doc", "ids", str(path), 1_000, chunk=4)
+    # 201 shards, one of them in several ranges; two stages write, each a file a task
+    assert len(list(path.rglob("tokens/**/*.parquet"))) <= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = cache.read_token_cache(spark, str(path), chunk=4).where("shard_index = 500").orderBy("at").collect()
+    assert [r.at for r in got] == list(range(0, 1_800, 4)) and [x for r in got for x in r.ids] == [i for i in range(200) for _ in range(9)]
+
+
+def test_ids_as_bytes_are_the_encoders(spark):
+    texts = ["", "it's 1850,  a café — 漢字 🙂\r\n\n\t x\u00a0\u2028y", "a\0b", "  \n"]
+    df = spark.createDataFrame([*enumerate(texts), (9, None)], "doc long, text string")
+    single = {bytes([i]): 255 - i for i in range(256)}
+    for ranks, width, head in ((single, 2, None), (single, 4, 256), (single | {b"ca": 300, b"it": 301}, 2, 256)):
+        want = {r.doc: r.ids for r in tok.encoded(df, ranks, "doc", prepend=head).collect()}
+        got = {r.doc: np.frombuffer(r.ids, f"<u{width}").tolist() for r in tok.encoded_bytes(df, ranks, "doc", width, prepend=head).collect()}
+        assert got == want and len(got) == len(texts)
+
+
 def test_readers_refuse_and_choose(spark):
     df = spark.createDataFrame([("a", 1)], "text string, rec_id long")
     assert records.require_more_than_text(df) is df
