@@ -129,26 +129,30 @@ def read_token_cache(spark: SparkSession, path: str, shard: int | None = None, t
     """(shard_index, at, ids): the chunks from a position on, in full; ``at`` is the first id's place in its shard.
 
     The position is a shard and a token's place in it; what lies before is not read (by the bounds of the files' pieces) or, in the first
-    chunk, cut off, so that reading goes on exactly where it ended.
+    chunk, cut off, so that reading goes on exactly where it ended. Ids are a column of their own, not made where nothing asks for them.
     """
     held = spark.read.schema(CACHE).parquet(f"{path}/tokens")
+    skip = F.lit(0)
     if shard is not None:
         held = held.where((F.col("shard_index") > shard) | ((F.col("shard_index") == shard) & (F.col("chunk") >= token // chunk)))
         skip = F.when((F.col("shard_index") == shard) & (F.col("chunk") == token // chunk), token % chunk).otherwise(0)
-    else:
-        skip = F.lit(0)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shards, chunks, widths, data, skips = (batch.column(i).to_pylist() for i in range(5))
-            ids = [np.frombuffer(d, f"<u{w}")[s:].astype(np.int32) for d, w, s in zip(data, widths, skips, strict=True)]
-            at = [c * chunk + s for c, s in zip(chunks, skips, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(at, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["shard_index", "at", "ids"])
+    def of(data: pa.Array, widths: pa.Array, skips: pa.Array) -> pa.Array:
+        parts = [np.frombuffer(d, f"<u{w}")[s:] for d, w, s in zip(data.to_pylist(), widths.to_pylist(), skips.to_pylist(), strict=True)]
+        at = np.cumsum([0, *map(len, parts)])
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts).astype(np.int32) if parts else [], pa.int32()))
 
-    return held.select("shard_index", "chunk", "width", "data", skip.alias("skip")).mapInArrow(scan, "shard_index int, at long, ids array<int>").where(F.size("ids") > 0)
+    ids = F.arrow_udf(of, "array<int>")("data", "width", skip)
+    return held.where(F.col("n") > skip).select("shard_index", (F.col("chunk") * chunk + skip).alias("at"), ids.alias("ids"))
 
 
 def shard_sums(chunks: DataFrame) -> DataFrame:
     """(shard_index, tokens, id_sum, first_at): what a reader of the chunks has seen of each shard."""
-    each = chunks.select("shard_index", "at", F.size("ids").cast("bigint").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("s"))
-    return each.groupBy("shard_index").agg(F.sum("n").alias("tokens"), F.sum("s").alias("id_sum"), F.min("at").alias("first_at"))
+
+    def of(ids: pa.Array) -> pa.Array:
+        at = ids.offsets.to_numpy()
+        sums = np.concatenate([[0], np.cumsum(ids.values.to_numpy()[at[0] : at[-1]], dtype=np.int64)])
+        return pa.StructArray.from_arrays([pa.array(np.diff(at), pa.int64()), pa.array(np.diff(sums[at - at[0]]), pa.int64())], ["n", "s"])
+
+    each = chunks.select("shard_index", "at", F.arrow_udf(of, "n long, s long")("ids").alias("x"))
+    return each.groupBy("shard_index").agg(F.sum("x.n").alias("tokens"), F.sum("x.s").alias("id_sum"), F.min("at").alias("first_at"))

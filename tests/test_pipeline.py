@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -72,6 +73,23 @@ def test_ids_as_bytes_are_the_encoders(spark):
         assert got == want and len(got) == len(texts)
 
 
+@pytest.fixture
+def small_cache(spark, tmp_path):
+    docs = spark.createDataFrame([(i, i // 10, [i] * 7) for i in range(100)], "doc long, shard int, ids array<int>")
+    cache.write_token_cache(docs, "shard", "doc", "ids", str(tmp_path / "cache"), 1_000, chunk=16)
+    return str(tmp_path / "cache")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_scan_reads_ids_once(spark, small_cache):
+    sums = cache.shard_sums(records.of_split(cache.read_token_cache(spark, small_cache, chunk=16), "train"))
+    assert len(re.findall("ReadSchema: struct<[^>]*data:binary", plan(sums))) == 1  # what the last shard is needs no ids
+    assert sorted(map(tuple, sums.collect())) == [(s, 70, 7 * sum(range(10 * s, 10 * s + 10)), 0) for s in range(9)]
+
+
 def test_readers_refuse_and_choose(spark):
     df = spark.createDataFrame([("a", 1)], "text string, rec_id long")
     assert records.require_more_than_text(df) is df
