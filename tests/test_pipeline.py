@@ -90,6 +90,13 @@ def test_token_scan_reads_ids_once(spark, small_cache):
     assert sorted(map(tuple, sums.collect())) == [(s, 70, 7 * sum(range(10 * s, 10 * s + 10)), 0) for s in range(9)]
 
 
+def test_readers_shards_are_listed_without_ids(spark, small_cache):
+    families = spark.createDataFrame([(1, "a"), (1, "a"), (99, "b")], "shard_index int, family string")
+    for strategy, separate, want in (("parallel", False, [1]), (None, True, list(range(10))), (None, False, list(range(9)))):
+        held = records.open_reader(spark, None, families, small_cache, strategy, separate).select("shard_index").distinct()
+        assert not re.search("Python|MapInArrow", plan(held)) and sorted(r.shard_index for r in held.collect()) == want
+
+
 def test_readers_refuse_and_choose(spark):
     df = spark.createDataFrame([("a", 1)], "text string, rec_id long")
     assert records.require_more_than_text(df) is df
