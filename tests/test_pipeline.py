@@ -90,6 +90,12 @@ def test_token_scan_reads_ids_once(spark, small_cache):
     assert sorted(map(tuple, sums.collect())) == [(s, 70, 7 * sum(range(10 * s, 10 * s + 10)), 0) for s in range(9)]
 
 
+def test_resumed_reader_skips_pieces_of_files(spark, small_cache):
+    held = cache.read_token_cache(spark, small_cache, 5, 21, 16)
+    assert re.search(r"PushedFilters: \[.*shard_index,5\),GreaterThanOrEqual\(chunk", plan(held))
+    assert sorted((r.shard_index, r.tokens, r.first_at) for r in cache.shard_sums(held).collect()) == [(5, 49, 21), *((s, 70, 0) for s in range(6, 10))]
+
+
 def test_readers_shards_are_listed_without_ids(spark, small_cache):
     families = spark.createDataFrame([(1, "a"), (1, "a"), (99, "b")], "shard_index int, family string")
     for strategy, separate, want in (("parallel", False, [1]), (None, True, list(range(10))), (None, False, list(range(9)))):
