@@ -140,7 +140,10 @@ def read_token_cache(spark: SparkSession, path: str, shard: int | None = None, t
     def of(data: pa.Array, widths: pa.Array, skips: pa.Array) -> pa.Array:
         parts = [np.frombuffer(d, f"<u{w}")[s:] for d, w, s in zip(data.to_pylist(), widths.to_pylist(), skips.to_pylist(), strict=True)]
         at = np.cumsum([0, *map(len, parts)])
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts).astype(np.int32) if parts else [], pa.int32()))
+        flat = np.empty(at[-1], np.int32)
+        for a, x in zip(at, parts, strict=False):
+            flat[a : a + len(x)] = x
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
 
     ids = F.arrow_udf(of, "array<int>")("data", "width", skip)
     return held.where(F.col("n") > skip).select("shard_index", (F.col("chunk") * chunk + skip).alias("at"), ids.alias("ids"))
@@ -150,9 +153,10 @@ def shard_sums(chunks: DataFrame) -> DataFrame:
     """(shard_index, tokens, id_sum, first_at): what a reader of the chunks has seen of each shard."""
 
     def of(ids: pa.Array) -> pa.Array:
-        at = ids.offsets.to_numpy()
-        sums = np.concatenate([[0], np.cumsum(ids.values.to_numpy()[at[0] : at[-1]], dtype=np.int64)])
-        return pa.StructArray.from_arrays([pa.array(np.diff(at), pa.int64()), pa.array(np.diff(sums[at - at[0]]), pa.int64())], ["n", "s"])
+        at, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+        # a list at a time, so that no second copy of a batch's ids is held
+        sums = [int(values[a:b].sum(dtype=np.int64)) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.StructArray.from_arrays([pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64())], ["n", "s"])
 
     each = chunks.select("shard_index", "at", F.arrow_udf(of, "n long, s long")("ids").alias("x"))
     return each.groupBy("shard_index").agg(F.sum("x.n").alias("tokens"), F.sum("x.s").alias("id_sum"), F.min("at").alias("first_at"))
